@@ -15,6 +15,30 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dup,)}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dup, op3_toxicity, op6_quality, op7_best_fit_packing, op9_mixing)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
