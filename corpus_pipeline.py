@@ -1,27 +1,60 @@
-"""From raw documents to packed training sequences: every stage applies one operator of ``marginalia.llm``."""
+"""From raw documents to packed training sequences: every stage applies one operator of ``marginalia.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads it back from Parquet.  All but the last
+return the columns of ``documents``.  Models are fitted on the labelled rows of the raw ``documents`` table, so that what
+one stage removes can still teach the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm import packing
+from marginalia.llm import quality as quality_model
+from marginalia.llm import toxicity as toxicity_model
+from marginalia.llm.common import materialize, table
+from marginalia.llm.mixing import mixed
 from marginalia.llm.near_dup import near_duplicates
 
-#: No SQL expresses a stage with learned scores or a packing search; tests compare with brute force.
+#: No SQL expresses learned scores or a packing search; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = quality_model.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_model.scored(docs, model).where(f"score >= {quality_model.THRESHOLD}").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    model = toxicity_model.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_model.scored(docs, model).where(f"score < {toxicity_model.THRESHOLD}").select(docs.columns)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group, once; rows without an id stay."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeated as often as it takes them, in the order of its shards."""
+    return mixed(docs).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in the training sequences."""
+    return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", deduplicate)]
+STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_duplicates", deduplicate), ("mixing", mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
