@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm import licenses
 from marginalia.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.near_dup import near_duplicates
 
@@ -21,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.training_order import write_shards
+
+    return write_shards(table(spark, sf_dir, "documents"), stable=True)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.quality import quality
 
@@ -39,6 +52,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dup, op3_toxicity, op6_quality, op7_best_fit_packing, op9_mixing)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op6_quality, op7_best_fit_packing, op9_mixing, op10_license_scan)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}
