@@ -46,6 +46,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.embedding_dup import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.mixing import mix
 
@@ -58,6 +64,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op6_quality, op7_best_fit_packing, op9_mixing, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op6_quality, op7_best_fit_packing, op8_embedding_near_dup, op9_mixing, op10_license_scan)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}
