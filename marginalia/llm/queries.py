@@ -34,6 +34,12 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(table(spark, sf_dir, "documents"), stable=True)
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.flac import media
+
+    return media(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.quality import quality
 
@@ -64,6 +70,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op6_quality, op7_best_fit_packing, op8_embedding_near_dup, op9_mixing, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op5_flac_media, op6_quality, op7_best_fit_packing, op8_embedding_near_dup, op9_mixing, op10_license_scan)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}
