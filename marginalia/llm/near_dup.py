@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 3
 AGREE = 0.44
 #: Bands whose buckets give the first links; the rest only join what these leave apart.
 FIRST_BANDS = 8
+#: Ids that are broadcast at most, some 16 bytes each; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Shingles that are hashed in one row.
 LANES = 8
 #: Size of the circle on which scattered shingles are shifted.
@@ -74,7 +76,10 @@ def _alike(pairs: DataFrame, sketches: DataFrame, share: float = AGREE) -> DataF
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) and whether they are linked, from the full sets of their texts."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi")).select("doc_id", "s"), "sets")
+    # their texts are found without moving all others, as long as a table of the ids fits: counted, not guessed
+    ids = materialize(ids, "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi")).select("doc_id", "s"), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     counted = met.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
