@@ -1,0 +1,104 @@
+"""Spotters: table functions from documents to annotations, run over a corpus with error isolation and resume."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions.text import spans
+from marginalia.operators.intervals import prune_overlaps
+
+#: A spotter takes documents and gives (doc, kind, start, end, tag) rows.
+Spotter = Callable[[DataFrame], DataFrame]
+
+
+def substring_tags(df: DataFrame, key: str, text: str, needles: list[str]) -> DataFrame:
+    """(key, tags): which of some strings occur in each document, sorted; documents without any are left out."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(n)), F.lit(n)) for n in sorted(needles)]))
+    return df.select(key, found.alias("tags")).where(F.size("tags") > 0)
+
+
+def regex_spotter(key: str, text: str, rules: dict[str, str], prune: bool = True) -> Spotter:
+    """Annotates the matches of named patterns; of overlapping ones the first, if asked."""
+
+    def spot(df: DataFrame) -> DataFrame:
+        out = None
+        for tag, pattern in rules.items():
+            one = spans(df, key, text, pattern).select(key, "start", "end", F.lit(tag).alias("tag"))
+            out = one if out is None else out.unionByName(one)
+        if prune:
+            kept = prune_overlaps(out.select(key, "start", "end").distinct(), key)
+            out = out.join(kept, [key, "start", "end"], "left_semi").groupBy(key, "start", "end").agg(F.min("tag").alias("tag"))
+        return out
+
+    return spot
+
+
+def pos_tags(df: DataFrame, key: str, text: str, lexicon: dict[str, str], default: str = "X") -> DataFrame:
+    """(key, tok_id, token, start, end, pos): tokens with a tag from a lexicon, a slot for any model of that form."""
+    from marginalia.functions.text import word_tokens
+
+    table = F.create_map(*[F.lit(v) for pair in lexicon.items() for v in pair]) if lexicon else None
+    tokens = word_tokens(df, key, text)
+    tag = F.coalesce(F.element_at(table, F.lower("token")), F.lit(default)) if table is not None else F.lit(default)
+    return tokens.withColumn("pos", F.when(F.col("token").rlike(r"^\p{P}$"), ".").otherwise(tag))
+
+
+def annotations(spotted: DataFrame, key: str, base: str, run: str) -> DataFrame:
+    """Spotted ranges as annotation records: IRIs are the document's with the tag and a running number."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(key, "tag").orderBy("start", "end")) - 1
+    uri = F.concat(F.lit(base), F.col(key).cast("string"), F.lit("#"), F.col("tag"), F.lit(".anno."), n.cast("string"))
+    return spotted.withColumn("uri", uri).select("uri", F.concat("uri", F.lit(".target")).alias("target_uri"), F.lit(run).alias("creator_uri"), F.array("tag").alias("tags"), F.col(key), "start", "end")
+
+
+def pending(documents: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """Documents that aren't processed yet, each once."""
+    return documents.join(processed.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+
+
+def run(spark: SparkSession, documents: DataFrame, key: str, spotters: dict[str, Spotter], out: str, prefix: str = "") -> dict[str, int]:
+    """Run spotters over the documents that ``out`` doesn't have yet, and append their annotations there.
+
+    Each spotter's rows go to ``out/<name>``, and the keys to ``out/processed`` only when all are written: a run that is cut short is done
+    again, and rows of documents that weren't marked are dropped by ``results``.
+    """
+    import os
+
+    done = f"{out}/processed"
+    try:
+        processed = spark.read.parquet(done)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        processed = documents.select(key).limit(0).withColumn("run", F.lit("").cast("string"))
+    todo = pending(documents, processed, key).persist()
+    run_id = prefix or os.urandom(8).hex()
+    counts = {}
+    for name, spotter in spotters.items():
+        spotter(todo).withColumn("run", F.lit(run_id)).write.mode("append").parquet(f"{out}/{name}")
+        counts[name] = spark.read.parquet(f"{out}/{name}").where(F.col("run") == run_id).count()
+    todo.select(key).withColumn("run", F.lit(run_id)).write.mode("append").parquet(done)
+    todo.unpersist()
+    return counts
+
+
+def results(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A spotter's rows of completed runs."""
+    runs = spark.read.parquet(f"{out}/processed").select("run").distinct()
+    return spark.read.parquet(f"{out}/{name}").join(F.broadcast(runs), "run", "left_semi").drop("run")
+
+
+def errors_as_rows(function):
+    """Wrap a per-document function so that an exception becomes (None, message) and the other documents go on."""
+
+    def safe(value):
+        try:
+            return function(value), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    return safe

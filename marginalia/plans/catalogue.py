@@ -1,6 +1,433 @@
-"""Catalogue of the engine's queries and their DuckDB oracles."""
+"""The engine's queries over the driver's tables, each over whole tables, and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import terms as T
+from marginalia.functions import text as X
+from marginalia.operators import dom, intervals, records, sparql, spotters, treematch
+from marginalia.sources import sinks
+from marginalia.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+EX = "http://example.org/"
+
+
+def query(oracle: str | None = None):
+    """Register a query, with its oracle."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+_P = r".,:;!?()\[\]{}\-”“"
+_PIECES = rf"""pieces as (select doc_id, unnest(regexp_extract_all(text, '[\s\x1c-\x1f]+|[{_P}]|[^\s\x1c-\x1f{_P}]+')) as token, generate_subscripts(regexp_extract_all(text, '[\s\x1c-\x1f]+|[{_P}]|[^\s\x1c-\x1f{_P}]+'), 1) as i from documents),
+placed as (select doc_id, i, token, sum(length(token)) over (partition by doc_id order by i) - length(token) as start, sum(length(token)) over (partition by doc_id order by i) as "end" from pieces),
+tokens as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as tok_id, token, start, "end" from placed where not regexp_full_match(token, '[\s\x1c-\x1f]+'))"""
+
+
+@query(f'with {_PIECES} select doc_id, tok_id::int as tok_id, token, start::int as start, "end"::int as "end" from tokens')
+def word_tokens(spark, d):
+    return X.word_tokens(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query(rf"with t as (select lang, unnest(regexp_extract_all(text, '[{_P}]|[^\s\x1c-\x1f{_P}]+')) as token from documents) select lang, count(*) as n_tokens, count(distinct token) as n_distinct from t group by lang")
+def token_freq_by_lang(spark, d):
+    counted = load(spark, d, "documents").select("lang", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return counted.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
+
+
+@query(r"select doc_id, md5(regexp_replace(text, '\s+', ' ', 'g')) as digest, length(regexp_replace(text, '\s+', ' ', 'g'))::int as n from documents")
+def normalize_spaces(spark, d):
+    t = X.normalize_spaces(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), F.length(t).alias("n"))
+
+
+@query(r"""select doc_id, md5(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) as digest, (length(text) - length(regexp_replace(text, '^\s+', '')))::int as start,
+(length(text) - length(regexp_replace(text, '^\s+', '')) + length(regexp_replace(text, '^\s+|\s+$', '', 'g')))::int as "end" from documents""")
+def strip_case(spark, d):
+    t = X.strip(F.col("text"))
+    r = X.stripped_range(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", F.md5(X.same_length(t, F.lower(t))).alias("digest"), r["start"].alias("start"), r["end"].alias("end"))
+
+
+@query(r"""with c as (select doc_id, text, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as i from documents),
+n as (select *, lead(ch) over w as nx, lag(ch) over w as pv from c window w as (partition by doc_id order by i)),
+b as (select doc_id, i from n where (ch = '.' and not coalesce(regexp_full_match(nx, '\p{Ll}'), false) and not coalesce(regexp_full_match(pv, '\p{Nd}') and regexp_full_match(nx, '\p{Nd}'), false)
+  or ch in ('!', '?')) and coalesce(nx not in (chr(160), ',', '.', ':', ';'), true)),
+s as (select doc_id, coalesce(lag(i) over (partition by doc_id order by i), 0) as a, i as z, row_number() over (partition by doc_id order by i) - 1 as k from b)
+select doc_id, k::int as sentence_no, regexp_replace(regexp_replace(substring(text, a + 1, z - a), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') as sentence from s join documents using (doc_id)""")
+def sentences(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+
+
+_CAPITALS = r"""cap as (select doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,}|[A-Z]|[^A-Z]+')) as m, generate_subscripts(regexp_extract_all(text, '[A-Z]{2,}|[A-Z]|[^A-Z]+'), 1) as i from documents),
+capital as (select doc_id, i, m, sum(length(m)) over (partition by doc_id order by i) as e from cap)"""
+
+
+@query(rf"""with {_CAPITALS} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as i, m as match, (e - length(m))::int as start, e::int as "end" from capital where regexp_full_match(m, '[A-Z]{{2,}}')""")
+def regex_spans(spark, d):
+    return X.spans(load(spark, d, "documents"), "doc_id", "text", "[A-Z]{2,}")
+
+
+@query("""with r as (select doc_id, list_sort(list_filter(['License', 'Version', 'the', 'trash'], lambda x: contains(text, x))) as tags from documents) select doc_id, array_to_string(tags, ',') as tags from r where len(tags) > 0""")
+def substring_tags(spark, d):
+    tagged = spotters.substring_tags(load(spark, d, "documents"), "doc_id", "text", ["the", "License", "Version", "trash"])
+    return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+_LINES = r"""ln as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+line as (select doc_id, i as line_no, t, sum(length(t) + 1) over (partition by doc_id order by i) - length(t) - 1 as l_start, sum(length(t) + 1) over (partition by doc_id order by i) - 1 as l_end from ln),
+full_line as (select * from line where l_end > l_start)"""
+_WINDOWS = """win as (select doc_id, unnest(range(0, length(text), 500)) as w_start from documents), wind as (select doc_id, w_start, w_start + 700 as w_end from win)"""
+
+
+def _lines(spark, d):
+    """(doc_id, l_start, l_end) of the lines that aren't empty."""
+    return X.spans(load(spark, d, "documents"), "doc_id", "text", r"[^\n]+").select("doc_id", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+
+
+def _windows(spark, d):
+    """(doc_id, w_start, w_end): overlapping windows of 700 characters, every 500."""
+    n = F.length("text")
+    docs = load(spark, d, "documents").where(n > 0)
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(500))).alias("w_start")).withColumn("w_end", F.col("w_start") + 700)
+
+
+@query(f"with {_LINES}, {_WINDOWS} select doc_id, count(*) as n_pairs, sum(least(l_end, w_end) - greatest(l_start, w_start))::bigint as shared from full_line join wind using (doc_id) where l_start < w_end and w_start < l_end group by doc_id")
+def span_overlap(spark, d):
+    pairs = intervals.overlap_join(_lines(spark, d), _windows(spark, d), "doc_id", ("l_start", "l_end"), ("w_start", "w_end"))
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum((F.least("l_end", "w_end") - F.greatest("l_start", "w_start")).cast("long")).alias("shared"))
+
+
+@query(f"with {_LINES}, {_WINDOWS} select doc_id, l_start::int as point, count(*) as n_ranges from full_line join wind using (doc_id) where w_start <= l_start and l_start < w_end group by doc_id, l_start")
+def span_stab(spark, d):
+    points = _lines(spark, d).select("doc_id", F.col("l_start").alias("point"))
+    return intervals.stab_join(points, _windows(spark, d), "doc_id", "point", ("w_start", "w_end")).groupBy("doc_id", "point").agg(F.count("*").alias("n_ranges"))
+
+
+@query(f"with {_LINES}, {_WINDOWS} select doc_id, w_start::int as w_start, count(*) as n_lines from full_line join wind using (doc_id) where w_start <= l_start and l_end <= w_end group by doc_id, w_start")
+def span_contains(spark, d):
+    pairs = intervals.contains_join(_windows(spark, d), _lines(spark, d), "doc_id", ("w_start", "w_end"), ("l_start", "l_end"))
+    return pairs.groupBy("doc_id", "w_start").agg(F.count("*").alias("n_lines"))
+
+
+_PADDED = f"""{_CAPITALS}, padded as (select distinct doc_id, greatest(0, e - length(m) - 10) as s, e + 10 as z from capital where regexp_full_match(m, '[A-Z]{{2,}}'))"""
+
+
+def _padded(spark, d):
+    found = X.spans(load(spark, d, "documents"), "doc_id", "text", "[A-Z]{2,}")
+    return found.select("doc_id", F.greatest(F.lit(0), F.col("start") - 10).alias("start"), (F.col("end") + 10).alias("end")).distinct()
+
+
+@query(f"""with {_PADDED}, m as (select *, case when coalesce(s >= max(z) over (partition by doc_id order by s, z rows between unbounded preceding and 1 preceding), true) then 1 else 0 end as fresh from padded),
+g as (select *, sum(fresh) over (partition by doc_id order by s, z) as island from m) select doc_id, min(s)::int as start, max(z)::int as "end" from g group by doc_id, island""")
+def merge_spans(spark, d):
+    return intervals.merge_overlaps(_padded(spark, d), "doc_id")
+
+
+@query(f"""with recursive {_PADDED}, first as (select doc_id, min(struct_pack(s := s, z := z)) as r from padded group by doc_id),
+chosen as (select doc_id, r from first union all select c.doc_id, n.r from chosen c, lateral (select struct_pack(s := p.s, z := p.z) as r from padded p where p.doc_id = c.doc_id and p.s >= c.r.z order by p.s, p.z limit 1) n)
+select doc_id, r.s::int as start, r.z::int as "end" from chosen""")
+def prune_overlaps(spark, d):
+    return intervals.prune_overlaps(_padded(spark, d), "doc_id")
+
+
+@query(f"""with {_LINES}, {_WINDOWS}, pairs as (select doc_id, l_start, w_start, count(*) over (partition by doc_id, l_start) as n, l_start = w_start and l_end = w_end as same from full_line join wind using (doc_id) where l_start < w_end and w_start < l_end),
+c as (select doc_id, case when n > 1 then 'multimatch' when same then 'precise' else 'overlap' end as category from pairs
+union all select doc_id, 'golden_only' from full_line l where not exists (select 1 from pairs p where p.doc_id = l.doc_id and p.l_start = l.l_start)
+union all select doc_id, 'prediction_only' from wind w where not exists (select 1 from pairs p where p.doc_id = w.doc_id and p.w_start = w.w_start))
+select doc_id, category, count(*) as n from c group by doc_id, category""")
+def range_matching(spark, d):
+    gold = _lines(spark, d).select("doc_id", F.col("l_start").alias("id"), F.col("l_start").alias("start"), F.col("l_end").alias("end"))
+    predicted = _windows(spark, d).select("doc_id", F.col("w_start").alias("id"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    return intervals.classify(gold, predicted, "doc_id").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with {_LINES} select doc_id, sum(case when contains(t, 'License') then 1 else len(regexp_extract_all(t, '[{_P}]|[^\s\x1c-\x1f{_P}]+')) end)::bigint as n_tokens from line group by doc_id""")
+def keep_as_words(spark, d):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    docs = load(spark, d, "documents").select("doc_id", "text")
+
+    def counted(batches):
+        import re
+
+        import pyarrow as pa
+
+        line = re.compile(r"[^\n]*License[^\n]*")
+        for batch in batches:
+            n = [len(X.keep_as_words(t.as_py() or "", [m.span() for m in line.finditer(t.as_py() or "")])) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.mapInArrow(counted, StructType([docs.schema["doc_id"], StructField("n_tokens", LongType())]))
+
+
+# --- web pages ------------------------------------------------------------------------------------------------------
+
+_BARE = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '<\1></\1>', 'g'), '(?s)<!--.*?-->', '', 'g')"
+
+
+@query(rf"with t as (select page_id, unnest(regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)', 1)) as tag from pages) select page_id, tag, count(*) as n from t group by page_id, tag")
+def html_nodes(spark, d):
+    return dom.nodes(load(spark, d, "pages"), "page_id", "html").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+_TEXT = r"regexp_replace(html, '(?s)<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g')"
+for _old, _new in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    if _old == "&quot;":
+        _TEXT = f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')"
+    _TEXT = f"replace({_TEXT}, '{_old}', '{_new}')"
+
+
+@query(f"select page_id, {_TEXT} as text from pages")
+def dnm_text(spark, d):
+    return dom.dnm(load(spark, d, "pages"), "page_id", "html").select("page_id", "text")
+
+
+@query()
+def dnm_segments(spark, d):
+    made = dom.dnm(load(spark, d, "pages"), "page_id", "html")
+    return made.select("page_id", F.posexplode("segments").alias("i", "s")).select("page_id", "i", "s.pos", "s.len", "s.kind", "s.start_ref", "s.end_ref")
+
+
+@query()
+def containing_node(spark, d):
+    pages = load(spark, d, "pages")
+    nodes = dom.nodes(pages, "page_id", "html")
+    made = dom.dnm(pages, "page_id", "html").select("page_id", F.explode("segments").alias("s")).select("page_id", F.col("s.start_ref").alias("start"), F.col("s.end_ref").alias("end"))
+    return dom.containing(made.where("end > start").distinct(), nodes, "page_id", "start", "end")
+
+
+@query()
+def path_selectors(spark, d):
+    pages = load(spark, d, "pages")
+
+    def made(text):
+        root = dom.parse(text)
+        return [] if root is None else [(n.nt_before, n.nt_after, dom.path_of_offset(root, n.nt_before), dom.path_of_offset(root, n.nt_after)) for n in root.iter()]
+
+    return dom._rows(pages, "page_id", "html", "start int, `end` int, start_path string, end_path string", made)
+
+
+@query()
+def minimize_range(spark, d):
+    pages = load(spark, d, "pages")
+    gone = dom.invisible(pages, "page_id", "html", frozenset(("script", "style", "head")), frozenset(("body", "article")))
+    made = dom.dnm(pages, "page_id", "html").select("page_id", F.posexplode("segments").alias("id", "s")).select("page_id", "id", F.col("s.start_ref").alias("start"), F.col("s.end_ref").alias("end"))
+    return intervals.minimize(made, gone, "page_id")
+
+
+@query(rf"select page_id, len(regexp_extract_all({_BARE}, '<li><a[ >]'))::bigint as n_links from pages")
+def tree_patterns(spark, d):
+    pattern = treematch.tag("li") / treematch.tag("a") ** "link"
+
+    def made(text):
+        root = dom.parse(text)
+        return [(sum(1 for n in root.iter() for _ in treematch.match(pattern, n)) if root else 0,)]
+
+    return dom._rows(load(spark, d, "pages"), "page_id", "html", "n_links long", made)
+
+
+@query(r"select page_id, case when starts_with(url, 'https://') then 'https' when starts_with(url, 'http://m.') then 'mobile' when starts_with(url, 'http://') then 'http' end as prefix, case when starts_with(url, 'https://') then substring(url, 9) when starts_with(url, 'http://m.') then substring(url, 10) when starts_with(url, 'http://') then substring(url, 8) end as local from pages")
+def namespacify(spark, d):
+    known = spark.sql("select * from values ('http', 'http://'), ('mobile', 'http://m.'), ('https', 'https://') as t(prefix, base)")
+    return T.namespacify(load(spark, d, "pages"), "url", known).select("page_id", "prefix", "local")
+
+
+@query(r"select page_id, case when starts_with(url, 'http://') then 'web:' || regexp_replace(substring(url, 8), '([~.!$&''()*+,;=/?#@%])', '\\\1', 'g') else '<' || url || '>' end as written from pages")
+def uri_format(spark, d):
+    known = spark.sql("select * from values ('web', 'http://') as t(prefix, base)")
+    named = T.namespacify(load(spark, d, "pages"), "url", known)
+    return named.select("page_id", T.prefixed(F.col("prefix"), F.col("local"), F.col("url")).alias("written"))
+
+
+# --- triples --------------------------------------------------------------------------------------------------------
+
+
+def geography(spark, d) -> DataFrame:
+    """nation and region as triples."""
+    region = load(spark, d, "region").withColumn("uri", F.concat(F.lit(EX + "region/"), F.col("r_regionkey")))
+    nation = load(spark, d, "nation").withColumn("uri", F.concat(F.lit(EX + "nation/"), F.col("n_nationkey"))).withColumn("region", F.concat(F.lit(EX + "region/"), F.col("n_regionkey")))
+    region_class = records.RecordClass("Region", EX + "Region", (records.Attr("r_name", EX + "name", "string"),))
+    nation_class = records.RecordClass("Nation", EX + "Nation", (records.Attr("n_name", EX + "name", "string"), records.Attr("region", EX + "in")))
+    return records.to_triples(region, region_class).unionByName(records.to_triples(nation, nation_class))
+
+
+def everything(spark, d) -> DataFrame:
+    """Geography with customers, who live in nations, and their orders."""
+    customer = load(spark, d, "customer").withColumn("uri", F.concat(F.lit(EX + "customer/"), F.col("c_custkey"))).withColumn("nation", F.concat(F.lit(EX + "nation/"), F.col("c_nationkey")))
+    order = load(spark, d, "orders").withColumn("uri", F.concat(F.lit(EX + "order/"), F.col("o_orderkey"))).withColumn("customer", F.concat(F.lit(EX + "customer/"), F.col("o_custkey")))
+    customer_class = records.RecordClass("Customer", EX + "Customer", (records.Attr("nation", EX + "in"), records.Attr("c_mktsegment", EX + "segment", "string")))
+    order_class = records.RecordClass("Order", EX + "Order", (records.Attr("customer", EX + "by"), records.Attr("o_orderstatus", EX + "status", "string")))
+    return geography(spark, d).unionByName(records.to_triples(customer, customer_class)).unionByName(records.to_triples(order, order_class))
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c)["value"].alias(c) for c in df.columns])
+
+
+@query(f"""select '<{EX}region/' || r_regionkey || '> <{T.RDF}type> <{EX}Region> .' as value from region union all select '<{EX}region/' || r_regionkey || '> <{EX}name> "' || r_name || '" .' from region
+union all select '<{EX}nation/' || n_nationkey || '> <{T.RDF}type> <{EX}Nation> .' from nation union all select '<{EX}nation/' || n_nationkey || '> <{EX}name> "' || n_name || '" .' from nation
+union all select '<{EX}nation/' || n_nationkey || '> <{EX}in> <{EX}region/' || n_regionkey || '> .' from nation""")
+def ntriples_lines(spark, d):
+    return sinks.ntriples_lines(geography(spark, d))
+
+
+@query(f"""select '<{EX}region/' || r_regionkey || '> a <{EX}Region> ;' || chr(10) || '  <{EX}name> "' || r_name || '" .' as value from region
+union all select '<{EX}nation/' || n_nationkey || '> a <{EX}Nation> ;' || chr(10) || '  <{EX}in> <{EX}region/' || n_regionkey || '> ;' || chr(10) || '  <{EX}name> "' || n_name || '" .' from nation""")
+def turtle_blocks(spark, d):
+    return sinks.turtle_blocks(geography(spark, d))
+
+
+_CUSTOMER = records.RecordClass("Customer", EX + "Customer", (records.Attr("c_name", EX + "name", "string"), records.Attr("c_acctbal", EX + "balance", "double"), records.Attr("c_nationkey", EX + "nation", "integer")))
+
+
+@query(f"select '{EX}customer/' || c_custkey as uri, c_name, c_nationkey::bigint as c_nationkey, round(c_acctbal, 2) as c_acctbal from customer")
+def records_from_triples(spark, d):
+    base = load(spark, d, "customer").withColumn("uri", F.concat(F.lit(EX + "customer/"), F.col("c_custkey")))
+    return records.from_triples(records.to_triples(base, _CUSTOMER), _CUSTOMER).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"select '{EX}order/' || o_orderkey as uri, (select string_agg(l_linenumber::varchar, ',' order by l_linenumber) from lineitem where l_orderkey = o_orderkey) as items from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def rdf_list_roundtrip(spark, d):
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("items"))
+    held = lines.join(load(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k", "left_semi").withColumn("uri", F.concat(F.lit(EX + "order/"), F.col("k")))
+    cls = records.RecordClass("Lines", EX + "Lines", (records.Attr("items", EX + "items", "integer", many=True, ordered=True),))
+    back = records.lists(records.to_triples(held, cls), EX + "items")
+    return back.select(F.col("s").alias("uri"), F.array_join(F.transform("items", lambda x: x["value"]), ",").alias("items"))
+
+
+@query("select doc_id, 'http://example.org/doc/' || doc_id as id, 'Annotation' as type, 'http://example.org/doc/' || doc_id || '#target' as target, case when toxic = 1 then 'toxic' else 'clean' end || '|' || case when quality = 1 then 'good' else 'poor' end as tags from labels")
+def jsonld_annotations(spark, d):
+    base = F.concat(F.lit(EX + "doc/"), F.col("doc_id"))
+    tags = F.array(F.when(F.col("toxic") == 1, "toxic").otherwise("clean"), F.when(F.col("quality") == 1, "good").otherwise("poor"))
+    made = load(spark, d, "labels").select(base.alias("uri"), F.concat(base, F.lit("#target")).alias("target_uri"), F.lit(EX + "labels").alias("creator_uri"), tags.alias("tags"))
+    written = records.to_jsonld(made, records.ANNOTATION)
+    parsed = F.from_json("json", "id string, type string, target string, creator string, tags array<string>")
+    return written.select(parsed.alias("j")).select(F.regexp_extract("j.id", r"(\d+)$", 1).cast("long").alias("doc_id"), "j.id", "j.type", "j.target", F.array_join("j.tags", "|").alias("tags"))
+
+
+_PRE = f"PREFIX ex: <{EX}> "
+
+
+@query("select n_name as nation, r_name as region from nation join region on n_regionkey = r_regionkey")
+def bgp_join(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + "SELECT ?nation ?region WHERE { ?n a ex:Nation ; ex:name ?nation ; ex:in ?r . ?r ex:name ?region . }"))
+
+
+@query(f"select '{EX}nation/' || n_nationkey as n, (select max('{EX}customer/' || c_custkey) from customer where false) as nothing, n_name as name from nation")
+def optional(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + "SELECT ?n ?nothing ?name WHERE { ?n a ex:Nation OPTIONAL { ?n ex:name ?name } OPTIONAL { ?n ex:missing ?nothing } }"))
+
+
+@query(f"select '{EX}region/' || r_regionkey as x, r_name as name from region union all select '{EX}nation/' || n_nationkey, n_name from nation")
+def union(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + "SELECT ?x ?name WHERE { { ?x a ex:Region ; ex:name ?name } UNION { ?x a ex:Nation ; ex:name ?name } }"))
+
+
+@query("select n_name as name from nation where n_nationkey in (3, 7, 11)")
+def values(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + f"SELECT ?name WHERE {{ VALUES ?n {{ <{EX}nation/3> <{EX}nation/7> <{EX}nation/11> }} ?n ex:name ?name . }}"))
+
+
+@query(f"select distinct '{EX}nation/' || n_nationkey as x from nation where n_nationkey::varchar like '1%'")
+def filter_strstarts(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + f'SELECT DISTINCT ?x WHERE {{ ?x ?p ?o FILTER isIRI(?x) FILTER(strstarts(str(?x), "{EX}nation/1")) }}'))
+
+
+@query(f"select '{EX}order/' || o_orderkey as o, r_name as region from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def path_seq(spark, d):
+    return _values(sparql.query(everything(spark, d), _PRE + "SELECT ?o ?region WHERE { ?o ex:by/ex:in/ex:in/ex:name ?region }"))
+
+
+@query(f"select '{EX}nation/' || c_nationkey as n, '{EX}order/' || o_orderkey as o from orders join customer on o_custkey = c_custkey")
+def path_inverse(spark, d):
+    return _values(sparql.query(everything(spark, d), _PRE + "SELECT ?n ?o WHERE { ?n ^ex:in/^ex:by ?o }"))
+
+
+@query(f"""select '{EX}customer/' || c_custkey as c, '{EX}customer/' || c_custkey as place from customer union all select '{EX}customer/' || c_custkey, '{EX}nation/' || c_nationkey from customer
+union all select '{EX}customer/' || c_custkey, '{EX}region/' || n_regionkey from customer join nation on c_nationkey = n_nationkey""")
+def path_star(spark, d):
+    return _values(sparql.query(everything(spark, d), _PRE + "SELECT ?c ?place WHERE { ?c a ex:Customer . ?c ex:in* ?place . }"))
+
+
+@query(f"select distinct '{EX}region/' || n_regionkey as s, '{EX}has' as p, '{EX}nation/' || n_nationkey as o from nation")
+def construct(spark, d):
+    made = sparql.query(geography(spark, d), _PRE + "CONSTRUCT { ?r ex:has ?n } WHERE { ?n ex:in ?r }")
+    return made.select(F.col("s.value").alias("s"), "p", F.col("o.value").alias("o"))
+
+
+@query("select count(*) > 0 as ask from nation where n_name = (select min(n_name) from nation)")
+def ask(spark, d):
+    return sparql.query(geography(spark, d), _PRE + "ASK { ?n a ex:Nation }")
+
+
+# --- metadata, sampling, runs ---------------------------------------------------------------------------------------
+
+_CHUNKS = ", ".join(f"('0x' || substr(sha256(doc_id::varchar), {i * 8 + 1}, 8))::bigint" for i in range(8))
+
+
+@query("select doc_id, " + ", ".join(f"list_reduce([0::bigint, {_CHUNKS}], lambda a, x: (a * 4294967296 + x) % {m}) = 0 as {n}" for n, m in (("deci", 10), ("centi", 100), ("milli", 1000))) + " from documents")
+def hash_fractions(spark, d):
+    text = F.col("doc_id").cast("string")
+    return load(spark, d, "documents").select("doc_id", *[(T.sha256_mod(text, m) == 0).alias(n) for n, m in (("deci", 10), ("centi", 100), ("milli", 1000))])
+
+
+@query("""with w as (select p_partkey, replace(p_type, ' ', '.') as category from part), t as (select distinct category as tag from w union select distinct split_part(category, '.', 1) from w)
+select tag, case when contains(tag, '.') then split_part(tag, '.', 1) end as parent, (select count(*) from w where category = tag)::bigint as n_direct from t""")
+def taxonomy_etl(spark, d):
+    parts = load(spark, d, "part").select(F.replace("p_type", F.lit(" "), F.lit(".")).alias("category"))
+    direct = parts.groupBy(F.col("category").alias("tag")).agg(F.count("*").alias("n"))
+    tags = direct.select("tag").unionByName(direct.select(F.split_part("tag", F.lit("."), F.lit(1)).alias("tag"))).distinct()
+    joined = tags.join(direct, "tag", "left")
+    return joined.select("tag", F.when(F.contains("tag", F.lit(".")), F.split_part("tag", F.lit("."), F.lit(1))).alias("parent"), F.coalesce("n", F.lit(0)).cast("long").alias("n_direct"))
+
+
+@query("select distinct doc_id from documents where doc_id not in (select doc_id from labels)")
+def resume_filter(spark, d):
+    return spotters.pending(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n_events from events group by 1, 2")
+def events_windowed(spark, d):
+    return incremental.windowed_counts(load(spark, d, "events"), "ts", "1 hour", "1 hour", "event_type")
+
+
+@query("""with m as (select user_id, ts, event_id from events), p as (select o_orderkey, o_custkey, o_orderdate from orders) select o_orderkey, (select max(ts) from m where m.user_id = p.o_custkey and m.ts <= p.o_orderdate) as last_ts from p""")
+def asof_events(spark, d):
+    points = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate")
+    marks = load(spark, d, "events").select("user_id", "ts", F.col("ts").alias("last_ts"))
+    return intervals.asof(points, marks, "user_id", "o_orderdate", "ts", ["last_ts"]).select("o_orderkey", "last_ts")
+
+
+@query()
+def spotter_annotations(spark, d):
+    docs = load(spark, d, "documents")
+    spotted = spotters.regex_spotter("doc_id", "text", {"license": r"\w+ under [^\n]{3,60}", "capitals": r"[A-Z]{4,}"})(docs)
+    return spotters.annotations(spotted, "doc_id", EX + "doc/", EX + "run").withColumn("tags", F.array_join("tags", ","))
+
+
+@query(rf"""with {_PIECES} select doc_id, count(*) as n_tokens, sum("end" - start)::bigint as n_chars, count(*) filter (where regexp_full_match(token, '[{_P}]')) as n_marks from tokens group by doc_id""")
+def document_token_stats(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    chars = F.aggregate("t", F.lit(0).cast("long"), lambda acc, t: acc + F.length(t))
+    marks = F.size(F.filter("t", lambda t: t.rlike(rf"^[{X._CLASS}]$")))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), chars.alias("n_chars"), marks.cast("long").alias("n_marks"))
+
