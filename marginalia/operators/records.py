@@ -154,25 +154,27 @@ def from_triples(triples: DataFrame, cls: RecordClass) -> DataFrame:
 def lists(triples: DataFrame, predicate: str, max_rounds: int = 40) -> DataFrame:
     """(s, items): the RDF lists that a predicate points at, in order.
 
-    Every cell's distance from the end is found by pointer doubling, so a list of n cells takes log n joins.
+    Every cell finds its list's first cell by pointer doubling, so lists of n cells take log n joins; each round is cached, so that the
+    plan doesn't grow with the rounds.
     """
-    heads = triples.where(F.col("p") == predicate).select(F.col("s.value").alias("s"), F.col("o.value").alias("cell"))
     nil = T.RDF + "nil"
-    jump = triples.where(F.col("p") == T.RDF + "rest").select(F.col("s.value").alias("cell"), F.col("o.value").alias("to"), F.lit(1).alias("n"))
-    first = triples.where(F.col("p") == T.RDF + "first").select(F.col("s.value").alias("cell"), F.col("o").alias("item"))
-    # which list a cell belongs to: heads spread along doubling jumps
-    reach = heads.where(F.col("cell") != nil).select("s", "cell", F.lit(0).alias("at"))
+    heads = triples.where(F.col("p") == predicate).select(F.col("s.value").alias("s"), F.col("o.value").alias("cell"))
+    rest = triples.where((F.col("p") == T.RDF + "rest") & (F.col("o.value") != nil)).select(F.col("o.value").alias("cell"), F.col("s.value").alias("up"), F.lit(1).alias("n"))
+    own = heads.where(F.col("cell") != nil).select("cell", F.col("cell").alias("up"), F.lit(0).alias("n")).distinct()
+    state = rest.join(own.select("cell"), "cell", "left_anti").unionByName(own).persist()
+    total = state.agg(F.sum("n")).first()[0]
     for _ in range(max_rounds):
-        new = reach.join(jump.where(F.col("to") != nil), "cell").select("s", F.col("to").alias("cell"), (F.col("at") + F.col("n")).alias("at"))
-        grown = reach.unionByName(new).distinct()
-        ahead = jump.select(F.col("cell").alias("to"), F.col("to").alias("far"), F.col("n").alias("m"))
-        jump = jump.join(ahead, "to", "left").select("cell", F.coalesce("far", "to").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        if jump.where(F.col("to") != nil).limit(1).count() == 0:
-            reach = grown
+        far = state.select(F.col("cell").alias("up"), F.col("up").alias("upper"), F.col("n").alias("m"))
+        grown = state.join(far, "up").select("cell", F.col("upper").alias("up"), (F.col("n") + F.col("m")).alias("n")).persist()
+        now = grown.agg(F.sum("n")).first()[0]
+        state.unpersist()
+        state = grown
+        if now == total:
             break
-        reach = grown
-    items = reach.join(first, "cell").groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
-    return heads.select("s").distinct().join(items, "s", "left").select("s", F.coalesce("items", F.array().cast(f"array<{T.TERM}>")).alias("items"))
+        total = now
+    first = triples.where(F.col("p") == T.RDF + "first").select(F.col("s.value").alias("cell"), F.col("o").alias("item"))
+    items = state.join(first, "cell").groupBy(F.col("up").alias("cell")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    return heads.join(items, "cell", "left").select("s", F.coalesce("items", F.array().cast(f"array<{T.TERM}>")).alias("items"))
 
 
 def to_jsonld(df: DataFrame, cls: RecordClass) -> DataFrame:
