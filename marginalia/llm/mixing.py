@@ -139,7 +139,7 @@ def drawn(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     rows = rows.withColumn("same", F.row_number().over(Window.partitionBy("source", "block", "k", "doc_id").orderBy("size")))
     rows = rows.join(fits, F.col("source").eqNullSafe(F.col("s2")) & (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     more = F.when(F.col("gives") <= 0, 0).when(F.col("gives") >= F.col("words"), 1).when(F.col("same") <= F.coalesce("n", F.lit(0)), 1).otherwise(0)
-    rows = rows.withColumn("copies", F.col("base") + F.when(F.col("size") > 0, more).otherwise(0)).drop("s2", "k2", "d2", "n")
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + more).otherwise(0)).drop("s2", "k2", "d2", "n")
 
     # the instances of a source's blocks: base copies of all, then the drawn ones, shared out by the tree
     per_source = blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("gives") > 0).cast("long")).alias("d"), F.first("base").alias("base"))

@@ -17,14 +17,14 @@ THRESHOLD = 0.3
 #: Documents' worth of prior counts, spread as the whole sample's frequencies (the Dirichlet prior).
 PRIOR = 20.0
 #: A token speaks for toxicity from this log-odds ratio and from so many standard deviations of it.
-LEAST_ODDS, LEAST_Z = 2.0, 3.0
+LEAST_ODDS, LEAST_Z = 2.0, 2.5
 #: Score of every other token: a segment ends where these outweigh what it gained.
 OTHER = -0.15
 #: A segment is significant when fewer than so many are expected in a clean text of that length.
 EXPECTED = 0.05
 STEMS = (4, 5, 6)
 
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def keys(token: str) -> Iterable[str]:
@@ -104,8 +104,8 @@ def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, pri
     """Log-odds ratios of keys, from documents of each class that hold them, under an informative Dirichlet prior."""
     odds = {}
     for key, a, b in counts:
-        q = prior * (a + b) / (toxic + clean)
-        d = math.log((a + q) / (toxic + prior - a - q)) - math.log((b + q) / (clean + prior - b - q))
+        q = 0.5 + prior * (a + b) / (toxic + clean)
+        d = math.log((a + q) / (toxic + prior + 1 - a - q)) - math.log((b + q) / (clean + prior + 1 - b - q))
         if d >= LEAST_ODDS and d / math.sqrt(1 / (a + q) + 1 / (b + q)) >= LEAST_Z:
             odds[key] = d
     return odds
@@ -131,15 +131,16 @@ def calibrate(odds: dict[str, float], clean: list[tuple[int, float]], tokens: di
     return rate, log_k
 
 
-def logistic(rows: list[tuple[float, float]], y: list[int], ridge: float = 0.5) -> tuple[float, float, float]:
-    """Weights of a logistic regression on the two kinds of evidence, the classes as frequent as in the rows."""
+def logistic(rows: list[tuple[float, float]], y: list[int], weights: dict[int, float] | None = None, ridge: float = 0.5) -> tuple[float, float, float]:
+    """Weights of a logistic regression on the two kinds of evidence, each class's rows weighed so that the classes are as frequent as they are among all labels."""
     import numpy as np
 
     x = np.c_[np.ones(len(rows)), np.asarray(rows, dtype=float).reshape(-1, 2)]
     t, w = np.asarray(y, dtype=float), np.zeros(3)
+    v = np.array([(weights or {}).get(c, 1.0) for c in y])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.diag([1e-3, 1, 1]), x.T @ (t - p) - ridge * np.array([1e-3, 1, 1]) * w)
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + ridge * np.diag([1e-3, 1, 1]), x.T @ (v * (t - p)) - ridge * np.array([1e-3, 1, 1]) * w)
         w += step
         if np.abs(step).max() < 1e-7:
             break
@@ -149,7 +150,7 @@ def logistic(rows: list[tuple[float, float]], y: list[int], ridge: float = 0.5)
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
     """Fit on a bounded sample of labelled rows that aren't held out.
 
-    Documents that share the two smallest hashes of their words are taken as copies, and one of each class teaches.
+    Documents that share the two smallest hashes of their runs of three words are taken as copies, and one of each class teaches.
     """
     spark = docs.sparkSession
 
@@ -161,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
         for batch in batches:
             marks = []
             for text in batch.column(2):
-                hashes = {zlib.crc32(w.encode()) for w in set(_TOKEN.findall((text.as_py() or "").lower()))}
+                w = _TOKEN.findall((text.as_py() or "").lower())
+                hashes = {zlib.crc32(" ".join(run).encode()) for run in (zip(w, w[1:], w[2:]) if len(w) > 2 else [w])}
                 marks.append(",".join(map(str, sorted(hashes)[:2])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], ["doc_id", "y", "text", "mark"])
 
@@ -216,7 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
     for r in seen:
         bits = [rate * s - log_k - math.log(r.n) for s in r.found] if r.n else []
         evidence.append((max(0.0, max(bits, default=0.0)), math.log1p(sum(b for b in bits if b > -math.log(EXPECTED)))))
-    scorer.weights = logistic(evidence, [r.y for r in seen])
+    # the sample is balanced and without copies: weigh its classes back to their shares of the labels
+    every = {r.toxic: r.n for r in pick(labels, ["doc_id", "toxic"]).where("toxic in (0, 1)").where(F.coalesce(remainder(4) != 2, F.lit(False))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = {y: every.get(y, 0) / sizes[y] for y in (0, 1)}
+    total = sum(every.values()) or 1
+    scorer.weights = logistic(evidence, [r.y for r in seen], {y: share[y] * len(seen) / total for y in (0, 1)})
     return scorer
 
 
