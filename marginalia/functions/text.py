@@ -19,9 +19,8 @@ _CLASS = "".join("\\" + c if c in "[](){}.?-" else c for c in PUNCTUATION)
 COVERING = rf"(?U)[\s\x1c-\x1f]+|[{_CLASS}]|[^\s\x1c-\x1f{_CLASS}]+"
 TOKEN = rf"(?U)[{_CLASS}]|[^\s\x1c-\x1f{_CLASS}]+"
 _PY_TOKEN = re.compile(rf"[{_CLASS}]|[^\s{_CLASS}]+")
-#: A sentence ends at ! or ? and at a full stop that isn't followed by a small letter or inside a number, unless a no-break space or one of , . : ; follows.
-SENTENCE = r"(?s)(?:.*?)(?:\.(?!\p{Ll})(?!(?<=\p{Nd}\.)\p{Nd})(?![\x{a0},.:;])|[!?](?![\x{a0},.:;]))|.+$"
-ENDED = r"(?s).*(?:\.|[!?])$"
+#: A sentence ends behind ! or ? and behind a full stop that isn't followed by a small letter or inside a number, unless a no-break space or one of , . : ; follows.
+SENTENCE_END = r"(?<=\.)(?!\p{Ll})(?!(?<=\p{Nd}\.)\p{Nd})(?![\x{a0},.:;])|(?<=[!?])(?![\x{a0},.:;])"
 
 
 def tokens(text: Column) -> Column:
@@ -31,9 +30,8 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column, keep_tail: bool = False) -> Column:
     """The sentences of a text, stripped, runs of other white space made one space; what follows the last end is left out unless asked for."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
-    if not keep_tail:
-        pieces = F.filter(pieces, lambda p: p.rlike(ENDED))
+    pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    pieces = F.filter(pieces, (lambda p: p != "") if keep_tail else (lambda p: F.substring(p, -1, 1).isin(".", "!", "?")))
     return F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
 
 
