@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, pick
-from marginalia.llm.tokens import WordEncoder, default_path
+from marginalia.llm.tokens import default_path, encoder
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -36,11 +36,11 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end, part, pos = WordEncoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        ids_of, end, part, pos = encoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + end
+                ids = ids_of.encode(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), part, pos))

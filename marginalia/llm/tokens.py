@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable
 
 #: Distinct pre-tokens that one worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 #: Characters outside those whose classes, lower case and composition are the same for Python and for the tokenizer.
 _UNUSUAL = re.compile("[^\\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ‘’“”–—…€]")
 #: The tokenizer's pre-tokens in lower-case text of those characters.
@@ -74,3 +74,13 @@ class WordEncoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         return map(self.encode, texts)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder of a file: a worker keeps its memo from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, pick, shared_path
-from marginalia.llm.tokens import WordEncoder, default_path
+from marginalia.llm.tokens import default_path, encoder
 
 #: Tokens of a record, bytes of a token and records of a shard.
 SEQUENCE, WIDTH, SHARD_SLOTS = 512, 2, 8192
@@ -64,10 +64,10 @@ def _parts(docs: DataFrame, path: str, sequence: int, width: int) -> dict[int, i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, n = WordEncoder(path), 0
+        ids_of, n = encoder(path), 0
         for batch in batches:
             for text in batch.column(1):
-                n += -(-(len(encoder.encode(text.as_py())) // 4 + 1) // sequence)
+                n += -(-(len(ids_of.encode(text.as_py())) // 4 + 1) // sequence)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     return {r.part: r.n for r in docs.mapInArrow(counted, "part int, n long").collect()}  # a row per task
@@ -102,10 +102,10 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, at = WordEncoder(path), first.get(part, 0)
+        ids_of, at = encoder(path), first.get(part, 0)
         stop = at + counts.get(part, 0)
         for batch in batches:
-            rows = [(d, k, r) for d, text in zip(batch.column(0).to_pylist(), batch.column(1)) for k, r in enumerate(_records(encoder.encode(text.as_py()), sequence, width, end))]
+            rows = [(d, k, r) for d, text in zip(batch.column(0).to_pylist(), batch.column(1)) for k, r in enumerate(_records(ids_of.encode(text.as_py()), sequence, width, end))]
             if at + len(rows) > stop:
                 raise RuntimeError("the input's partitions changed between two readings")
             slots = feistel(np.arange(at, at + len(rows)), total, key) if rows else np.array([], dtype=np.int64)
