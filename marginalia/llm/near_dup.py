@@ -7,7 +7,7 @@ band are candidates, and every link is confirmed by the exact Jaccard similarity
 
 The candidates of a bucket are not paired with one another.  Texts with equal word sequences are one class from the start.
 Then each class meets the smallest class of its buckets; confirmed links form components; only classes that share a
-bucket and are still in different components meet after that.  What is left uncompared is connected anyway, so the
+bucket and are still in different components meet after that (in a crowded bucket only those that share a further band).  What is left uncompared is connected anyway, so the
 components are those of all candidate pairs.  Before full sets are fetched, a pair must agree in a share of its signature that a
 link misses about once in 10^8 pairs.
 """
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 3
 AGREE = 0.44
 #: Bands whose buckets give the first links; the rest only join what these leave apart.
 FIRST_BANDS = 8
+#: Components that meet directly in a bucket; where there are more, classes meet only if they share one of the next bands too.
+CROWD, NEXT_BANDS = 64, 12
 #: Ids that are broadcast at most, some 16 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shingles that are hashed in one row.
@@ -88,7 +90,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.max(linked).alias("linked"))
 
 
-def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST_BANDS) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST_BANDS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, cid) of documents with words, and (node, label) of the linked classes."""
     docs = pick(docs, ["doc_id", "text"])
     signed = materialize(signatures(docs, bands, rows), "signatures")
@@ -112,11 +114,16 @@ def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows
     # second: classes of one bucket in different components
     label = labels.select(F.col("node").alias("cid"), "label")
     known = members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    left = materialize(known.join(open_, "h").select("h", "cid", "n", "label"), "open")
-    x = left.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = left.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = x.join(y, "h").where("la < lb").where(near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label").alias("labels"))
+    open_ = several.where("lo < hi").select("h", (F.col("labels") > crowd).alias("crowded"))
+    left = materialize(known.join(open_, "h").select("h", "band", "cid", "n", "label", "crowded"), "open")
+    # a crowded bucket is one of a passage that many share: split it by further bands, of which linked classes share a third
+    further = F.transform(F.sequence(F.lit(1), F.lit(min(NEXT_BANDS, bands - 1))), lambda k: F.xxhash64("h", F.get("bands", (F.col("band") + k) % bands)))
+    split = left.where("crowded").join(own.select("cid", "bands"), "cid").select(F.explode(further).alias("key"), "cid", "n", "label")
+    keyed = left.where("not crowded").select(F.col("h").alias("key"), "cid", "n", "label").unionByName(split)
+    x = keyed.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = keyed.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    apart = x.join(y, "key").where("la < lb").where(near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     apart = apart.join(seen.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(_alike(apart, sketches), "alike"), docs, percent), "links")
     return owned, connected_components(linked.unionByName(more.where("linked").select("a", "b")))

@@ -79,6 +79,12 @@ def test_near_duplicates_equal_brute_force(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id), r
 
 
+def test_crowded_buckets_lose_no_link(docs):
+    _, plain = near_dup.components(docs)
+    _, split = near_dup.components(docs, crowd=0)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
