@@ -7,9 +7,9 @@ band are candidates, and every link is confirmed by the exact Jaccard similarity
 
 The candidates of a bucket are not paired with one another.  Texts with equal word sequences are one class from the start.
 Then each class meets the smallest class of its buckets; confirmed links form components; only classes that share a
-bucket and are still in different components meet after that (in a crowded bucket only those that share a further band).  What is left uncompared is connected anyway, so the
-components are those of all candidate pairs.  Before full sets are fetched, a pair must agree in a share of its signature that a
-link misses about once in 10^8 pairs.
+bucket and are still in different components meet after that, in a crowded bucket only those that share a further band.
+What is left uncompared is connected anyway.  Before full sets are fetched, a pair must agree in a share of its signature
+that a link misses about once in 10^8 pairs.
 """
 
 from __future__ import annotations
