@@ -112,6 +112,16 @@ class UnigramCounter:
         return pieces, total
 
 
+_COUNTERS: dict[str, UnigramCounter] = {}
+
+
+def counter(path: str) -> UnigramCounter:
+    """This process's counter of a file: a worker keeps its memo from task to task."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = UnigramCounter(*vocabulary(path))
+    return _COUNTERS[path]
+
+
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, score (of the best segmentation).
 
@@ -123,9 +133,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = UnigramCounter(*vocabulary(path))
+        own = counter(path)
         for batch in batches:
-            found = [counter.count(t.as_py()) for t in batch.column(1)]
+            found = [own.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "n_tokens", "score"])
 
     return pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n_tokens long, score double")
