@@ -1,6 +1,6 @@
 """License scan by canonical digest lookup, with DataFrame functions only.
 
-A text in canonical form (case, punctuation, copyright lines and equivalent spellings removed) is looked up as a whole, by its
+A text in canonical form (case, punctuation, copyright statements and equivalent spellings removed) is looked up as a whole, by its
 digest, among those of known licences.  Each line is looked up the same way, for the notices that documents carry.
 """
 
@@ -10,10 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import pick
+from marginalia.llm.license_registry import registry
 
 #: Spellings that mean the same, after punctuation is gone.
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("copyright holders", "copyright owner"), ("copyright holder", "copyright owner"), ("copyright owners", "copyright owner"), ("noncommercial", "non commercial"), ("https", "http"), ("per cent", "percent"))
+#: A whole line from a copyright sign on, as ``ORACLE`` has it.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_SIGN = r"(?i:copyright|\(c\)|©)"
+_RESERVED = r"(?i:all rights reserved)[.;]?"
+#: Words that begin the next sentence after a holder, even without a full stop.
+_NEXT = r"(?i:permission is|permission to|redistribution and|licensed under|released under|distributed under|available under|everyone is|dedicated to|the software is|this (?:\w+ )?(?:is|software|work|program|file|document|library)|all rights reserved)"
+#: A holder ends with the line, before the next sentence, or at a full stop that is no abbreviation's.
+_HOLDER = rf"[^\n]*?(?:(?=[ \t\r]*$)|(?=[ \t,;:.–—-]+{_NEXT})|(?<!\b(?:[Ii]nc|[Cc]orp|[Ll]td|[Cc]o|[Jj]r|[Ss]r|[Dd]r|[Ss]t|\p{{Lu}}))[.](?=[ \t]+\p{{L}}))"
+_NAME = r"(?:\p{Lu}[\p{L}\p{N}.,'&-]*|of|and|by|the|its|contributors|authors?|project|developers|team|others|<[^>\n]*>)"
+#: The copyright statement that begins a line: a sign with a year or a second sign, then the holder; or names alone after ``Copyright``; then the reservation.
+COPYRIGHT = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:(?:{_SIGN}[ \t,:]*)+(?:(?i:by)[ \t]+)?(?:[<\[{{(]?(?i:\d{{4}}|years?|yyyy)\b{_HOLDER}|(?<=(?i:copyright)[ \t]{{0,9}}(?i:\(c\)|©)[ \t]{{0,9}}){_HOLDER})"
+    rf"|(?i:copyright)[ \t]+(?!(?i:holders?|owners?|notices?|laws?|acts?|licen[sc]es?|and|or|in|is)\b)(?:{_NAME}[ \t]*){{1,12}}(?=\r?$)|(?={_RESERVED}))[ \t.,;:–—-]*(?:{_RESERVED})?"
+)
 #: A known-licence table is broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 20_000
 
@@ -47,8 +61,12 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, words apart by one space, one spelling."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    """Lower case, without copyright statements, words apart by one space, one spelling."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    # few texts have a statement at all: the rest are spared its pattern
+    signed = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
+    out = F.when(signed, F.lower(F.regexp_replace(text, COPYRIGHT, " "))).otherwise(low)
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -61,8 +79,9 @@ def digest(text: Column) -> Column:
     return F.when(c != "", F.sha2(c, 256))
 
 
-def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """(license_id, text) of the built-in texts."""
+def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
+    """(license_id, text) of the built-in texts: notices and whole licences."""
+    texts = registry(KNOWN) if texts is None else texts
     rows = ", ".join("({}, {})".format(*("'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for v in row)) for row in texts)
     return spark.sql(f"select * from values {rows} as t(license_id, text)")
 
@@ -98,7 +117,8 @@ def _sql_canonical(text: str) -> str:
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
-#: The same scan for DuckDB.
+#: The same scan for DuckDB, over the entries of ``KNOWN`` alone and with whole copyright lines removed: it equals the query where no whole
+#: licence of the registry occurs and nothing follows a copyright statement on its line, as in the driver's tables.
 ORACLE = f"""
 with known as (select min(license_id) as license_id, d from (select license_id, sha256({_sql_canonical("text")}) as d from (values {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in KNOWN)}) as k(license_id, text)) group by d),
 whole as (select doc_id, case when c <> '' then sha256(c) end as digest from (select doc_id, {_sql_canonical("text")} as c from documents)),

@@ -213,6 +213,23 @@ def test_licenses(spark):
     assert got[1].license_id == "MIT" and got[2].license_id is None and got[2].notices == "MIT" and got[3].digest is None and got[4].digest is None and got[None].notices == ""
 
 
+def test_licenses_whole_texts(spark):
+    from marginalia.llm.license_registry import TEXTS
+
+    mit = [t for i, t in licenses.KNOWN if i == "MIT"][-1]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    cases = [((TEXTS / f).read_text(), i) for f, i in files.items()]
+    cases += [(" ".join(t.split()), i) for t, i in cases if i in ("Apache-2.0", "MPL-2.0", "CC0-1.0")]
+    cases += [(t.partition("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n", i) for t, i in cases[:4]]
+    cases += [(f"{title}\n\nCopyright (c) 2020-2024 Jane Doe, Inc. <j@x.org>\n\n{mit}", "MIT") for title in ("MIT License", "The MIT License (MIT)")]
+    cases += [(" ".join(f"Copyright (c) 2020 Acme, Inc. All rights reserved. {mit}".split()), "MIT"), (f"Copyright The Project Authors\n{mit}", "MIT"), ("Copyright 2021 A. Author. Licensed under the MIT License.", "MIT")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[k].license_id for k in range(len(cases))] == [i for _, i in cases]
+    kept = [(0, "Copyright law differs between the two states."), (1, "(c) You must retain all notices"), (2, "Copyright (c) 2020 X\nAll rights reserved."), (3, "COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY")]
+    digests = {r.doc_id: r.digest for r in licenses.license_scan(spark.createDataFrame(kept, "doc_id long, text string")).collect()}
+    assert digests[0] and digests[1] and digests[2] is None and digests[3]
+
+
 def _labelled(spark):
     r = random.Random(8)
     rows, labels = [], []
