@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,6 +207,17 @@ def test_embeddings_equal_brute_force(spark):
         assert (q.n_links, q.component_id) == want, i
 
 
+def test_hypergeometric_law_beyond_enumeration():
+    r, good, bad, n = random.Random(3), 200, 999_800, 3_000
+    p = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(4)]
+    got = [mixing.hypergeometric(r, good, bad, n) for _ in range(20_000)]
+    for k, share in enumerate(p):
+        assert abs(got.count(k) / len(got) - share) < 5 * (share / len(got)) ** 0.5
+    big = [mixing.hypergeometric(r, 400_000, 600_000, 500_000) for _ in range(100)]
+    assert abs(sum(big) / 100 - 200_000) < 5 * 245 / 10 and all(abs(x - 200_000) < 6 * 245 for x in big)
+    assert mixing.hypergeometric(r, 60_000, 5, 60_000) >= 59_995 and mixing.hypergeometric(r, 60_000, 0, 30_000) == 30_000
+
+
 def test_licenses(spark):
     mit = [t for i, t in licenses.KNOWN if i == "MIT"][-1]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("COPYRIGHT HOLDERS", "Copyright Holder"), 0), (2, "text\nreleased under the MIT licence\nmore", 0), (3, None, 0), (4, "...", 0), (None, "x", 0), (2, "text\nreleased under the MIT licence\nmore", 0)]
