@@ -36,6 +36,19 @@ def regex_spotter(key: str, text: str, rules: dict[str, str], prune: bool = True
     return spot
 
 
+def function_spotter(key: str, text: str, function: Callable) -> Spotter:
+    """Annotates what a function from a text to (start, end, tag) triples gives; a document on which it fails has one row with the error alone."""
+    safe = errors_as_rows(lambda value: [tuple(x) for x in function(value)])
+    spotted = F.udf(safe, "found array<struct<start:int,end:int,tag:string>>, error string")
+
+    def spot(df: DataFrame) -> DataFrame:
+        called = df.select(key, spotted(text).alias("r"))
+        rows = called.select(key, F.explode_outer("r.found").alias("f"), F.col("r.error").alias("error"))
+        return rows.where("f is not null or error is not null").select(key, "f.start", "f.end", "f.tag", "error")
+
+    return spot
+
+
 def pos_tags(df: DataFrame, key: str, text: str, lexicon: dict[str, str], default: str = "X") -> DataFrame:
     """(key, tok_id, token, start, end, pos): tokens with a tag from a lexicon, a slot for any model of that form."""
     from marginalia.functions.text import word_tokens
@@ -64,7 +77,8 @@ def run(spark: SparkSession, documents: DataFrame, key: str, spotters: dict[str,
     """Run spotters over the documents that ``out`` doesn't have yet, and append their annotations there.
 
     Each spotter's rows go to ``out/<name>``, and the keys to ``out/processed`` only when all are written: a run that is cut short is done
-    again, and rows of documents that weren't marked are dropped by ``results``.
+    again, and rows of documents that weren't marked are dropped by ``results``.  A spotter with a column ``error``, as those of
+    ``function_spotter``, has its failures appended to ``out/errors`` as (key, spotter, error); the document counts as processed.
     """
     import os
 
@@ -79,7 +93,14 @@ def run(spark: SparkSession, documents: DataFrame, key: str, spotters: dict[str,
     run_id = prefix or os.urandom(8).hex()
     counts = {}
     for name, spotter in spotters.items():
-        spotter(todo).withColumn("run", F.lit(run_id)).write.mode("append").parquet(f"{out}/{name}")
+        spotted = spotter(todo).withColumn("run", F.lit(run_id))
+        if "error" in spotted.columns:
+            both = spotted.persist()
+            both.where("error is not null").select(key, F.lit(name).alias("spotter"), "error", "run").write.mode("append").parquet(f"{out}/errors")
+            both.where("error is null").drop("error").write.mode("append").parquet(f"{out}/{name}")
+            both.unpersist()
+        else:
+            spotted.write.mode("append").parquet(f"{out}/{name}")
         counts[name] = spark.read.parquet(f"{out}/{name}").where(F.col("run") == run_id).count()
     todo.select(key).withColumn("run", F.lit(run_id)).write.mode("append").parquet(done)
     todo.unpersist()

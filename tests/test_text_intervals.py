@@ -75,3 +75,20 @@ def test_classification(spark):
     pred = spark.createDataFrame([(1, "p1", 0, 5), (1, "p2", 10, 12), (1, "p3", 13, 21), (1, "p4", 50, 60)], "d int, id string, start int, end int")
     got = sorted((r.gold_id or "", r.pred_id or "", r.category) for r in intervals.classify(gold, pred, "d").collect())
     assert got == [("", "p4", "prediction_only"), ("g1", "p1", "precise"), ("g2", "p2", "multimatch"), ("g2", "p3", "multimatch"), ("g3", "", "golden_only"), ("g4", "", "degenerate")]
+
+
+def test_failing_documents_become_error_rows(spark, tmp_path):
+    from marginalia.operators import spotters
+
+    def letters(value):
+        for i, c in enumerate(value):
+            if c == "!":
+                raise ValueError("bad text")
+            yield i, i + 1, c
+
+    docs = spark.createDataFrame([(1, "ab"), (2, "a!"), (3, None), (4, "")], "id long, text string")
+    out = str(tmp_path / "run")
+    assert spotters.run(spark, docs, "id", {"letters": spotters.function_spotter("id", "text", letters)}, out) == {"letters": 2}
+    assert sorted((r.id, r.start, r.end, r.tag) for r in spotters.results(spark, out, "letters").collect()) == [(1, 0, 1, "a"), (1, 1, 2, "b")]
+    errors = {r.id: (r.spotter, r.error) for r in spotters.results(spark, out, "errors").collect()}
+    assert errors.keys() == {2, 3} and errors[2] == ("letters", "ValueError: bad text")
