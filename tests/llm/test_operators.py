@@ -190,21 +190,41 @@ def test_token_counts(docs, rows):
     assert sorted((r.doc_id or -1, r.n_tokens) for r in token_count.token_counts(docs).collect()) == sorted((i or -1, c.best("▁" + t.replace(" ", "▁"))[0] if t else 0) for i, t, _ in rows)
 
 
-def test_embeddings_equal_brute_force(spark):
+def _cosines(rows, got, cosine=0.9):
+    """Compare (vec_id, vector) rows of finite vectors with brute force, in any width."""
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.sqrt((v**2).sum()) for i, v in unit.items()}
+    ids = sorted(unit)
+    edges = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine]
+    label, degree = _components(ids, edges), collections.Counter(v for e in edges for v in e)
+    for i in ids:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (degree[i], label[i], label[i] == i), i
+    return edges
+
+
+@pytest.mark.parametrize("block_bytes, tiles", [(64 * 64, 256), (64 * 64, 3), (1 << 24, 256)])
+def test_embeddings_equal_brute_force(spark, block_bytes, tiles):
     r = np.random.default_rng(4)
     base = r.normal(size=(15, 8))
     x = [(base[k % 15] + (0.12 * r.normal(size=8) if k > 40 else 0.0)).tolist() for k in range(300)]
-    rows = [(i, v, 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] + [1.0] * 7, 1), (903, [None] + [1.0] * 7, 1), (None, x[0], 1), (904, [], 1), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1)]
-    got = {q.vec_id: q for q in embedding_dup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies int"), block=64).collect()}
-    unit = np.array(x) / np.sqrt((np.array(x) ** 2).sum(1))[:, None]
-    near = unit @ unit.T >= 0.9 - 1e-12
-    edges = [(i, j) for i in range(300) for j in range(i) if near[i, j]] + [(905, 906)]
-    label = _components([*range(300), 905, 906], edges)
-    degree = collections.Counter(v for e in edges for v in e)
-    assert len(got) == len(rows)
-    for i, q in got.items():
-        want = (degree[i], label.get(i, i)) if i is not None else (0, None)
-        assert (q.n_links, q.component_id) == want, i
+    x += [(base[0] + 0.01 * r.normal(size=8)).tolist() for _ in range(150)]  # a third of all rows near one another
+    odd = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [None] + [1.0] * 7), (None, x[0]), (904, []), (907, [float("inf")] + [1.0] * 7)]
+    # components far beyond the squares that a double holds
+    plain = [*enumerate(x), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (910, [1e-200, 0.0]), (911, [1e-200, 0.0]), (912, [1.0, 0.0]), (913, [1.0, 0.1]), (914, [1e200, 0.0]), (915, [1e200, 1e199]), (916, [5e-324, 5e-324])]
+    rows = [(i, v, 1) for i, v in odd + plain]
+    found = embedding_dup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies int"), block_bytes=block_bytes, tiles=tiles).collect()
+    got = {q.vec_id: q for q in found}
+    assert len(found) == len(rows) and len(_cosines(plain, got)) > 5000
+    for i, _ in odd:
+        assert (got[i].n_links, got[i].component_id) == (0, i)
+
+
+def test_embedding_tiles_prune_separate_clusters():
+    r = np.random.default_rng(6)
+    c = embedding_dup.units(r.normal(size=(6, 32)))
+    x = embedding_dup.units(np.repeat(c, 50, 0) + 0.02 * r.normal(size=(300, 32)))
+    own, mask = embedding_dup.reached(x, embedding_dup.centres(x, 6), 0.9)
+    assert len(set(own)) == 6 and mask.sum() == 300  # each vector goes to its own tile only
 
 
 def test_hypergeometric_law_beyond_enumeration():
