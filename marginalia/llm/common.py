@@ -8,7 +8,9 @@ can read that folder, so a lost executor never loses them.
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -28,10 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none, as in tests."""
+    """The cluster's shared folder; a local one is set only where the session names none and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="marginalia-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -113,3 +119,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that extra or clashing columns of an input never meet the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Rows of a table that is broadcast at most: some tens of megabytes of a few narrow columns.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, counted; as it is, for a shuffle join, beyond."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from all taken names."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame functions only.
 
-Documents of a source are hashed into blocks.  A source's target fixes how many words the mix takes from it: whole copies of all its
-blocks, and one more of some.  The blocks that are taken once more are the first of a keyed permutation, up to the block in which the
-target lies; within that one, documents are taken while they fit.  A tree over the output shards splits the exact block counts of
-every source in two, again and again, each time by a multivariate-hypergeometric draw; a shard then gets as many
-blocks as its leaf says, disjoint runs of the permutation, and shuffles its rows locally.
+Documents of a source are hashed into blocks.  A source's target fixes its quota of block instances: whole copies of all its blocks, and one
+more of those that a keyed permutation puts first, up to the block in which the target lies; of that one the documents count while they fit.
+A tree over the output shards splits the exact quotas of every source in two, again and again, each time by a multivariate-hypergeometric
+draw, down to how many instances each shard draws from each source.  Those are disjoint runs of the permutation; what the mix
+takes of a document is the number of the shards' drawn instances that hold it.  A shard shuffles its rows locally.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, pick, words
+from marginalia.llm.common import free_name, materialize, pick, small, words
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -23,8 +23,10 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Documents in a block, on average.
 BLOCK_DOCS = 128
-#: Levels of the splitting tree: two to that power output shards.
-LEVELS = 5
+#: Levels of the splitting tree, at least: two to that power output shards; and the words of a shard beyond which there are more.
+LEVELS, SHARD_WORDS = 5, 1 << 27
+#: Bits of the permutation's key that number its buckets: a source's blocks are ranked in so many tasks, not in one.
+BUCKET_BITS = 10
 SEED = 20_240
 
 
@@ -50,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def hypergeometric(draw: random.Random, good: int, bad: int, n: int) -> int:
-    """Marked blocks among n drawn without replacement: block by block for few, else by inverse transform from the mode.
+    """Marked blocks among n drawn without replacement, by inverse transform from the mode.
 
     Probabilities follow from the mode's by the ratio of neighbours, out to where they are below 2^-80 of it: the law is exact
     to double precision at every size, in a number of steps that grows with the standard deviation.
@@ -59,13 +61,6 @@ def hypergeometric(draw: random.Random, good: int, bad: int, n: int) -> int:
     if not total or not good or not n:
         return 0
     low, high = max(0, n - bad), min(n, good)
-    if n <= 2_000 and total <= 50_000:
-        got, left, g = 0, total, good
-        for _ in range(n):
-            if draw.random() * left < g:
-                got, g = got + 1, g - 1
-            left -= 1
-        return got
     mode = max(low, min(high, (n + 1) * (good + 1) // (total + 2)))
     weights, w, k = {mode: 1.0}, 1.0, mode
     while k < high and w > 2.0**-80:
@@ -117,84 +112,117 @@ def split_tree(counts: dict, levels: int = LEVELS, seed: int = SEED) -> list[tup
     return leaves
 
 
-def _key(*columns: Column, seed: int) -> Column:
-    return F.xxhash64(*columns, F.lit(seed))
+def _quotas(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, levels: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Figures of each source; of each drawn block its instances with their shards; the documents that fit of a cut block; the number of shards.
 
-
-def drawn(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, levels: int = LEVELS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, source, size, row key, block, copies) with their source's figures, and the blocks' shards by copy."""
+    The second has (s, block, placed, cut): ``placed`` lists (copy, shard) of every instance that a shard draws, ``cut`` says that the one
+    beyond the whole copies gives some documents only.  The third has (s, k, d, m): so many of the rows with that key fit.
+    """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("k"))
     sized = materialize(sized, "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most)
     base = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size") + 1e-12)).cast("int")
     sources = sources.withColumn("base", base).withColumn("extra", F.round(F.col("target") - F.col("base") * F.col("source_size")).cast("long"))
-    sources = materialize(sources.withColumn("n_blocks", F.ceil(F.col("n_docs") / BLOCK_DOCS)), "sources")
-
-    same = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    blocked = same.withColumn("block", F.pmod("k", "n_blocks"))
-    blocks = blocked.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"), F.first("base").alias("base"))
-    shuffled = Window.partitionBy("source").orderBy(_key("block", seed=seed), "block")
-    blocks = blocks.withColumn("rank", F.row_number().over(shuffled) - 1).withColumn("end", F.sum("words").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)))
+    sources = materialize(sources.withColumn("n_blocks", F.ceil(F.col("n_docs") / BLOCK_DOCS)).withColumnRenamed("source", "s"), "sources")
+
+    blocked = sized.where("size > 0").join(small(sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("k", "n_blocks"))
+    key = F.xxhash64("block", F.lit(seed))
+    blocks = blocked.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"), F.first("base").alias("base"))
+    blocks = materialize(blocks.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS)), "block-sizes")
+    # the permutation orders blocks by bucket and key; ranks and running sums in two levels
+    totals = blocks.groupBy("s", "bucket").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    earlier, every = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("s")
+    totals = totals.select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("w0"), F.sum("n").over(every).alias("made"))
+    within = Window.partitionBy("s", "bucket").orderBy("key", "block")
+    ranked = blocks.withColumn("i", F.row_number().over(within) - 1).withColumn("sum", F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.join(totals, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).withColumn("rank", F.col("n0") + F.col("i"))
     # words that a block gives beyond the whole copies: all, none, or what the target still lacks
-    blocks = blocks.withColumn("gives", F.greatest(F.lit(0), F.least(F.col("words"), F.col("extra") - F.col("end") + F.col("words"))))
-    blocks = materialize(blocks.withColumn("made", F.count("*").over(Window.partitionBy("source"))), "blocks")
-
-    cut = blocks.where("gives > 0 and gives < words").select("source", "block", "gives")
-    inside = blocked.join(F.broadcast(cut.withColumnRenamed("source", "s").withColumnRenamed("block", "b")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    # at most one such block a source, of some hundred documents: the largest first, each while it fits
-    listed = inside.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("size", "k", "doc_id")), asc=False).alias("all"), F.first("gives").alias("gives"))
-    taken = F.aggregate(
-        "all",
-        F.struct(F.col("gives").alias("room"), F.array().cast("array<struct<k:bigint,doc_id:bigint>>").alias("got")),
-        lambda acc, x: F.when(
-            (x["size"] <= acc["room"]) & (x["size"] > 0),
-            F.struct((acc["room"] - x["size"]).alias("room"), F.concat(acc["got"], F.array(F.struct(x["k"].alias("k"), x["doc_id"].alias("doc_id")))).alias("got")),
-        ).otherwise(acc),
-    )
-    fits = listed.select(F.explode(taken["got"]).alias("g"), F.col("source").alias("s2")).groupBy(F.col("g.k").alias("k2"), F.col("g.doc_id").alias("d2"), "s2").agg(F.count("*").alias("n"))
-    figures = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "rank", "made", "gives", "words")
-    rows = blocked.join(figures, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    # equal rows share their key: as many of them as fit are told apart by number
-    rows = rows.withColumn("same", F.row_number().over(Window.partitionBy("source", "block", "k", "doc_id").orderBy("size")))
-    rows = rows.join(fits, F.col("source").eqNullSafe(F.col("s2")) & (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
-    more = F.when(F.col("gives") <= 0, 0).when(F.col("gives") >= F.col("words"), 1).when(F.col("same") <= F.coalesce("n", F.lit(0)), 1).otherwise(0)
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + more).otherwise(0)).drop("s2", "k2", "d2", "n")
-
-    # the instances of a source's blocks: base copies of all, then the drawn ones, shared out by the tree
-    per_source = blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("gives") > 0).cast("long")).alias("d"), F.first("base").alias("base"))
-    known = per_source.collect()  # a row per source
-    names = sorted(((r.source is None, r.source or ""), r) for r in known)
-    leaves = split_tree({i: r.base * r.n + r.d for i, (_, r) in enumerate(names)}, levels, seed)
-    listed_leaves = [(names[i][1].source, shard, first, end) for i, shard, first, end in leaves]
-    runs = spark.createDataFrame(listed_leaves, "source string, shard int, first long, end long") if listed_leaves else spark.sql("select cast(null as string) source, 0 shard, 0L first, 0L end where false")
-    return rows, runs
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    gives = F.greatest(F.lit(0), F.least(F.col("words"), F.col("extra") - F.col("w0") - F.col("sum") + F.col("words")))
+    ranked = materialize(ranked.select("s", "block", "words", "base", "rank", "made", gives.alias("gives")), "blocks")
+
+    known = ranked.groupBy("s").agg(F.count("*").alias("n"), F.sum((F.col("gives") > 0).cast("long")).alias("d"), F.first("base").alias("base"), F.sum(F.col("words") * F.col("base") + F.col("gives")).alias("w")).collect()  # a row per source
+    names = sorted(known, key=lambda r: (r.s is None, r.s or ""))
+    quota = {i: r.base * r.n + r.d for i, r in enumerate(names)}
+    if levels is None:
+        levels = max(LEVELS, (-(-sum(r.w for r in names) // SHARD_WORDS) - 1).bit_length())
+    # runs are found by source and bin: a bin is as wide as a source's mean run, so that a run lies in two or three
+    wide = {i: max(1, q >> levels) for i, q in quota.items()}
+    leaves = [(names[i].s, wide[i], shard, first, end) for i, shard, first, end in split_tree(quota, levels, seed)]
+    runs = spark.createDataFrame(leaves, "rs string, wide long, shard int, first long, end long") if leaves else spark.sql("select cast(null as string) rs, 1L wide, 0 shard, 0L first, 0L end where false")
+    binned = runs.select("rs", "shard", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / F.col("wide")), F.floor((F.col("end") - 1) / F.col("wide")))).alias("rbin"))
+    widths = spark.createDataFrame([(r.s, wide[i]) for i, r in enumerate(names)], "ws string, wide long") if names else spark.sql("select cast(null as string) ws, 1L wide where false")
+    # instances: the copies of all blocks one after the other, in the order of the permutation, then the drawn ones
+    instances = ranked.select("s", "block", "rank", "made", "base", "gives", "words", F.explode(F.sequence(F.lit(0), F.col("base"))).alias("copy")).where("copy < base or gives > 0")
+    instances = instances.withColumn("instance", F.col("copy") * F.col("made") + F.col("rank")).join(small(widths), F.col("s").eqNullSafe(F.col("ws")))
+    met = instances.withColumn("bin", F.floor(F.col("instance") / F.col("wide"))).join(small(binned), F.col("s").eqNullSafe(F.col("rs")) & (F.col("bin") == F.col("rbin")))
+    cut = (F.col("copy") == F.col("base")) & (F.col("gives") < F.col("words"))
+    placed = met.where("instance >= first and instance < end").groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("placed"), F.max(cut).alias("cut"), F.max("gives").alias("gives"))
+    placed = materialize(placed, "placed")
+
+    # at most one cut block a source, of some hundred documents: the largest first, each while it fits; equal rows count as one entry
+    cuts = placed.where("cut").select(F.col("s").alias("cs"), F.col("block").alias("cb"), "gives")
+    inside = blocked.join(small(cuts), F.col("s").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb"))).groupBy("s", "size", "k", "doc_id").agg(F.count("*").alias("n"), F.first("gives").alias("gives"))
+    listed = inside.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("size", "k", "doc_id", "n")), asc=False).alias("all"), F.first("gives").alias("gives"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        m = F.least(x["n"], F.floor(acc["room"] / x["size"]))
+        return F.when(m > 0, F.struct((acc["room"] - m * x["size"]).alias("room"), F.concat(acc["got"], F.array(F.struct(x["k"].alias("k"), x["doc_id"].alias("d"), m.alias("m")))).alias("got"))).otherwise(acc)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.col("gives").alias("room"), F.array().cast(f"array<struct<k:bigint,d:{id_type},m:bigint>>").alias("got"))
+    fits = materialize(listed.select("s", F.explode(F.aggregate("all", start, fold)["got"]).alias("g")).select(F.col("s").alias("fs"), F.col("g.k").alias("fk"), F.col("g.d").alias("fd"), F.col("g.m").alias("m")), "fits")
+    return sources, placed, fits, 1 << levels
+
+
+def _allotted(rows: DataFrame, sources: DataFrame, placed: DataFrame, fits: DataFrame) -> DataFrame:
+    """``rows`` with (__source, __doc, __k, __full) and their figures, __same and __shards: the shards whose instances hold the row, by copy.
+
+    A block is one key of the join, so that a hot source is spread over as many keys as it has blocks.
+    """
+    figures = sources.select(F.col("s").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("n_blocks").alias("__n"), F.col("base").alias("__base"))
+    known = rows.join(small(figures), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", F.pmod("__k", "__n"))
+    drawn = placed.select(F.col("s").alias("__ps"), F.col("block").alias("__pb"), F.col("placed").alias("__placed"), F.col("cut").alias("__cut"))
+    joined = known.join(drawn, F.col("__source").eqNullSafe(F.col("__ps")) & (F.col("__block") == F.col("__pb")), "left")
+    whole = F.when(F.col("__full") & F.col("__placed").isNotNull(), F.transform("__placed", lambda p: p["shard"])).otherwise(F.array().cast("array<int>"))
+    plain = joined.where(~F.coalesce("__cut", F.lit(False))).withColumn("__same", F.lit(1)).withColumn("__shards", whole)
+    # rows of a cut block: equal ones are told apart by number, as many as fit
+    some = joined.where("__cut").withColumn("__same", F.row_number().over(Window.partitionBy("__source", "__k", "__doc").orderBy("__block")))
+    some = some.join(small(fits), F.col("__source").eqNullSafe(F.col("fs")) & (F.col("__k") == F.col("fk")) & F.col("__doc").eqNullSafe(F.col("fd")), "left")
+    held = F.filter("__placed", lambda p: (p["copy"] < F.col("__base")) | (F.col("__same") <= F.coalesce("m", F.lit(0))))
+    some = some.withColumn("__shards", F.when(F.col("__full"), F.transform(held, lambda p: p["shard"])).otherwise(F.array().cast("array<int>")))
+    return plain.unionByName(some.select(plain.columns))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, levels: int | None = None, seed: int = SEED) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, shards (those that draw it, in the order of copies, joined by commas).
 
     Defined cases: a null text has size 0 and is never drawn; null sources are one source, the last; repeated rows are documents of
     their own; a source without words has the target 0; an empty table gives no row; further columns are ignored.
     The result depends on the rows and the seed only.
     """
-    rows, _ = drawn(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = pick(docs, ["doc_id", "source", "text"])
+    size = F.size(words(F.col("text"))).cast("long")
+    quotas = _quotas(docs, weights, share, most, levels, seed)[:3]
+    rows = docs.select(F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), size.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("__k")).withColumn("__full", F.col("size") > 0)
+    all_ = _allotted(rows, *quotas)
+    return all_.select(F.col("__doc").alias("doc_id"), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.size("__shards") * F.col("size")).alias("taken"), F.array_join("__shards", ",").alias("shards"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, in the columns of the input with ``shard`` and ``position`` added.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, levels: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, each as often as it is taken: the input's columns, then ``mix_shard`` and ``mix_position``.
 
-    A copy's shard is that of its block's instance in the splitting tree; positions order a shard by a keyed hash.
+    A partition holds one shard, in the order of positions, which are a keyed hash.  Defined cases as in ``mix``; columns of the input keep their
+    names and values, and where one is called like the operator's own, that one gets underscores until it is free.
     """
-    rows, runs = drawn(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
-    chosen = rows.where("copies > 0").select("source", F.col("doc_id").alias("__d"), F.col("k").alias("__k"), "same", "rank", "made", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    # instance number: the copies of all blocks one after the other, in the order of the permutation
-    placed = chosen.withColumn("instance", F.col("rank") + (F.col("__copy") - 1) * F.col("made"))
-    shards = placed.join(F.broadcast(runs.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")) & (F.col("instance") >= F.col("first")) & (F.col("instance") < F.col("end")))
-    picked = shards.select("__d", "__k", F.col("same").alias("__same"), "__copy", F.col("shard").alias("__shard"))
-    names = [c for c in docs.columns if c not in ("shard", "position")]
-    keyed = pick(docs, names).withColumn("__key", F.xxhash64("doc_id", "text", F.lit(seed)))
-    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("source", "__key", "doc_id").orderBy("doc_id")))
-    joined = keyed.join(picked, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__n") == F.col("__same")))
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.col("__shard").alias("shard"), F.xxhash64("__key", "__same", "__copy", F.lit(seed + 1)).alias("position"))
+    sources, placed, fits, shards = _quotas(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
+    names = list(docs.columns)
+    shard, position = free_name(names, "mix_shard"), free_name(names, "mix_position")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text")}
+    full = F.coalesce(at["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = own.select("*", at["source"].alias("__source"), at["doc_id"].alias("__doc"), F.xxhash64(at["doc_id"], at["text"], F.lit(seed)).alias("__k"), full.alias("__full"))
+    chosen = _allotted(rows, sources, placed, fits).where(F.size("__shards") > 0).select(*own.columns, "__k", "__same", F.posexplode("__shards").alias("__copy", "__shard"))
+    chosen = chosen.withColumn("__position", F.xxhash64("__k", "__same", "__copy", F.lit(seed + 1)))
+    ordered = chosen.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__position")
+    return ordered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__shard").alias(shard), F.col("__position").alias(position))

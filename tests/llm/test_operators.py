@@ -155,9 +155,43 @@ def test_mix_comes_near_its_targets(docs, rows):
     for s in order:
         assert target[s] - max(size(t) for _, t, q in rows if q == s) <= taken[s] <= target[s] + 1
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
-    copies = mixing.mixed(docs)
-    assert copies.columns.count("shard") == 1
-    assert copies.count() == sum(r.taken // r["size"] for r in got if r["size"])
+    copies = mixing.mixed(docs.withColumnRenamed("n", "mix_shard"))
+    assert copies.columns == ["doc_id", "text", "source", "length", "shard", "score", "mix_shard", "mix_shard_", "mix_position"]
+    mixed = copies.collect()
+    assert len(mixed) == sum(r.taken // r["size"] for r in got if r["size"]) and {(r.shard, r.score, r.mix_shard) for r in mixed} == {("x", 0.5, 9)}
+    # every document lies in the shards that drew it, and each partition is one shard in the order of positions
+    drawn = collections.Counter((r.doc_id, int(s)) for r in got for s in r.shards.split(",") if s)
+    assert collections.Counter((r.doc_id, r["mix_shard_"]) for r in mixed) == drawn
+    assert [(r["mix_shard_"], r.mix_position) for r in mixed] == sorted((r["mix_shard_"], r.mix_position) for r in mixed)
+
+
+def test_mix_takes_what_the_leaves_draw(docs, monkeypatch):
+    # leaves that are left out are words that aren't taken: the tree alone decides
+    whole = mixing.split_tree
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 3)
+    before = sum(r.taken for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: [leaf for leaf in whole(*a) if leaf[1] % 2])
+    kept = mixing.mix(docs).collect()
+    assert 0 < sum(r.taken for r in kept) < before and {int(s) % 2 for r in kept for s in r.shards.split(",") if s} == {1}
+    leaves = whole({0: 1000, 1: 7}, 5, 3)
+    for key, n in ((0, 1000), (1, 7)):
+        runs = sorted(leaf[2:] for leaf in leaves if leaf[0] == key)
+        assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    by_shard = collections.Counter()
+    for _, shard, first, end in leaves:
+        by_shard[shard] += end - first
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
+def test_mix_of_equal_rows(spark):
+    # half of all rows are the same one, and sources are many
+    rows = [(1, "a b c", "hot")] * 300 + [(i, "d e", f"s{i % 40}") for i in range(2, 302)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.target, r.source_size] += r.taken
+    hot = next(r for r in got if r.doc_id == 1)
+    assert len(got) == 600 and hot.target - 3 <= taken[hot.target, 900] <= hot.target + 1
 
 
 def test_training_order_shards(docs, rows, tmp_path):
