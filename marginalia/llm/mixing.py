@@ -112,11 +112,11 @@ def split_tree(counts: dict, levels: int = LEVELS, seed: int = SEED) -> list[tup
     return leaves
 
 
-def _quotas(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, levels: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Figures of each source; of each drawn block its instances with their shards; the documents that fit of a cut block; the number of shards.
+def _quotas(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, levels: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """The rows' keys and sizes; figures of each source; of each drawn block its instances with their shards; the documents that fit of a cut block; the number of shards.
 
-    The second has (s, block, placed, cut): ``placed`` lists (copy, shard) of every instance that a shard draws, ``cut`` says that the one
-    beyond the whole copies gives some documents only.  The third has (s, k, d, m): so many of the rows with that key fit.
+    The third has (s, block, placed, cut): ``placed`` lists (copy, shard) of every instance that a shard draws, ``cut`` says that the one
+    beyond the whole copies gives some documents only.  The fourth has (s, k, d, m): so many of the rows with that key fit.
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("k"))
@@ -172,7 +172,7 @@ def _quotas(docs: DataFrame, weights: tuple[int, ...], share: float, most: float
     id_type = docs.schema["doc_id"].dataType.simpleString()
     start = F.struct(F.col("gives").alias("room"), F.array().cast(f"array<struct<k:bigint,d:{id_type},m:bigint>>").alias("got"))
     fits = materialize(listed.select("s", F.explode(F.aggregate("all", start, fold)["got"]).alias("g")).select(F.col("s").alias("fs"), F.col("g.k").alias("fk"), F.col("g.d").alias("fd"), F.col("g.m").alias("m")), "fits")
-    return sources, placed, fits, 1 << levels
+    return sized, sources, placed, fits, 1 << levels
 
 
 def _allotted(rows: DataFrame, sources: DataFrame, placed: DataFrame, fits: DataFrame) -> DataFrame:
@@ -201,10 +201,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     their own; a source without words has the target 0; an empty table gives no row; further columns are ignored.
     The result depends on the rows and the seed only.
     """
-    docs = pick(docs, ["doc_id", "source", "text"])
-    size = F.size(words(F.col("text"))).cast("long")
-    quotas = _quotas(docs, weights, share, most, levels, seed)[:3]
-    rows = docs.select(F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), size.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("__k")).withColumn("__full", F.col("size") > 0)
+    sized, *quotas, _ = _quotas(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
+    rows = sized.select(F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), "size", F.col("k").alias("__k"), (F.col("size") > 0).alias("__full"))
     all_ = _allotted(rows, *quotas)
     return all_.select(F.col("__doc").alias("doc_id"), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.size("__shards") * F.col("size")).alias("taken"), F.array_join("__shards", ",").alias("shards"))
 
@@ -215,14 +213,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     A partition holds one shard, in the order of positions, which are a keyed hash.  Defined cases as in ``mix``; columns of the input keep their
     names and values, and where one is called like the operator's own, that one gets underscores until it is free.
     """
-    sources, placed, fits, shards = _quotas(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
+    _, *quotas, shards = _quotas(pick(docs, ["doc_id", "source", "text"]), weights, share, most, levels, seed)
     names = list(docs.columns)
     shard, position = free_name(names, "mix_shard"), free_name(names, "mix_position")
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text")}
     full = F.coalesce(at["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = own.select("*", at["source"].alias("__source"), at["doc_id"].alias("__doc"), F.xxhash64(at["doc_id"], at["text"], F.lit(seed)).alias("__k"), full.alias("__full"))
-    chosen = _allotted(rows, sources, placed, fits).where(F.size("__shards") > 0).select(*own.columns, "__k", "__same", F.posexplode("__shards").alias("__copy", "__shard"))
+    chosen = _allotted(rows, *quotas).where(F.size("__shards") > 0).select(*own.columns, "__k", "__same", F.posexplode("__shards").alias("__copy", "__shard"))
     chosen = chosen.withColumn("__position", F.xxhash64("__k", "__same", "__copy", F.lit(seed + 1)))
     ordered = chosen.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__position")
     return ordered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__shard").alias(shard), F.col("__position").alias(position))
