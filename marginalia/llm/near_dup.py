@@ -6,10 +6,10 @@ signature, so two permutations stand for all of them.  Coordinates are grouped i
 band are candidates, and every link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 The candidates of a bucket are not paired with one another.  Texts with equal word sequences are one class from the start.
-Then each class meets the smallest class of its buckets; confirmed links form components; only classes that share a
-bucket and are still in different components meet after that, in a crowded bucket only those that share a further band.
-What is left uncompared is connected anyway.  Before full sets are fetched, a pair must agree in a share of its signature
-that a link misses about once in 10^8 pairs.
+Then each class meets the smallest class of its buckets, and confirmed links form components, in two rounds.  Only classes that share a
+bucket and are still in different components meet after that: those outside a bucket's largest component meet all others, in
+chunks of bounded size, and a pair is emitted only if its signatures agree well enough.  What is left uncompared is connected anyway.
+Before full sets are fetched, a pair must agree in a share of its signature that a link misses about once in 10^8 pairs.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ SHINGLE = 5
 #: Bands and coordinates in each: a pair at similarity 0.7 meets in no band once in 600,000 pairs, at 0.8 once in 10^10.
 #: Below a hundred columns the aggregate stays in generated code.
 BANDS, ROWS = 32, 3
-#: Share of the coordinates that must agree before the full sets are compared: 5.7 deviations below 0.7 of 96.
-AGREE = 0.44
+#: Share of the coordinates that must agree, in four bits each, before the full sets are compared: 5.8 deviations below what 0.7 gives over 96.
+AGREE = 0.45
 #: Bands whose buckets give the first links; the rest only join what these leave apart.
 FIRST_BANDS = 8
-#: Components that meet directly in a bucket; where there are more, classes meet only if they share one of the next bands too.
-CROWD, NEXT_BANDS = 64, 12
+#: Classes of one bucket that one group of a join holds on either side: a bucket of more is many groups.
+CHUNK = 2048
 #: Ids that are broadcast at most, some 16 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shingles that are hashed in one row.
@@ -58,7 +58,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest, n_shingles, the hash of each band and a byte of each coordinate, for documents that have words."""
+    """doc_id, digest, n_shingles, the hash of each band and four bits of each coordinate, sixteen in a long, for documents that have words."""
     # rows of eight shingles: the minimum of a row is taken in one expression, and only then meets the running one
     sets = _sets(docs).select("doc_id", "digest", F.size("s").alias("n"), "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(LANES))).alias("i"))
     # first permutation: scatter; second: hash of the shifted place.  CIRCLE keeps the sum within a long.
@@ -66,13 +66,31 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     shifted = [F.min(F.least(*[F.xxhash64((F.col(f"p{j}") + F.lit(k)).bitwiseAND(CIRCLE)) for j in range(LANES)])).alias(f"m{k}") for k in range(bands * rows)]
     least = sets.select("doc_id", "digest", "n", *lanes).groupBy("doc_id", "digest", "n").agg(*shifted)
     hashes = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return least.select("doc_id", "digest", F.col("n").cast("long").alias("n_shingles"), F.array(*hashes).alias("bands"), F.array(*[(F.col(f"m{k}") % 127).cast("tinyint") for k in range(bands * rows)]).alias("sketch"))
+    return least.select("doc_id", "digest", F.col("n").cast("long").alias("n_shingles"), F.array(*hashes).alias("bands"), F.array(*[_packed(range(k, min(k + 16, bands * rows))) for k in range(0, bands * rows, 16)]).alias("sketch"))
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, share: float = AGREE) -> DataFrame:
+def _packed(places: range) -> Column:
+    out = F.lit(0).cast("long")
+    for j, k in enumerate(places):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(15), 4 * j))
+    return out
+
+
+def _agree(x: str, y: str, coordinates: int, share: float) -> Column:
+    """Whether two sketches agree in at least this share of their coordinates; plain arithmetic on longs."""
+    differ = F.lit(0)
+    for k in range(-(-coordinates // 16)):
+        d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        differ = differ + F.bit_count(d.bitwiseAND(0x1111111111111111))
+    return differ <= F.lit(int((1 - share) * coordinates))
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, coordinates: int, share: float = AGREE) -> DataFrame:
     """The pairs (a, b) whose signatures agree in at least this share of their coordinates."""
     met = pairs.join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("kb")), "b")
-    return met.where(F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same)) >= share * F.size("ka")).select("a", "b")
+    return met.where(_agree("ka", "kb", coordinates, share)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -90,7 +108,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.max(linked).alias("linked"))
 
 
-def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST_BANDS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def _apart(known: DataFrame, sketches: DataFrame, coordinates: int, percent: int, chunk: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, lie in different components and are alike in size and sketch.
+
+    ``known`` has (h, cid, n, label).  Classes of a bucket's largest component don't meet one another, and a bucket is cut into groups of
+    at most about ``chunk`` classes on either side; so neither a hot component nor a hot bucket is one task, and every pair that matters meets.
+    """
+    several = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    left = materialize(known.join(several, "h").join(sketches, "cid").select("h", "cid", "n", "label", "sketch"), "open")
+    counts = left.groupBy("h", "label").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("h").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top"))
+    cut = tops.select("h", "top", F.ceil((F.col("all") - F.col("most")) / chunk).cast("int").alias("px"), F.ceil(F.col("all") / chunk).cast("int").alias("py"))
+    placed = left.join(cut, "h")
+    part = F.xxhash64("cid", F.lit(17))
+    few, every = F.pmod(part, "px").cast("int"), F.pmod(part, "py").cast("int")
+    x = placed.where("label <> top").select("h", few.alias("i"), F.explode(F.sequence(F.lit(0), F.col("py") - 1)).alias("j"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
+    y = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("px") - 1)).alias("i"), every.alias("j"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("kb"), (F.col("label") == F.col("top")).alias("main"))
+    # a link needs sizes within the threshold of one another
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = x.join(y, ["h", "i", "j"]).where((F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & sizes & _agree("ka", "kb", coordinates, AGREE))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST_BANDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, cid) of documents with words, and (node, label) of the linked classes."""
     docs = pick(docs, ["doc_id", "text"])
     signed = materialize(signatures(docs, bands, rows), "signatures")
@@ -103,30 +143,24 @@ def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows
     members = materialize(placed.join(heads, "h"), "buckets")
     sketches = own.select("cid", "sketch")
 
-    def near(x: str, y: str) -> Column:  # a link needs sizes within the threshold of one another
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    first = members.where(F.col("band") < first_bands).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    seen = materialize(_confirmed(materialize(_alike(first, sketches), "alike"), docs, percent), "links")
-    linked = seen.where("linked").select("a", "b")
-    labels = connected_components(linked)
-
-    # second: classes of one bucket in different components
-    label = labels.select(F.col("node").alias("cid"), "label")
-    known = members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    several = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label").alias("labels"))
-    open_ = several.where("lo < hi").select("h", (F.col("labels") > crowd).alias("crowded"))
-    left = materialize(known.join(open_, "h").select("h", "band", "cid", "n", "label", "crowded"), "open")
-    # a crowded bucket is one of a passage that many share: split it by further bands, of which linked classes share a third
-    further = F.transform(F.sequence(F.lit(1), F.lit(min(NEXT_BANDS, bands - 1))), lambda k: F.xxhash64("h", F.get("bands", (F.col("band") + k) % bands)))
-    split = left.where("crowded").join(own.select("cid", "bands"), "cid").select(F.explode(further).alias("key"), "cid", "n", "label")
-    keyed = left.where("not crowded").select(F.col("h").alias("key"), "cid", "n", "label").unionByName(split)
-    x = keyed.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = keyed.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = x.join(y, "key").where("la < lb").where(near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    apart = apart.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(_alike(apart, sketches), "alike"), docs, percent), "links")
-    return owned, connected_components(linked.unionByName(more.where("linked").select("a", "b")))
+    def links(pairs: DataFrame, alike: bool = True) -> DataFrame:
+        return materialize(_confirmed(materialize(_alike(pairs, sketches, bands * rows) if alike else pairs, "alike"), docs, percent), "links")
+
+    def labelled(linked: DataFrame) -> DataFrame:
+        label = connected_components(linked).select(F.col("node").alias("cid"), "label")
+        return members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    pair = [F.col("head").alias("a"), F.col("cid").alias("b")]
+    first = links(members.where(F.col("band") < first_bands).where("cid <> head").select(*pair).distinct())
+    # then the heads of all buckets, for classes that these left out of the head's component
+    known = labelled(first.where("linked").select("a", "b"))
+    own_head = known.where("cid = head").select("h", F.col("label").alias("head_label"))
+    second = known.where(F.col("band") >= first_bands).join(own_head, "h").where("label <> head_label").select(*pair).distinct()
+    seen = first.unionByName(links(second.join(first.select("a", "b"), ["a", "b"], "left_anti")))
+    # last, whatever shares a bucket in different components
+    apart = _apart(labelled(seen.where("linked").select("a", "b")), sketches, bands * rows, percent, chunk)
+    seen = seen.unionByName(links(apart.join(seen.select("a", "b"), ["a", "b"], "left_anti"), alike=False))
+    return owned, connected_components(seen.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,3 +176,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     joined = pick(docs, ["doc_id"]).join(per_doc, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
     return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+#: The same result for DuckDB, over all pairs that share a shingle.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 70 * greatest(a.n, b.n) group by all),
+l as (select a, b from p where 100 * i >= 70 * (na + nb - i)),
+g as (select a, b from l union all select b, a from l),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, g.b from reach join g on reach.b = g.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, c.component_id = s.doc_id as kept
+from s join (select a, min(b) as component_id from reach group by a) c on c.a = s.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import embedding_dup, licenses
+from marginalia.llm import embedding_dup, licenses, near_dup
 from marginalia.llm.common import table
 
 
@@ -72,4 +72,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_toxicity, op4_training_order, op5_flac_media, op6_quality, op7_best_fit_packing, op8_embedding_near_dup, op9_mixing, op10_license_scan)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op8_embedding_near_dup": embedding_dup.ORACLE, "op10_license_scan": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op2_minhash_near_dup": near_dup.ORACLE, "op8_embedding_near_dup": embedding_dup.ORACLE, "op10_license_scan": licenses.ORACLE}

@@ -80,12 +80,25 @@ def test_near_duplicates_equal_brute_force(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id), r
 
 
-def test_crowded_buckets_lose_no_link(docs):
+def test_hot_buckets_in_chunks_lose_no_link(docs):
     _, plain = near_dup.components(docs)
-    _, split = near_dup.components(docs, crowd=0)
+    _, split = near_dup.components(docs, first_bands=1, chunk=2)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
 
 
+def test_classes_apart_meet_once_in_every_bucket(spark):
+    # one bucket: a component of forty, one of seven and three alone; all alike, but one in its size and one in its sketch
+    r = random.Random(2)
+    ids = [(i, 100, 0) for i in range(40)] + [(i, 100, 50) for i in range(50, 57)] + [(60, 100, 60), (61, 10, 61), (62, 100, 62)]
+    known = spark.createDataFrame([(5, i, n, c) for i, n, c in ids], "h long, cid long, n long, label long")
+    same, other = [r.getrandbits(62) for _ in range(6)], [r.getrandbits(62) for _ in range(6)]
+    sketches = spark.createDataFrame([(i, other if i == 62 else same) for i, _, _ in ids], "cid long, sketch array<long>")
+    want = {(a, b) for a, n, c in ids for b, m, d in ids if a < b and c != d and n == m and 62 not in (a, b)}
+    for chunk in (1, 3, 1000):
+        got = near_dup._apart(known, sketches, 96, 70, chunk).collect()
+        assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
