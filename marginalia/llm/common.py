@@ -52,7 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    if path := df.__dict__.get("_written"):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Letters outside ASCII that might have a lower case of their own.
@@ -106,8 +115,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = materialize(pairs, "cc")
     before = _signature(pairs)
     for _ in range(max_rounds):
-        pairs = materialize(stars(stars(pairs, small=False), small=True), "cc")
-        now = _signature(pairs)
+        after = materialize(stars(stars(pairs, small=False), small=True), "cc")
+        now = _signature(after)
+        discard(pairs)
+        pairs = after
         if now == before:
             break
         before = now

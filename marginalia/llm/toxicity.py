@@ -6,10 +6,10 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import pick
+from marginalia.llm.common import free_name, materialize, pick
 from marginalia.llm.labelled import SAMPLE, remainder, sample
 
 #: ``predicted`` is 1 from this score.
@@ -40,20 +40,25 @@ def segments(hits: list[tuple[int, float]], other: float = OTHER) -> list[tuple[
 
     ``hits`` has the positions and scores of the positive tokens, in order; each token between them scores ``other``.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    earlier: list[int] = []  # the nearest candidate to the left whose sum before is less
     total, at = 0.0, 0
     for i, score in hits:
         before = total + other * (i - at)
         total, at = before + score, i + 1
-        now = [i, i, before, total]
+        first, last, after = i, i, total
         while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < now[2]), None)
-            if j is None or found[j][3] >= now[3]:
-                found.append(now)
+            j = len(found) - 1
+            # candidates that a chain skips have no lesser sum before than the one that it leaves: none of them can be it
+            while j >= 0 and found[j][2] >= before:
+                j = earlier[j]
+            if j < 0 or found[j][3] >= after:
+                found.append((first, last, before, after))
+                earlier.append(j)
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
-            del found[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in found]
+            first, before = found[j][0], found[j][2]
+            del found[j:], earlier[j:]
+    return [(a, b, after - before) for a, b, before, after in found]
 
 
 class Scorer:
@@ -111,6 +116,14 @@ def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, pri
     return odds
 
 
+def _speaks(toxic: int, clean: int, prior: float = PRIOR) -> Column:
+    """The conditions of ``log_odds`` on counts (a, b), a little wider, so that only keys that pass reach the driver."""
+    a, b = F.col("a"), F.col("b")
+    q = 0.5 + prior * (a + b) / (toxic + clean)
+    d = F.log((a + q) / (toxic + prior + 1 - a - q)) - F.log((b + q) / (clean + prior + 1 - b - q))
+    return (d >= LEAST_ODDS - 1e-6) & (d / F.sqrt(1 / (a + q) + 1 / (b + q)) >= LEAST_Z - 1e-6)
+
+
 def calibrate(odds: dict[str, float], clean: list[tuple[int, float]], tokens: dict[float, int], n_tokens: int) -> tuple[float, float]:
     """Rate and log K of the Gumbel law of best segments in clean texts (Karlin and Altschul, 1990).
 
@@ -171,8 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
     marked = rows.mapInArrow(prints, "doc_id long, y int, text string, mark string")
     first = marked.groupBy("mark", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = marked.join(first, "doc_id", "left_semi").select("doc_id", "y", "text")
-    from marginalia.llm.common import materialize
-
     rows = materialize(rows, "toxic-sample")  # bounded by the sample
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -191,48 +202,64 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
 
     # only keys that several toxic documents hold can pass the thresholds
     counts = rows.select("y", "text").mapInArrow(counted, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3 and a > b")
-    odds = log_odds(((r.key, r.a, r.b) for r in counts.collect()), sizes[1], sizes[0])
+    odds = log_odds(((r.key, r.a, r.b) for r in counts.where(_speaks(sizes[1], sizes[0])).collect()), sizes[1], sizes[0])
 
     def measured(batches: Iterator) -> Iterator:
+        """Of each row its class, tokens and best segment; and how often each token score occurs in clean rows that have any (y = -1)."""
         import pyarrow as pa
 
         scorer = Scorer(odds)
-        out = []
+        single: dict[float, int] = {}
         for batch in batches:
+            out = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 n, found = scorer.spans(text)
-                single = [s for s in map(scorer.token, _TOKEN.findall((text or "").lower())) if s > 0] if y == 0 and found else []
-                out.append((y, n, [s for *_, s in found], single))
-        columns = list(zip(*out)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64())), pa.array(columns[3], pa.list_(pa.float64()))], ["y", "n", "found", "single"])
-
-    seen = sorted(rows.select("y", "text").mapInArrow(measured, "y int, n long, found array<double>, single array<double>").collect(), key=lambda r: (r.y, r.n, r.found))
+                out.append((y, n, max((s for *_, s in found), default=0.0)))
+                if y == 0 and found:
+                    for s in map(scorer.token, _TOKEN.findall((text or "").lower())):
+                        if s > 0:
+                            single[s] = single.get(s, 0) + 1
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["y", "n", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(single), pa.int32()), pa.array(list(single.values()), pa.int64()), pa.array(list(single), pa.float64())], ["y", "n", "s"])
+
+    # three numbers a row of the sample, and of each task one row for each distinct log-odds
+    seen = rows.select("y", "text").mapInArrow(measured, "y int, n long, s double").collect()
     tokens: dict[float, int] = {}
-    for r in seen:
-        for s in r.single:
-            tokens[s] = tokens.get(s, 0) + 1
-    rate, log_k = calibrate(odds, [(r.n, max(r.found, default=0.0)) for r in seen if r.y == 0], tokens, sum(r.n for r in seen if r.y == 0))
+    for r in sorted((r for r in seen if r.y < 0), key=lambda r: r.s):
+        tokens[r.s] = tokens.get(r.s, 0) + r.n
+    clean = sorted((r.n, r.s) for r in seen if r.y == 0)
+    rate, log_k = calibrate(odds, clean, tokens, sum(n for n, _ in clean))
+
+    def weighed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scorer = Scorer(odds, rate, log_k)
+        for batch in batches:
+            both = [scorer.evidence(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e[0] for e in both], pa.float64()), pa.array([e[1] for e in both], pa.float64())], ["y", "best", "sum"])
+
+    seen = sorted(rows.select("y", "text").mapInArrow(weighed, "y int, best double, sum double").collect())
     scorer = Scorer(odds, rate, log_k)
-    evidence = []
-    for r in seen:
-        bits = [rate * s - log_k - math.log(r.n) for s in r.found] if r.n else []
-        evidence.append((max(0.0, max(bits, default=0.0)), math.log1p(sum(b for b in bits if b > -math.log(EXPECTED)))))
     # the sample is balanced and without copies: weigh its classes back to their shares of the labels
     every = {r.toxic: r.n for r in pick(labels, ["doc_id", "toxic"]).where("toxic in (0, 1)").where(F.coalesce(remainder(4) != 2, F.lit(False))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {y: every.get(y, 0) / sizes[y] for y in (0, 1)}
     total = sum(every.values()) or 1
-    scorer.weights = logistic(evidence, [r.y for r in seen], {y: share[y] * len(seen) / total for y in (0, 1)})
+    scorer.weights = logistic([(r.best, r["sum"]) for r in seen], [r.y for r in seen], {y: share[y] * len(seen) / total for y in (0, 1)})
     return scorer
 
 
 def scored(docs: DataFrame, model: Scorer, spans: bool = False) -> DataFrame:
-    """The input's rows with ``score`` added, and on request ``spans``: the significant passages as first and last token with their score."""
+    """The input's columns with ``score`` added, and on request ``spans``: the significant passages as first and last token with their score.
+
+    Where the input has columns of those names, they stay and the added ones get underscores until they are free.
+    """
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-    kept = docs.drop("score", "spans")
-    names = kept.columns
+    names = docs.columns
     at = names.index("text")
+    added = [free_name(names, "score"), *[free_name(names, "spans")] * spans]
     span = StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("score", DoubleType())])
     odds, rest = model.odds, (model.rate, model.log_k, model.weights)
 
@@ -249,10 +276,10 @@ def scored(docs: DataFrame, model: Scorer, spans: bool = False) -> DataFrame:
                     n, all_ = own.spans(t)
                     found.append([{"first": a, "last": b, "score": s} for a, b, s in all_ if own.rate * s - own.log_k - math.log(n) > -math.log(EXPECTED)])
                 columns.append(pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score", *["spans"] * spans])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    added = [StructField("score", DoubleType()), *[StructField("spans", ArrayType(span))] * spans]
-    return kept.mapInArrow(apply, StructType([*kept.schema.fields, *added]))
+    kinds = [DoubleType(), ArrayType(span)]
+    return docs.mapInArrow(apply, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(added, kinds)]]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, per_class: int = SAMPLE) -> DataFrame:
