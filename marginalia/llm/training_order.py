@@ -1,8 +1,8 @@
 """Training-order materialisation: token sequences in fixed-stride shards, in the order of a keyed permutation.
 
 Sequences are numbered 0 to n - 1 in the order of the input's partitions.  A balanced Feistel network on the smallest
-even number of bits that holds n, with cycle-walking back into the range, maps each number to its global slot.  Slots are cut into ranges, a shard
-each; a shard is a file of records of one stride, so a reader finds slot s at byte (s mod shard_slots) * stride of shard s // shard_slots and
+even number of bits that holds n, with cycle-walking back into the range, maps each number to its global slot.  Tasks take ranges of slots, of
+whole shards each; a shard is a file of records of one stride, so a reader finds slot s at byte (s mod shard_slots) * stride of shard s // shard_slots and
 can resume anywhere.
 """
 
@@ -21,6 +21,8 @@ from marginalia.llm.tokens import default_path, encoder
 SEQUENCE, WIDTH, SHARD_SLOTS = 512, 2, 8192
 END_ID, PAD_ID = 1, 0
 KEY, ROUNDS = 0x5EED_0F_0DDE5, 6
+#: Tasks that write: with more shards than that each takes several in turn, one open at a time.
+WRITERS = 50_000
 
 
 def feistel(index, n: int, key: int = KEY, rounds: int = ROUNDS):
@@ -77,8 +79,8 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
     """Write the shards and return their index: slot, shard, byte_offset, doc_id, chunk, n_tokens, ids_crc32.
 
     ``stable`` says that the input is a plain scan of files, whose partitions are the same whenever it is read; otherwise it is first written
-    out.  A task writes its shards under temporary names and renames them when whole, so a repeated or lost task leaves the same files.  The files go to
-    ``out``, by default a new folder in the shared one.
+    out.  A task writes its shards under temporary names and renames them when whole, so a repeated or lost task leaves the same files; names that a
+    lost one left behind are removed at the end.  The files go to ``out``, by default a new folder in the shared one.
 
     Defined cases: a null or empty text is one record of its end id; null ids and repeated rows are written each; long texts take as many
     records as they need, in slots of their own; an empty table gives no shard and no row; further columns are ignored.
@@ -123,7 +125,7 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
         system, folder = fs.FileSystem.from_uri(out)
         system.create_dir(folder, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        file, name, shard, pad = None, "", None, PAD_ID.to_bytes(width, "little")
+        file, name, shard, pad = None, "", -1, PAD_ID.to_bytes(width, "little")
 
         def close() -> None:
             if file is not None:
@@ -154,8 +156,16 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
         close()
 
     shards = max(1, -(-total // shard_slots))
-    slotted = docs.mapInArrow(placed, "slot long, shard long, doc_id long, chunk long, ids binary").repartition(min(shards, 2_000), "shard").sortWithinPartitions("slot")
-    return materialize(slotted.mapInArrow(written, "slot long, shard long, byte_offset long, doc_id long, chunk long, n_tokens long, ids_crc32 long"), "index")
+    each = -(-shards // WRITERS)  # consecutive shards of a task
+    ranged = docs.mapInArrow(placed, "slot long, shard long, doc_id long, chunk long, ids binary").repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
+    index = materialize(ranged.sortWithinPartitions("slot").mapInArrow(written, "slot long, shard long, byte_offset long, doc_id long, chunk long, n_tokens long, ids_crc32 long"), "index")
+    from pyarrow import fs
+
+    system, folder = fs.FileSystem.from_uri(out)
+    for left in system.get_file_info(fs.FileSelector(folder)) if total else []:
+        if left.base_name.startswith(".shard-"):
+            system.delete_file(left.path)
+    return index
 
 
 def read_slots(folder: str, first: int, count: int, sequence: int = SEQUENCE, width: int = WIDTH, shard_slots: int = SHARD_SLOTS):
