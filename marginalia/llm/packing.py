@@ -7,6 +7,7 @@ and the pieces are then matched with the planned places by their rank among the
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -19,10 +20,10 @@ from marginalia.llm.tokens import default_path, encoder
 CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
-#: Fillings considered around the largest piece at each step of the search.
-WIDTH = 4
-#: Nodes of the branch-and-bound search; the best packing found by then is used.
-NODES = 2_000
+#: Fillings that the search branches on around the largest piece, the fullest; and how many it looks at to find them.
+WIDTH, LOOKED_AT = 4, 60
+#: Steps of the search after the first incumbent, for each length that occurs.  It ends sooner at the lower bound, where nothing is left to gain.
+STEPS_PER_LENGTH = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, pos long"
 #: The widest plan has a few thousand patterns of a few lengths; the ranges of places are broadcast, bounded by this.
@@ -53,114 +54,142 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
 
-def fillings(room: int, left: list[int], width: int = WIDTH) -> list[tuple[int, ...]]:
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Best-fit decreasing on the table of lengths: each piece goes to the sequence with the least room that holds it.
+
+    Sequences of equal contents are moved together, so the steps grow with the number of lengths, not of pieces.
+    """
+    rooms: dict[int, list[Pattern]] = {}  # room -> patterns that leave it, and how many sequences have them
+    open_: list[int] = []  # the rooms that some sequence has, in order
+
+    def leave(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if not rooms.setdefault(room, []):
+            bisect.insort(open_, room)
+        rooms[room].append((pattern, times))
+
+    for n in sorted(counts, reverse=True):
+        count = counts[n]
+        while count:
+            at = bisect.bisect_left(open_, n)
+            if at == len(open_):  # nothing holds it: open sequences, each filled with as many as it takes
+                most = capacity // n
+                if count >= most:
+                    leave(capacity - most * n, (n,) * most, count // most)
+                if count % most:
+                    leave(capacity - count % most * n, (n,) * (count % most), 1)
+                break
+            room = open_[at]
+            pattern, times = rooms[room].pop()
+            if not rooms[room]:
+                del open_[at]
+            used = min(count, times)
+            if times > used:
+                leave(room, pattern, times - used)
+            leave(room - n, (*pattern, n), used)
+            count -= used
+    return [p for patterns in rooms.values() for p in patterns]
+
+
+def fillings(room: int, left: list[int], width: int = WIDTH, looked_at: int = LOOKED_AT) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room`` with pieces of which ``left[n]`` have length n, the fullest first.
 
-    A piece that fits exactly dominates every other filling; then come exact pairs, exact triples, and best fit: the
-    largest piece that fits, again and again, its last two places exact where possible.
+    A filling is dominated if a piece still fits beside it, or if one of its pieces can be swapped for a larger one that fits: whatever
+    the other leaves over packs no worse.  A single piece that fits exactly dominates all others.  They are enumerated largest piece first,
+    which makes the best-fit filling the first; a branch that can't waste less than the ``width`` best so far is left.
     """
     if room <= 0:
         return [()]
     if left[room]:
         return [(room,)]
-
-    def pair(total: int, without: int = 0) -> tuple[int, int] | None:
-        for a in range(total - 1, (total - 1) // 2, -1):
-            b = total - a
-            if left[a] - (a == without) >= 1 and left[b] - (b == without) >= 1 + (a == b):
-                return a, b
-        return None
-
-    found: list[tuple[int, ...]] = []
-    if p := pair(room):
-        found.append(p)
-    tried = 0
-    for a in range(room - 2, 0, -1):
-        if left[a]:
-            tried += 1
-            if (p := pair(room - a, a)) and tuple(sorted((a, *p), reverse=True)) not in found:
-                found.append(tuple(sorted((a, *p), reverse=True)))
-            if tried >= 2 * width or len(found) >= width:
-                break
-    if not found:
-        rest, used, n = room, [], room
-        while rest > 0:
-            n = min(n, rest)
-            while n and left[n] - used.count(n) <= 0:
-                n -= 1
-            if not n:
-                break
-            used.append(n)
-            rest -= n
-        found.append(tuple(used))
-    return found[:width]
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH, nodes: int = NODES) -> list[Pattern]:
+    lengths = [n for n in range(room, 0, -1) if left[n]]
+    if not lengths:
+        return [()]
+    found: list[tuple[int, tuple[int, ...]]] = []
+    seen = 0
+
+    def free(n: int, chosen: list[int]) -> bool:
+        return left[n] > chosen.count(n)
+
+    def dominated(chosen: list[int], waste: int) -> bool:
+        if any(n <= waste and free(n, chosen) for n in lengths[::-1][: len(chosen) + 1]):
+            return True
+        return any(free(n, chosen) for p in set(chosen) for n in range(p + 1, p + waste + 1))
+
+    def extend(chosen: list[int], rest: int, start: int) -> None:
+        nonlocal seen
+        grown = False
+        for at in range(start, len(lengths)):
+            n = lengths[at]
+            if n > rest or not free(n, chosen):
+                continue
+            if seen >= looked_at or (len(found) >= width and found[-1][0] == 0):
+                return
+            grown = True
+            chosen.append(n)
+            extend(chosen, rest - n, at)
+            chosen.pop()
+        if not grown:
+            seen += 1
+            if not (len(found) >= width and rest >= found[-1][0]) and not dominated(chosen, rest):
+                found.append((rest, tuple(chosen)))
+                found.sort(key=lambda f: f[0])
+                del found[width:]
+
+    extend([], room, 0)
+    return [f for _, f in found] or [()]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH, steps_per_length: int = STEPS_PER_LENGTH) -> list[Pattern]:
     """Patterns of lengths and how often each is used, so that every piece has a place in as few sequences as found.
 
-    Depth-first bin completion: the largest piece left is completed by its undominated fillings, the fullest first; a
-    pattern is used as often as its lengths last, so a step empties a length and the depth doesn't grow with the corpus.
-    The first descent is best fit and the first incumbent.  A branch is cut when its waste leaves no room for fewer
-    sequences than the incumbent, and the search ends at the lower bound or after ``nodes`` nodes.
+    Best fit gives the incumbent; if it meets the lower bound, nothing can be better.  Else depth-first bin completion: the largest piece left is
+    completed by its undominated fillings, the fullest first; a pattern is used as often as its lengths last, so a step empties a length and the
+    depth doesn't grow with the corpus.  A branch is cut when its waste leaves no room for fewer sequences than the incumbent.  The search ends
+    at the lower bound or after ``steps_per_length`` steps for each length, and the incumbent stands, at most as far from the bound as best fit.
     """
+    best = best_fit(counts, capacity)
+    fewest = sum(times for _, times in best)
     total = sum(n * c for n, c in counts.items())
-    over = sum(c for n, c in counts.items() if 2 * n > capacity)
-    bound = max(-(-total // capacity), over)
+    bound = max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
     left = [0] * (capacity + 1)
     for n, c in counts.items():
         left[n] = c
-    best: list[Pattern] = []
-    fewest = None
+    used = waste = 0
+    steps = steps_per_length * len(counts)
     done: list[Pattern] = []
-    used = waste = seen = 0
-    stack: list[tuple[int, list[Pattern]]] = []
 
-    def options() -> list[Pattern]:
-        top = next((n for n in range(largest[-1], 0, -1) if left[n]), 0)
+    def options(largest: int) -> list[Pattern]:
+        top = next((n for n in range(largest, 0, -1) if left[n]), 0)
         if not top:
             return []
         left[top] -= 1
         ways = fillings(capacity - top, left, width)
         left[top] += 1
-        made = []
-        for way in ways:
-            pattern = (top, *way)
-            made.append((pattern, min(left[n] // pattern.count(n) for n in set(pattern))))
-        return made[::-1]
-
-    largest = [capacity]
-    stack.append((0, options()))
-    while stack:
-        _, ways = stack[-1]
-        if not ways:
-            if not any(left) and (fewest is None or used < fewest):
+        made = [(top, *way) for way in ways]
+        return [(p, min(left[n] // p.count(n) for n in set(p))) for p in made][::-1]
+
+    stack = [options(capacity)]
+    while stack and fewest > bound and steps > 0:
+        if stack[-1]:
+            pattern, times = stack[-1].pop()
+            lost = times * (capacity - sum(pattern))
+            steps -= 1
+            if total + waste + lost > (fewest - 1) * capacity:
+                continue
+            done.append((pattern, times))
+            used, waste = used + times, waste + lost
+            for n in pattern:
+                left[n] -= times
+            stack.append(options(pattern[0]))
+            if not stack[-1] and used < fewest:
                 best, fewest = list(done), used
-                if fewest <= bound:
-                    break
-            stack.pop()
-            if done and len(done) == len(stack):
-                pattern, times = done.pop()
-                largest.pop()
-                used -= times
-                waste -= times * (capacity - sum(pattern))
-                for n in pattern:
-                    left[n] += times
-            if fewest is not None and seen > nodes:
-                break
-            continue
-        pattern, times = ways.pop()
-        lost = times * (capacity - sum(pattern))
-        seen += 1
-        if fewest is not None and (seen > nodes or total + waste + lost > (fewest - 1) * capacity):
             continue
-        done.append((pattern, times))
-        largest.append(pattern[0])
-        used += times
-        waste += lost
-        for n in pattern:
-            left[n] -= times
-        stack.append((len(stack), options()))
+        stack.pop()
+        if done:
+            pattern, times = done.pop()
+            used, waste = used - times, waste - times * (capacity - sum(pattern))
+            for n in pattern:
+                left[n] += times
     return best
 
 
