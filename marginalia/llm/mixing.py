@@ -24,7 +24,7 @@ SHARE, MOST = 1.5, 2.0
 #: Documents in a block, on average.
 BLOCK_DOCS = 128
 #: Levels of the splitting tree, at least: two to that power output shards; and the words of a shard beyond which there are more.
-LEVELS, SHARD_WORDS = 5, 1 << 27
+LEVELS, SHARD_WORDS = 5, 1 << 25
 #: Bits of the permutation's key that number its buckets: a source's blocks are ranked in so many tasks, not in one.
 BUCKET_BITS = 10
 SEED = 20_240
