@@ -3,8 +3,8 @@
 The encoder writes one-channel streams of 8-bit samples: fixed-size blocks, each constant, verbatim, or a fixed linear predictor with a Rice-coded
 residual, whichever is smallest, and a seek table with a point for every block.  ``decode`` reads any FLAC stream of up to
 eight channels (fixed and LPC predictors, Rice partitions and their escapes, stereo decorrelation) and checks both frame checksums
-and the MD5 sum.  ``decode_many`` reads many one-channel streams at once: it walks the Rice codes of all blocks in step, a
-vector operation per sample number.
+and the MD5 sum.  ``decode_many`` reads many one-channel streams at once: it walks the Rice codes of a bounded group of blocks in step, a
+vector operation per sample number.  ``pcm_blocks`` turns a column of streams into rows of PCM blocks with their places.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ BLOCK = 4096
 RATE = 8000
 #: Payload bytes that are encoded and read back together.
 RUN_BYTES = 1_500_000
+#: Bytes of frames that are walked in step: decoding needs some hundred bytes of memory for each, whatever the texts' lengths.
+GROUP_BYTES = 1_000_000
 #: Payloads are padded with zeros to a positive multiple of this.
 PAD = 64
 
@@ -136,7 +138,7 @@ def encode(samples, bits: int = 8, rate: int = RATE, block: int = BLOCK) -> byte
     """A FLAC stream of one channel, with a seek table of every block; without samples only its header."""
     import numpy as np
 
-    x = np.asarray(samples, dtype=np.int64)
+    x = np.asarray(samples)
     frames = [encode_frame(x[i : i + block], number, bits) for number, i in enumerate(range(0, len(x), block))]
     sizes = [len(f) for f in frames] or [0]
     md5 = hashlib.md5(x.astype("<i2" if bits == 16 else "<i1").tobytes()).digest()
@@ -337,13 +339,13 @@ def decode_many(streams: list[bytes]) -> list:
     """
     import numpy as np
 
-    out = []
     infos = [header(s) for s in streams]
-    fast = []  # stream, first sample, size, order, warm-up, k, bit where the residual begins
-    data, base = [], 0
+    out = [np.zeros(i["samples"], dtype=np.int16 if i["bits"] <= 16 else np.int64) for i in infos]
+    fast: list[tuple] = []  # stream, first sample, size, order, warm-up, k, bit where the residual begins
+    data: list[bytes] = []
+    base = 0
     for s, (stream, info) in enumerate(zip(streams, infos)):
-        x = np.zeros(info["samples"], dtype=np.int64)
-        out.append(x)
+        x = out[s]
         points = sorted(info["points"])
         known = info["channels"] == 1 and (sum(p[2] for p in points) == info["samples"])
         if not known:
@@ -366,59 +368,121 @@ def decode_many(streams: list[bytes]) -> list:
                 fast.append((s, first, n, order, warm, k, base * 8 + b.at - at * 8))
                 data.append(stream[at:end])
                 base += end - at
+                if base >= GROUP_BYTES:
+                    _walk(fast, data, out)
+                    fast, data, base = [], [], 0
             else:
                 x[first : first + n] = decode_frame(stream, at, info)[0][0]
     if fast:
-        places = sorted(range(len(fast)), key=lambda i: -(fast[i][2] - fast[i][3]))
-        own = [fast[i] for i in places]
-        bits = np.unpackbits(np.frombuffer(b"".join(data), dtype=np.uint8))
-        size = len(bits)
-        ones = np.where(bits, np.arange(size, dtype=np.int32), np.int32(size))
-        following = np.minimum.accumulate(ones[::-1])[::-1]
-        following = np.append(following, np.full(64, size, dtype=np.int32))
-        counts = np.array([f[2] - f[3] for f in own])
-        k = np.array([f[5] for f in own], dtype=np.int32)
-        at = np.array([f[6] for f in own], dtype=np.int32)
-        longest = int(counts[0])
-        ends = np.zeros((longest, len(own)), dtype=np.int32)
-        begins = np.zeros((longest, len(own)), dtype=np.int32)
-        active = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
-        step = k + 1
-        for i in range(longest):
-            m = active[i]
-            begins[i, :m] = at[:m]
-            t = following[at[:m]]
-            ends[i, :m] = t
-            at = np.minimum(t + step[:m], size)
-        u = (ends - begins).astype(np.int64)
-        padded = np.append(bits, np.zeros(64, dtype=np.uint8))
-        for j in range(int(k.max(initial=0))):
-            use = np.flatnonzero(k > j)
-            u[:, use] = u[:, use] << 1 | padded[ends[:, use] + (1 + j)]
-        e = u >> 1 ^ -(u & 1)
-        for c, (s, first, n, order, warm, _, _) in enumerate(own):
-            v = e[: n - order, c]
-            seeds = [np.asarray(warm, dtype=np.int64)]  # the warm-up and its differences
-            for _ in range(order - 1):
-                seeds.append(np.diff(seeds[-1]))
-            for o in range(order, 0, -1):
-                v = np.concatenate([seeds[o - 1], seeds[o - 1][-1] + np.cumsum(v)]) if o == order else np.concatenate([seeds[o - 1][:1], seeds[o - 1][0] + np.cumsum(v)])
-            out[s][first : first + n] = v
+        _walk(fast, data, out)
     for x, info in zip(out, infos):
         if hashlib.md5(x.astype("<i2" if info["bits"] == 16 else "<i1").tobytes()).digest() != info["md5"]:
             raise FlacError("the stream's MD5 sum is wrong")
     return out
 
 
+def _walk(fast: list[tuple], data: list[bytes], out: list) -> None:
+    """Decode a group of blocks with one Rice partition in step, into the arrays of ``out``."""
+    import numpy as np
+
+    own = sorted(fast, key=lambda f: f[3] - f[2])
+    bits = np.unpackbits(np.frombuffer(b"".join(data), dtype=np.uint8))
+    size = len(bits)  # a group is a few megabytes at most: its bits are numbered well within 32 bits
+    ones = np.where(bits, np.arange(size, dtype=np.int32), np.int32(size))
+    following = np.minimum.accumulate(ones[::-1])[::-1]
+    following = np.append(following, np.full(64, size, dtype=np.int32))
+    counts = np.array([f[2] - f[3] for f in own])
+    k = np.array([f[5] for f in own], dtype=np.int32)
+    at = np.array([f[6] for f in own], dtype=np.int32)
+    longest = int(counts[0])
+    ends = np.zeros((longest, len(own)), dtype=np.int32)
+    begins = np.zeros((longest, len(own)), dtype=np.int32)
+    active = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
+    step = k + 1
+    for i in range(longest):
+        m = active[i]
+        begins[i, :m] = at[:m]
+        t = following[at[:m]]
+        ends[i, :m] = t
+        at = np.minimum(t + step[:m], size)
+    u = (ends - begins).astype(np.int64)
+    padded = np.append(bits, np.zeros(64, dtype=np.uint8))
+    for j in range(int(k.max(initial=0))):
+        use = np.flatnonzero(k > j)
+        u[:, use] = u[:, use] << 1 | padded[ends[:, use] + (1 + j)]
+    e = u >> 1 ^ -(u & 1)
+    for c, (s, first, n, order, warm, _, _) in enumerate(own):
+        v = e[: n - order, c]
+        seeds = [np.asarray(warm, dtype=np.int64)]  # the warm-up and its differences
+        for _ in range(order - 1):
+            seeds.append(np.diff(seeds[-1]))
+        for o in range(order, 0, -1):
+            v = np.concatenate([seeds[o - 1], seeds[o - 1][-1] + np.cumsum(v)]) if o == order else np.concatenate([seeds[o - 1][:1], seeds[o - 1][0] + np.cumsum(v)])
+        out[s][first : first + n] = v
+
+
+def blocks(stream: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first sample, samples, byte offset of the frame, little-endian PCM with channels interleaved) of every frame, checksums verified."""
+    info = header(stream)
+    at, first, size = info["frames"], 0, (info["bits"] + 7) // 8
+    while at < len(stream):
+        x, after = decode_frame(stream, at, info)
+        yield first, len(x[0]), at, b"".join(v.to_bytes(size, "little", signed=True) for row in zip(*x) for v in row)
+        at, first = after, first + len(x[0])
+    if info["samples"] and first != info["samples"]:
+        raise FlacError("samples are missing")
+
+
+def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """One row per frame of a column of FLAC streams: the key, block, first_sample, n_samples, byte_offset, pcm, error.
+
+    A reader finds sample s in the last block whose first_sample is at most s.  Defined cases: a null stream gives no row; one that is
+    damaged gives its sound blocks and then a row with the error and no PCM; repeated and null keys give their rows each; further columns are ignored.
+    """
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+
+    names = [("block", LongType()), ("first_sample", LongType()), ("n_samples", LongType()), ("byte_offset", LongType()), ("pcm", BinaryType()), ("error", StringType())]
+    schema = StructType([media.schema[key], *[StructField(n, t) for n, t in names]])
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(own, stream):
+            k = 0
+            try:
+                for first, n, at, pcm in blocks(stream):
+                    yield own, k, first, n, at, pcm, None
+                    k += 1
+            except (FlacError, IndexError, struct.error) as exc:
+                yield own, k, None, None, None, None, str(exc) or type(exc).__name__
+
+        def batch_of(out: list[tuple], kind) -> pa.RecordBatch:
+            kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [key, *[n for n, _ in names]])
+
+        for batch in batches:
+            out, size = [], 0
+            for own, stream in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for row in rows(own, stream.as_py()) if stream.is_valid else ():
+                    out.append(row)
+                    size += len(row[5] or b"")
+                    if size > RUN_BYTES:
+                        yield batch_of(out, batch.column(0).type)
+                        out, size = [], 0
+            if out:
+                yield batch_of(out, batch.column(0).type)
+
+    return pick(media, [key, column]).mapInArrow(made, schema)
+
+
 def features(x) -> str:
     """Whole-number statistics of samples: count, sum, energy, extremes, zero crossings, and the energies of eight equal parts."""
     import numpy as np
 
-    x = np.asarray(x, dtype=np.int64)
-    square = x * x
-    parts = [int(p.sum()) for p in np.array_split(square, 8)]
+    x = np.asarray(x)
+    parts = [int(np.square(p.astype(np.int64)).sum()) for p in np.array_split(x, 8)]
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"n={len(x)};sum={int(x.sum())};energy={int(square.sum())};min={int(x.min(initial=0))};max={int(x.max(initial=0))};crossings={crossings};parts=" + ",".join(map(str, parts))
+    return f"n={len(x)};sum={int(x.sum(dtype=np.int64))};energy={sum(parts)};min={int(x.min(initial=0))};max={int(x.max(initial=0))};crossings={crossings};parts=" + ",".join(map(str, parts))
 
 
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -452,7 +516,7 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = (text.as_py() or "").encode()
                 payload = raw + bytes(PAD - len(raw) % PAD if len(raw) % PAD or not raw else 0)
-                run.append((doc_id, len(raw), encode(np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128)))
+                run.append((doc_id, len(raw), encode(np.frombuffer(payload, dtype=np.uint8).astype(np.int16) - 128)))
                 size += len(payload)
                 if size > RUN_BYTES:
                     yield finish(run)

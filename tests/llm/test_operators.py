@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -207,15 +208,28 @@ def test_mix_of_equal_rows(spark):
     assert len(got) == 600 and hot.target - 3 <= taken[hot.target, 900] <= hot.target + 1
 
 
-def test_training_order_shards(docs, rows, tmp_path):
+def test_training_order_shards(docs, rows, tmp_path, monkeypatch):
     out = f"file://{tmp_path}/shards"
     got = training_order.write_shards(docs, out=out, sequence=64, shard_slots=32).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
     ids = training_order.read_slots(out, 0, len(got), 64, shard_slots=32)
+    assert sorted(os.listdir(f"{tmp_path}/shards")) == [f"shard-{k:08d}.bin" for k in range(-(-len(got) // 32))]
+    from tokenizers import Tokenizer
+
+    # the tokenizer's own ids, cut by hand, are what the slots hold
+    t, want = Tokenizer.from_file(packing.default_path()), collections.Counter()
+    for i, text, _ in rows:
+        whole = t.encode(text or "", add_special_tokens=False).ids + [1]
+        want.update((i, k // 64, tuple(whole[k : k + 64])) for k in range(0, len(whole), 64))
+    assert collections.Counter((r.doc_id, r.chunk, tuple(ids[r.slot][: r.n_tokens].tolist())) for r in got) == want
     for r in got:
         record = ids[r.slot]
         assert zlib.crc32(record[: r.n_tokens].tobytes()) == r.ids_crc32 and not record[r.n_tokens :].any()
     assert (training_order.read_slots(out, 20, 30, 64, shard_slots=32) == ids[20:50]).all()
+    # fewer writers than shards: each writes several in turn
+    monkeypatch.setattr(training_order, "WRITERS", 3)
+    training_order.write_shards(docs.coalesce(1), out=out + "-few", sequence=64, shard_slots=32).collect()
+    assert len(os.listdir(f"{tmp_path}/shards-few")) == -(-len(got) // 32)
     by_doc = collections.Counter(r.doc_id for r in got)
     assert by_doc[1] == 1 and by_doc[rows[-3][0]] > 100
 
@@ -232,6 +246,26 @@ def test_media_digests(docs, rows):
         assert bytes(v + 128 for v in flac.decode(bytes(r.media))[0][0]) == payload
 
 
+def test_pcm_blocks_of_a_column(spark, docs):
+    from pyspark.sql import functions as F
+
+    made = flac.media(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), keep_media=True).select("doc_id", "media", F.lit(1).alias("pcm"))
+    whole = made.unionByName(spark.createDataFrame([(-1, None, 1), (-2, b"no stream", 1)], made.schema))
+    got = flac.pcm_blocks(whole).collect()
+    by_doc = collections.defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    assert -1 not in by_doc and [r.error is not None for r in by_doc.pop(-2)] == [True]
+    streams = {r.doc_id: bytes(r.media) for r in made.collect()}
+    assert by_doc.keys() == streams.keys() and max(map(len, by_doc.values())) > 5
+    for i, found in by_doc.items():
+        found.sort(key=lambda r: r.block)
+        x = [v - 256 * (v > 127) for r in found for v in r.pcm]
+        assert x == flac.decode(streams[i])[0][0] and all(r.error is None for r in found)
+        last = found[-1]
+        assert flac.seek(streams[i], last.first_sample, last.n_samples) == x[last.first_sample :]
+
+
 def test_token_counts(docs, rows):
     c = token_count.UnigramCounter(*token_count.vocabulary(token_count.default_path()))
     assert sorted((r.doc_id or -1, r.n_tokens) for r in token_count.token_counts(docs).collect()) == sorted((i or -1, c.best("▁" + t.replace(" ", "▁"))[0] if t else 0) for i, t, _ in rows)
