@@ -1,25 +1,29 @@
 """Training-order materialisation: token sequences in fixed-stride shards, in the order of a keyed permutation.
 
-Sequences are numbered 0 to n - 1 in the order of the input's partitions.  A balanced Feistel network on the smallest
-even number of bits that holds n, with cycle-walking back into the range, maps each number to its global slot.  Tasks take ranges of slots, of
-whole shards each; a shard is a file of records of one stride, so a reader finds slot s at byte (s mod shard_slots) * stride of shard s // shard_slots and
-can resume anywhere.
+Every sequence has a number: its place in its partition of the input, after all that earlier partitions could hold.  A balanced Feistel network on the
+smallest even number of bits that holds the bound of these numbers, with cycle-walking back into the range, permutes them; a sequence's global slot is its
+rank in the permuted order.  Tasks take ranges of permuted numbers, whole shards each, so texts are tokenized once: how many sequences there are need not be known
+before the first is written.  A shard is a file of records of one stride, of about as many slots as asked for, and the manifest names the first slot of each, so a
+reader finds slot s of the shard that begins at slot f at byte (s - f) * stride and can resume anywhere.
 """
 
 from __future__ import annotations
 
+import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, pick, shared_path
+from marginalia.llm.common import materialize, pick, shared_path, small
 from marginalia.llm.tokens import default_path, encoder
 
 #: Tokens of a record, bytes of a token and records of a shard.
 SEQUENCE, WIDTH, SHARD_SLOTS = 512, 2, 8192
-END_ID, PAD_ID = 1, 0
+END_ID, PAD = 1, b"\0"
+MANIFEST = "manifest.json"
 KEY, ROUNDS = 0x5EED_0F_0DDE5, 6
 #: Tasks that write: with more shards than that each takes several in turn, one open at a time.
 WRITERS = 50_000
@@ -59,20 +63,15 @@ def _records(ids: bytes, sequence: int, width: int, end: bytes) -> list[bytes]:
     return [narrow[i : i + sequence * width] for i in range(0, len(narrow), sequence * width)]
 
 
-def _parts(docs: DataFrame, path: str, sequence: int, width: int) -> dict[int, int]:
-    """Sequences in each partition of the input."""
+def _bounds(docs: DataFrame, sequence: int) -> tuple[dict[int, int], int]:
+    """How many sequences each partition of the input holds at most, and about how many there are in all.
 
-    def counted(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        ids_of, n = encoder(path), 0
-        for batch in batches:
-            for text in batch.column(1):
-                n += -(-(len(ids_of.encode(text.as_py())) // 4 + 1) // sequence)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
-
-    return {r.part: r.n for r in docs.mapInArrow(counted, "part int, n long").collect()}  # a row per task
+    A token covers a byte at least of the normalised text, which has at most three bytes for each of the original's.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    most = F.floor((3 * size + 1 + sequence - 1) / sequence)
+    rows = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).alias("most"), F.sum(F.ceil((size / 4 + 1) / sequence)).alias("about")).collect()  # a row per task
+    return {r.part: r.most for r in rows}, sum(r.about for r in rows)
 
 
 def write_shards(docs: DataFrame, path: str | None = None, out: str | None = None, sequence: int = SEQUENCE, width: int = WIDTH, shard_slots: int = SHARD_SLOTS, key: int = KEY, stable: bool = False) -> DataFrame:
@@ -91,12 +90,13 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
     docs = pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not stable:
         docs = materialize(docs, "ordered")
-    counts = _parts(docs, path, sequence, width)
-    first, n = {}, 0
-    for part in sorted(counts):
-        first[part] = n
-        n += counts[part]
-    total, end = n, END_ID.to_bytes(4, "little")
+    bounds, about = _bounds(docs, sequence)
+    first, total = {}, 0
+    for part in sorted(bounds):
+        first[part] = total
+        total += bounds[part]
+    end, shards = END_ID.to_bytes(4, "little"), max(1, -(-about // shard_slots))
+    span = max(1, -(-total // shards))  # permuted numbers of a shard
 
     def placed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -105,16 +105,16 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
 
         part = TaskContext.get().partitionId()
         ids_of, at = encoder(path), first.get(part, 0)
-        stop = at + counts.get(part, 0)
+        stop = at + bounds.get(part, 0)
         for batch in batches:
             rows = [(d, k, r) for d, text in zip(batch.column(0).to_pylist(), batch.column(1)) for k, r in enumerate(_records(ids_of.encode(text.as_py()), sequence, width, end))]
             if at + len(rows) > stop:
                 raise RuntimeError("the input's partitions changed between two readings")
-            slots = feistel(np.arange(at, at + len(rows)), total, key) if rows else np.array([], dtype=np.int64)
+            order = feistel(np.arange(at, at + len(rows)), total, key) if rows else np.array([], dtype=np.int64)
             at += len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(slots // shard_slots), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                ["slot", "shard", "doc_id", "chunk", "ids"],
+                [pa.array(order), pa.array(order // span), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                ["order", "shard", "doc_id", "chunk", "ids"],
             )
 
     def written(batches: Iterator) -> Iterator:
@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
         system, folder = fs.FileSystem.from_uri(out)
         system.create_dir(folder, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        file, name, shard, pad = None, "", -1, PAD_ID.to_bytes(width, "little")
+        file, name, shard, place, stride = None, "", -1, 0, sequence * width
 
         def close() -> None:
             if file is not None:
@@ -133,53 +133,58 @@ def write_shards(docs: DataFrame, path: str | None = None, out: str | None = Non
                 system.move(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")
 
         for batch in batches:
-            for own, slot, ids in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(4)):
+            records, places = batch.column(4).to_pylist(), []
+            for own, record in zip(batch.column(1).to_pylist(), records):
                 if own != shard:
                     close()
-                    shard, name = own, f"shard-{own:08d}.bin"
+                    shard, place, name = own, 0, f"shard-{own:08d}.bin"
                     file = system.open_output_stream(f"{folder}/.{name}.{attempt}")
-                record = ids.as_py()
-                file.write(record + pad * (sequence - len(record) // width))
-            ids = batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([s % shard_slots * sequence * width for s in batch.column(0).to_pylist()], pa.int64()),
-                    batch.column(2),
-                    batch.column(3),
-                    pa.array([len(r) // width for r in ids], pa.int64()),
-                    pa.array([zlib.crc32(r) for r in ids], pa.int64()),
-                ],
-                ["slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", "ids_crc32"],
-            )
+                file.write(record.ljust(stride, PAD))
+                places.append(place)
+                place += 1
+            columns = [batch.column(1), pa.array(places, pa.int64()), batch.column(2), batch.column(3), pa.array([len(r) // width for r in records], pa.int64()), pa.array(list(map(zlib.crc32, records)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "doc_id", "chunk", "n_tokens", "ids_crc32"])
         close()
 
-    shards = max(1, -(-total // shard_slots))
     each = -(-shards // WRITERS)  # consecutive shards of a task
-    ranged = docs.mapInArrow(placed, "slot long, shard long, doc_id long, chunk long, ids binary").repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
-    index = materialize(ranged.sortWithinPartitions("slot").mapInArrow(written, "slot long, shard long, byte_offset long, doc_id long, chunk long, n_tokens long, ids_crc32 long"), "index")
+    ranged = docs.mapInArrow(placed, "order long, shard long, doc_id long, chunk long, ids binary").repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
+    index = materialize(ranged.sortWithinPartitions("order").mapInArrow(written, "shard long, place long, doc_id long, chunk long, n_tokens long, ids_crc32 long"), "index")
+    # a row per shard, of two numbers: the manifest, which every reader needs
+    firsts, n = [], 0
+    for r in index.groupBy("shard").count().orderBy("shard").collect():
+        firsts.append((r.shard, n))
+        n += r["count"]
+    if not firsts:
+        return spark.createDataFrame([], "slot long, shard long, byte_offset long, doc_id long, chunk long, n_tokens long, ids_crc32 long")
     from pyarrow import fs
 
     system, folder = fs.FileSystem.from_uri(out)
-    for left in system.get_file_info(fs.FileSelector(folder)) if total else []:
+    for left in system.get_file_info(fs.FileSelector(folder)):
         if left.base_name.startswith(".shard-"):
             system.delete_file(left.path)
-    return index
+    with system.open_output_stream(f"{folder}/.manifest") as f:
+        f.write(json.dumps({"sequence": sequence, "width": width, "slots": n, "shards": firsts}).encode())
+    system.move(f"{folder}/.manifest", f"{folder}/{MANIFEST}")
+    begins = small(spark.createDataFrame(firsts, "shard long, first long"))
+    return index.join(begins, "shard").select((F.col("first") + F.col("place")).alias("slot"), "shard", (F.col("place") * (sequence * width)).alias("byte_offset"), "doc_id", "chunk", "n_tokens", "ids_crc32")
 
 
-def read_slots(folder: str, first: int, count: int, sequence: int = SEQUENCE, width: int = WIDTH, shard_slots: int = SHARD_SLOTS):
+def read_slots(folder: str, first: int, count: int):
     """Records of consecutive slots as an array of ids, read by seeking: what a resumed trainer does."""
     import numpy as np
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(folder)
-    rows = []
-    slot = first
-    while slot < first + count:
-        take = min(first + count - slot, shard_slots - slot % shard_slots)
-        with system.open_input_file(f"{base}/shard-{slot // shard_slots:08d}.bin") as f:
-            f.seek(slot % shard_slots * sequence * width)
+    with system.open_input_file(f"{base}/{MANIFEST}") as f:
+        manifest = json.loads(f.read())
+    sequence, width, shards = manifest["sequence"], manifest["width"], manifest["shards"]
+    stop, rows = min(first + count, manifest["slots"]), []
+    at = bisect.bisect_right([s[1] for s in shards], first) - 1
+    while first < stop:
+        shard, begin = shards[at]
+        take = min(stop, shards[at + 1][1] if at + 1 < len(shards) else stop) - first
+        with system.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
+            f.seek((first - begin) * sequence * width)
             rows.append(np.frombuffer(f.read(take * sequence * width), dtype=f"<u{width}").reshape(-1, sequence))
-        slot += take
+        first, at = first + take, at + 1
     return np.concatenate(rows) if rows else np.zeros((0, sequence), dtype=f"<u{width}")
