@@ -35,6 +35,14 @@ def sentences(text: Column, keep_tail: bool = False) -> Column:
     return F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
 
 
+def token_counts(text: Column) -> Column:
+    """(n_tokens, n_chars, n_marks) of a text: its tokens, their characters and how many of them are punctuation, without listing them."""
+    t = F.coalesce(text, F.lit(""))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    spaces = F.length(F.regexp_replace(t, r"(?U)[^\s\x1c-\x1f]+", ""))
+    return F.struct(count(TOKEN).alias("n_tokens"), (F.length(t) - spaces).cast("long").alias("n_chars"), count(f"[{_CLASS}]").alias("n_marks"))
+
+
 def normalize_spaces(text: Column) -> Column:
     """Each run of white space becomes one space."""
     return F.regexp_replace(text, r"(?U)\s+", " ")
@@ -65,16 +73,22 @@ def spans(df: DataFrame, key: str, text: str, pattern: str, group: int = 0, posi
     schema = StructType([df.schema[key], StructField(position, IntegerType()), StructField(value, StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 
     def found(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         rule = re.compile(pattern)
         for batch in batches:
-            keys, columns = batch.column(0), ([], [], [], [], [])
+            rows, places, values, flat = [], [], [], []
             for row, t in enumerate(batch.column(1)):
-                for i, m in enumerate(rule.finditer(t.as_py() or "")):
-                    for column, v in zip(columns, (row, i, m[group], *m.span(group))):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], schema.names)
+                found_ = list(rule.finditer(t.as_py() or ""))
+                rows.append(len(found_))
+                places.append(np.arange(len(found_), dtype=np.int32))
+                values += [m[group] for m in found_]
+                flat += [m.span(group) for m in found_]
+            bounds = np.array(flat, dtype=np.int32).reshape(-1, 2)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))
+            at = np.concatenate(places) if places else np.zeros(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(at), pa.array(values, pa.string()), pa.array(bounds[:, 0]), pa.array(bounds[:, 1])], schema.names)
 
     return df.select(key, text).mapInArrow(found, schema)
 

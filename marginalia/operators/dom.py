@@ -8,6 +8,7 @@ begins, script and style hold raw text, stray end tags are ignored, and what is
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ class Node:
     children: list = field(default_factory=list)
     node_id: int = 0
     depth: int = 0
-    xpath: str = ""
+    step: str = ""
     t_before: int = 0
     nt_before: int = 0
     t_after: int = 0
@@ -42,6 +43,15 @@ class Node:
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
+    @property
+    def xpath(self) -> str:
+        """The steps from the root, put together on demand: a deep tree holds none of them."""
+        steps, n = [], self
+        while n is not None:
+            steps.append(n.step)
+            n = n.parent
+        return "/" + "/".join(reversed(steps))
+
     def iter(self) -> Iterator["Node"]:
         stack = [self]
         while stack:
@@ -115,7 +125,7 @@ def parse(html: str | None, implied: bool = True) -> Node | None:
         n.node_id, count = count, count + 1
         n.depth = 0 if n.parent is None else n.parent.depth + 1
         if n.parent is None:
-            n.xpath = "/" + n.tag
+            n.step = n.tag
         n.t_before, n.nt_before = t, nt
         t, nt = t + len(n.text), nt + 1 + len(n.text)
         same: dict[str, int] = {}
@@ -124,7 +134,7 @@ def parse(html: str | None, implied: bool = True) -> Node | None:
         seen: dict[str, int] = {}
         for c in n.children:
             seen[c.tag] = seen.get(c.tag, 0) + 1
-            c.xpath = f"{n.xpath}/{c.tag}" + (f"[{seen[c.tag]}]" if same[c.tag] > 1 else "")
+            c.step = c.tag + (f"[{seen[c.tag]}]" if same[c.tag] > 1 else "")
         stack.append((n, True))
         stack.extend((c, False) for c in reversed(n.children))
     return root
@@ -133,11 +143,22 @@ def parse(html: str | None, implied: bool = True) -> Node | None:
 NODES = "node_id int, parent_id int, depth int, tag string, classes array<string>, attrs map<string,string>, text string, tail string, xpath string, t_before int, nt_before int, t_after int, nt_after int"
 
 
-def _rows(df: DataFrame, key: str, html: str, schema: str, make) -> DataFrame:
-    """Rows of ``make(text)`` for each document, with its key, in one narrow pass."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
+def _rows(df: DataFrame, key: str, html: str, schema: str, make, errors: bool = False) -> DataFrame:
+    """Rows of ``make(text)`` for each document, with its key, in one narrow pass.
+
+    With ``errors`` a column of that name is added, as ``error``: a document on which ``make`` fails has one row with its message and nulls, and the
+    others go on.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+
+    made_fields = _parse_datatype_string(schema).fields
+    fields = StructType([df.schema[key], *[StructField(f.name, f.dataType, True) for f in made_fields], *[StructField("error", StringType())] * errors])
 
-    fields = StructType([df.schema[key], *_parse_datatype_string(schema).fields])
+    def safe(text):
+        try:
+            return [(*row, None) for row in make(text)]
+        except Exception as e:
+            return [(*[None] * len(made_fields), f"{type(e).__name__}: {e}")]
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,7 +168,7 @@ def _rows(df: DataFrame, key: str, html: str, schema: str, make) -> DataFrame:
         for batch in batches:
             at, out = [], []
             for i, text in enumerate(batch.column(1)):
-                made = make(text.as_py())
+                made = (safe if errors else make)(text.as_py())
                 out += made
                 at += [i] * len(made)
             columns = list(zip(*out)) or [[]] * (len(kinds) - 1)
@@ -156,7 +177,7 @@ def _rows(df: DataFrame, key: str, html: str, schema: str, make) -> DataFrame:
     return df.select(key, html).mapInArrow(rows, fields)
 
 
-def nodes(df: DataFrame, key: str, html: str) -> DataFrame:
+def nodes(df: DataFrame, key: str, html: str, errors: bool = False) -> DataFrame:
     """One row per element: ids in document order, parent, path, attributes and the four offsets."""
 
     def made(text):
@@ -165,7 +186,15 @@ def nodes(df: DataFrame, key: str, html: str) -> DataFrame:
             return []
         return [(n.node_id, None if n.parent is None else n.parent.node_id, n.depth, n.tag, n.classes, list(n.attrs.items()), n.text, n.tail, n.xpath, n.t_before, n.nt_before, n.t_after, n.nt_after) for n in root.iter()]
 
-    return _rows(df, key, html, NODES, made)
+    return _rows(df, key, html, NODES, made, errors)
+
+
+def node_by_id(nodes_: DataFrame, key: str, ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """The nodes of ``nodes`` whose id attribute is asked for, by (key, id); where several of a document have it, the first."""
+    own = nodes_.withColumn("__id", F.col("attrs")["id"]).where("__id is not null")
+    hit = own.join(ids.select(key, F.col(id_column).alias("__id")).distinct(), [key, "__id"])
+    first = hit.groupBy(key, "__id").agg(F.min_by(F.struct(*[c for c in nodes_.columns if c != key]), "node_id").alias("n"))
+    return first.select(key, F.col("__id").alias(id_column), "n.*")
 
 
 # --- plain text with provenance -------------------------------------------------------------------------------------
@@ -231,7 +260,7 @@ def plain_text(root: Node | None, rules: Rules = Rules()) -> tuple[list[tuple[st
 DNM = "text string, segments array<struct<pos:int,len:int,kind:string,start_ref:int,end_ref:int>>, replaced array<struct<category:string,number:int,start_ref:int,end_ref:int>>"
 
 
-def dnm(df: DataFrame, key: str, html: str, rules: Rules = READABLE) -> DataFrame:
+def dnm(df: DataFrame, key: str, html: str, rules: Rules = READABLE, errors: bool = False) -> DataFrame:
     """Each document's plain text with its provenance, run-length encoded: a segment per run instead of a reference per character."""
 
     def made(text):
@@ -243,7 +272,7 @@ def dnm(df: DataFrame, key: str, html: str, rules: Rules = READABLE) -> DataFram
         names = ("category", "number", "start_ref", "end_ref")
         return [("".join(s for s, *_ in segments), out, [dict(zip(names, r)) for r in replaced])]
 
-    return _rows(df, key, html, DNM, made)
+    return _rows(df, key, html, DNM, made, errors)
 
 
 # --- linked strings: the segment algebra ----------------------------------------------------------------------------
@@ -311,6 +340,50 @@ def replace_ranges(text: str, segments: list[dict], ranges: list[tuple[int, int,
 _PATH = re.compile(r"^(node|after-node)\((.+)\)$|^char\((.+),\s*(\d+)\)$")
 
 
+class _Index:
+    """What lookups in one tree need: nodes by id, openings in order, and the runs of text by both counts.  Built once a tree."""
+
+    def __init__(self, root: Node):
+        self.nodes = list(root.iter())
+        self.opened = [n.nt_before for n in self.nodes]
+        self.by_id: dict[str, list[Node]] = {}
+        runs = []
+        for n in self.nodes:
+            if "id" in n.attrs:
+                self.by_id.setdefault(n.attrs["id"], []).append(n)
+            if n.text:
+                runs.append((n.nt_before + 1, n.t_before, len(n.text)))
+            if n.tail and n is not root:
+                runs.append((n.nt_after, n.t_after, len(n.tail)))
+        runs.sort()
+        self.runs = runs
+        self.counted = [t for _, t, _ in runs]
+
+
+def _index(root: Node) -> _Index:
+    if "_index" not in root.__dict__:
+        root.__dict__["_index"] = _Index(root)
+    return root.__dict__["_index"]
+
+
+def _at_path(root: Node, path: str) -> list[Node]:
+    """The nodes of an absolute path, found step by step."""
+    found, steps = [root], path.split("/")[1:]
+    for depth, step in enumerate(steps):
+        m = re.fullmatch(r"([^\[\]/]+)(?:\[(\d+)\])?", step)
+        if not m:
+            return []
+        if depth == 0:
+            found = [n for n in found if n.tag == m[1] and m[2] in (None, "1")]
+            continue
+        below = []
+        for n in found:
+            named = [c for c in n.children if c.tag == m[1]]
+            below += named if m[2] is None else named[int(m[2]) - 1 : int(m[2])]
+        found = below
+    return found
+
+
 def offset_of_path(root: Node, path: str) -> int:
     """The node-text offset of ``node(x)``, ``after-node(x)`` or ``char(x,n)``; x is an absolute path or ``//tag[@id="..."]``.
 
@@ -321,9 +394,9 @@ def offset_of_path(root: Node, path: str) -> int:
         raise ValueError(f"not a path selector: {path}")
     x = m[2] or m[3]
     if by_id := re.match(r'^//([\w*-]+)\[@id=["\'](.+)["\']\]$', x):
-        hits = [n for n in root.iter() if n.attrs.get("id") == by_id[2] and by_id[1] in ("*", n.tag)]
+        hits = [n for n in _index(root).by_id.get(by_id[2], []) if by_id[1] in ("*", n.tag)]
     else:
-        hits = [n for n in root.iter() if n.xpath == x]
+        hits = _at_path(root, x)
     if len(hits) != 1:
         raise ValueError(f"{x} selects {len(hits)} nodes")
     n = hits[0]
@@ -336,8 +409,10 @@ def offset_of_path(root: Node, path: str) -> int:
 
 def text_to_node_text(root: Node, offset: int, is_start: bool) -> int:
     """A character count as a node-text offset; an end looks one character to the left."""
-    runs = [(n.t_before, n.nt_before + 1, len(n.text)) for n in root.iter() if n.text] + [(n.t_after, n.nt_after, len(n.tail)) for n in root.iter() if n.tail and n is not root]
-    for t, nt, size in sorted(runs, key=lambda r: r[1]):
+    index = _index(root)
+    k = bisect.bisect_right(index.counted, offset if is_start else offset - 1) - 1
+    if k >= 0:
+        nt, t, size = index.runs[k]
         if t <= offset < t + size if is_start else t < offset <= t + size:
             return nt + offset - t
     return root.nt_after - 1 if offset else root.nt_before + 1
@@ -345,22 +420,31 @@ def text_to_node_text(root: Node, offset: int, is_start: bool) -> int:
 
 def path_of_offset(root: Node, offset: int) -> str:
     """The path selector of a node-text offset: a node's opening, a character of its text, or what is behind its closing."""
-    node = None
-    for n in root.iter():
-        if n.nt_before == offset:
-            return f"node({n.xpath})"
-        if n.nt_before < offset < n.nt_after:
-            node = n
+    index = _index(root)
+    k = bisect.bisect_right(index.opened, offset) - 1
+    node = index.nodes[k] if k >= 0 else None
+    if node is not None and node.nt_before == offset:
+        return f"node({node.xpath})"
+    while node is not None and node.nt_after <= offset:
+        node = node.parent
     if node is None:
         return f"after-node({root.xpath})"
-    inside = [c for c in node.children if c.nt_after <= offset]
-    last = inside[-1] if inside else None
+    last = node.children[at - 1] if (at := bisect.bisect_right(node.children, offset, key=lambda c: c.nt_after)) else None
     if last is not None and not last.tail:
         return f"after-node({last.xpath})"
     t = last.t_after + offset - last.nt_after if last is not None else node.t_before + offset - node.nt_before - 1
     return f"char({node.xpath},{t - node.t_before})"
 
 
+def deepest(root: Node, start: int, end: int) -> Node:
+    """The deepest node around a range of node-text offsets."""
+    index = _index(root)
+    node = index.nodes[max(0, bisect.bisect_right(index.opened, start) - 1)]
+    while node.parent is not None and not (node.nt_before <= start and end <= node.nt_after):
+        node = node.parent
+    return node
+
+
 def containing(points: DataFrame, nodes_: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Each range with the deepest node around it (id, tag, path)."""
     from marginalia.operators.intervals import contains_join
@@ -416,16 +500,97 @@ def tokenized_html(root: Node | None, skip: frozenset[str] = frozenset("svg math
             last = m.end()
         out.append(escape(text[last:], quote=False))
 
-    def walk(n: Node, plain: bool) -> None:
-        plain = plain or n.tag in skip
+    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while stack:
+        n, plain, closing = stack.pop()
+        if closing:
+            if n.tag not in VOID:
+                out.append(f"</{n.tag}>")
+            if n is not root:
+                write(n.tail, n.nt_after, plain)
+            continue
+        inside = plain or n.tag in skip
         attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items())
         out.append(f'<{n.tag}{attrs} data-start="{n.nt_before}" data-end="{n.nt_after}">')
-        write(n.text, n.nt_before + 1, plain)
-        for c in n.children:
-            walk(c, plain)
-            write(c.tail, c.nt_after, plain)
-        if n.tag not in VOID:
-            out.append(f"</{n.tag}>")
-
-    walk(root, False)
+        write(n.text, n.nt_before + 1, inside)
+        stack.append((n, plain, True))
+        stack += [(c, inside, False) for c in reversed(n.children)]
     return "".join(out)
+
+
+_HEADERS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE_END = re.compile(r"[.!?]")
+
+
+def sentence_ranges(root: Node | None, rules: Rules = Rules(), references: frozenset[str] = frozenset(("ltx_ref", "ltx_cite")), displays: frozenset[str] = frozenset(("ltx_equation",))) -> tuple[str, list[tuple[int, int]]]:
+    """A tree's plain text, and the index ranges of its sentences, stripped.
+
+    A sentence ends as ``functions.text.sentences`` has it, but not where a reference follows the space behind it; headings begin and end one; and one
+    ends behind a displayed formula that white space and a capital or uncased character follow.  What is left over at the end is no sentence.
+    """
+    segments, _ = plain_text(root, rules)
+    text = "".join(s for s, *_ in segments)
+    if root is None or not text:
+        return text, []
+    # segments lie in one node each: what holds for a node holds for all its segment
+    marks: list[tuple[int, int, bool, bool, bool]] = []
+    known: dict[int, tuple[bool, bool, bool]] = {}
+    pos = 0
+    for s, kind, a, b in segments:
+        node = deepest(root, a, b) if kind == "token" else deepest(root, a, max(a, b))
+        if node.node_id not in known:
+            up, header = node, False
+            while up is not None and not header:
+                header, up = up.tag in _HEADERS, up.parent
+            known[node.node_id] = header, bool(references & set(node.classes)), bool(displays & set(node.classes))
+        marks.append((pos, pos + len(s), *known[node.node_id]))
+        pos += len(s)
+    starts = [m[0] for m in marks]
+
+    def mark(i: int):
+        return marks[bisect.bisect_right(starts, i) - 1]
+
+    ends = set()
+    for m in _SENTENCE_END.finditer(text):
+        i = m.start()
+        after = text[i + 1 : i + 2]
+        if m[0] == "." and (after.islower() or (text[i - 1 : i].isdigit() and i > 0 and after.isdigit())):
+            continue
+        if after in ("\xa0", ",", ".", ":", ";") and after:
+            continue
+        if after.isspace() and i + 2 < len(text) and mark(i + 2)[3]:
+            continue
+        ends.add(i + 1)
+    for k, (first, stop, header, _, display) in enumerate(marks):
+        if first == stop:
+            continue
+        before = next((marks[j] for j in range(k - 1, -1, -1) if marks[j][0] < marks[j][1]), None)
+        if header != (before[2] if before else False):
+            ends.add(first)
+        following = next((m for m in marks[k + 1 :] if m[0] < m[1]), None)
+        if display and following is not None and not following[4] and text[stop : stop + 1].isspace() and text[stop + 1 : stop + 2].upper():
+            ends.add(stop)
+    out, at = [], 0
+    for end in sorted(ends):
+        piece = text[at:end]
+        bare = piece.strip()
+        if bare:
+            lead = at + len(piece) - len(piece.lstrip())
+            out.append((lead, lead + len(bare)))
+        at = end
+    return text, out
+
+
+def sentences(df: DataFrame, key: str, html: str, rules: Rules = READABLE, errors: bool = False) -> DataFrame:
+    """(key, sentence_no, sentence, start, end): the sentences of each document, runs of white space made one space, and their index ranges in the plain text."""
+
+    def made(text):
+        plain, ranges = sentence_ranges(parse(text), rules)
+        return [(k, re.sub(r"\s+", " ", plain[a:b]), a, b) for k, (a, b) in enumerate(ranges)]
+
+    return _rows(df, key, html, "sentence_no int, sentence string, start int, `end` int", made, errors)
+
+
+def tokenized(df: DataFrame, key: str, html: str, errors: bool = True) -> DataFrame:
+    """(key, tokenized, error): every document as ``tokenized_html`` writes it."""
+    return _rows(df, key, html, "tokenized string", lambda text: [(tokenized_html(parse(text)),)], errors)

@@ -52,11 +52,28 @@ def merge_overlaps(df: DataFrame, key: str, start: str = "start", end: str = "en
 
 
 def prune_overlaps(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Greedy choice by (start, end): a range stays if it begins at or after the end of the last one that stayed."""
-    whole = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("all"))
-    kind = "array<struct<s:{0},e:{1}>>".format(df.schema[start].dataType.simpleString(), df.schema[end].dataType.simpleString())
-    kept = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] >= F.element_at(acc, -1)["e"]), F.concat(acc, F.array(x))).otherwise(acc))
-    return whole.select(key, F.explode(kept).alias("r")).select(key, F.col("r.s").alias(start), F.col("r.e").alias(end))
+    """Greedy choice by (start, end): a range stays if it begins at or after the end of the last one that stayed.
+
+    One pass over sorted ranges; nothing of a document is gathered.
+    """
+    from pyspark.sql.types import StructType
+
+    own = df.select(key, start, end)
+
+    def chosen(batches):
+        import pyarrow as pa
+
+        last, reach = object(), None  # of the document at hand: it may go on in the next batch
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                stays = k != last or a >= reach
+                if stays:
+                    last, reach = k, b
+                keep.append(stays)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return own.repartition(F.col(key)).sortWithinPartitions(key, start, end).mapInArrow(chosen, StructType(own.schema.fields))
 
 
 def asof(points: DataFrame, marks: DataFrame, key: str, point: str, mark: str, values: list[str]) -> DataFrame:
@@ -73,24 +90,51 @@ def classify(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Match gold and predicted ranges (key, id, start, end) of each document.
 
     By the number of predictions that a gold range overlaps: none, ``golden_only``; one, ``precise`` when equal and ``overlap`` otherwise; more,
-    ``multimatch`` for each.  A prediction without gold range is ``prediction_only``.  Ranges that begin after their end are ``degenerate``.
-    Returns (key, gold_id, pred_id, category).
+    ``multimatch`` for each pair and ``golden_in_multimatches`` once.  A prediction without gold range is ``prediction_only``, one with several
+    is ``prediction_in_multimatches``.  Ranges that begin after their end are ``degenerate``.  Returns (key, gold_id, pred_id, category).
+
+    The pairs are joined once: either side's ranges are added to them, and the degrees are counts over windows.
     """
-    empty_gold, empty_pred = gold.where("start > end"), predicted.where("start > end")
+    gold_type, pred_type = gold.schema["id"].dataType, predicted.schema["id"].dataType
+    no_gold, no_pred = F.lit(None).cast(gold_type), F.lit(None).cast(pred_type)
     g = gold.where("start <= end").select(key, F.col("id").alias("gold_id"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
     p = predicted.where("start <= end").select(key, F.col("id").alias("pred_id"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    pairs = overlap_join(g, p, key, ("g_start", "g_end"), ("p_start", "p_end"))
-    degree = F.count("*").over(Window.partitionBy(key, "gold_id"))
     same = (F.col("g_start") == F.col("p_start")) & (F.col("g_end") == F.col("p_end"))
-    met = pairs.withColumn("n", degree).select(key, "gold_id", "pred_id", F.when(F.col("n") > 1, "multimatch").when(same, "precise").otherwise("overlap").alias("category"))
-    alone = g.join(met, [key, "gold_id"], "left_anti").select(key, "gold_id", F.lit(None).cast(p.schema["pred_id"].dataType).alias("pred_id"), F.lit("golden_only").alias("category"))
-    extra = p.join(met, [key, "pred_id"], "left_anti").select(key, F.lit(None).cast(g.schema["gold_id"].dataType).alias("gold_id"), "pred_id", F.lit("prediction_only").alias("category"))
-    bad_gold = empty_gold.select(key, F.col("id").alias("gold_id"), F.lit(None).cast(p.schema["pred_id"].dataType).alias("pred_id"), F.lit("degenerate").alias("category"))
-    bad_pred = empty_pred.select(key, F.lit(None).cast(g.schema["gold_id"].dataType).alias("gold_id"), F.col("id").alias("pred_id"), F.lit("degenerate").alias("category"))
-    out = met
-    for part in (alone, extra, bad_gold, bad_pred):
-        out = out.unionByName(part)
-    return out
+    pairs = overlap_join(g, p, key, ("g_start", "g_end"), ("p_start", "p_end")).select(key, "gold_id", "pred_id", same.alias("same"))
+    own_gold = g.select(key, "gold_id", no_pred.alias("pred_id"), F.lit(False).alias("same"))
+    met = pairs.unionByName(own_gold).withColumn("n_pred", F.count("pred_id").over(Window.partitionBy(key, "gold_id")))
+    own_pred = p.select(key, no_gold.alias("gold_id"), "pred_id", F.lit(False).alias("same"), F.lit(0).cast("long").alias("n_pred"))
+    # rows of gold ranges alone have no prediction: they are told apart, so that they aren't one group
+    by_pred = Window.partitionBy(key, "pred_id", F.when(F.col("pred_id").isNull(), F.col("gold_id")))
+    every = met.unionByName(own_pred).withColumn("n_gold", F.count("gold_id").over(by_pred))
+    pair, of_gold = F.col("gold_id").isNotNull() & F.col("pred_id").isNotNull(), F.col("pred_id").isNull()
+    category = (
+        F.when(pair, F.when(F.col("n_pred") > 1, "multimatch").when(F.col("same"), "precise").otherwise("overlap"))
+        .when(of_gold, F.when(F.col("n_pred") == 0, "golden_only").when(F.col("n_pred") > 1, "golden_in_multimatches"))
+        .otherwise(F.when(F.col("n_gold") == 0, "prediction_only").when(F.col("n_gold") > 1, "prediction_in_multimatches"))
+    )
+    out = every.select(key, "gold_id", "pred_id", category.alias("category")).where("category is not null")
+    bad_gold = gold.where("start > end").select(key, F.col("id").alias("gold_id"), no_pred.alias("pred_id"), F.lit("degenerate").alias("category"))
+    bad_pred = predicted.where("start > end").select(key, no_gold.alias("gold_id"), F.col("id").alias("pred_id"), F.lit("degenerate").alias("category"))
+    return out.unionByName(bad_gold).unionByName(bad_pred)
+
+
+def overlap_report(gold: DataFrame, predicted: DataFrame, key: str, documents: DataFrame, text: str) -> DataFrame:
+    """(key, gold_id, pred_id, gold_range, pred_range, gold_text, pred_text) of pairs that overlap without being equal, with both passages."""
+    pairs = classify(gold, predicted, key).where("category = 'overlap'")
+    g = gold.select(key, F.col("id").alias("gold_id"), F.struct("start", "end").alias("gold_range"))
+    p = predicted.select(key, F.col("id").alias("pred_id"), F.struct("start", "end").alias("pred_range"))
+    cut = lambda r: F.substr(F.col(text), F.col(r)["start"] + 1, F.col(r)["end"] - F.col(r)["start"])
+    both = pairs.join(g, [key, "gold_id"]).join(p, [key, "pred_id"]).join(documents.select(key, text), key)
+    return both.select(key, "gold_id", "pred_id", "gold_range", "pred_range", cut("gold_range").alias("gold_text"), cut("pred_range").alias("pred_text"))
+
+
+def annotations_by_source(annotations: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, uri, target_uri, start, end): annotations with the ranges of their targets, by document; a missing target or a repeated IRI raises."""
+    ranged = targets.select(F.col("uri").alias("target_uri"), "source", "start", "end", F.lit(True).alias("__known"))
+    joined = annotations.select("uri", "target_uri").join(ranged, "target_uri", "left").withColumn("__n", F.count("*").over(Window.partitionBy("uri")))
+    bad = F.when(F.col("__known").isNull(), F.concat(F.lit("no target "), F.coalesce("target_uri", F.lit("null")))).when(F.col("__n") > 1, F.concat(F.lit("repeated "), F.col("uri")))
+    return joined.withColumn("source", F.when(bad.isNotNull(), F.raise_error(F.coalesce(bad, F.lit("")))).otherwise(F.col("source"))).select("source", "uri", "target_uri", "start", "end")
 
 
 def minimize(ranges: DataFrame, invisible: DataFrame, key: str, parity: bool = False) -> DataFrame:

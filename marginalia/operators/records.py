@@ -6,12 +6,14 @@ that reads them back, and the JSON-LD form with its context.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import terms as T
+from marginalia.sources.shared import discard, written
 
 OA = "http://www.w3.org/ns/oa#"
 DCT = "http://purl.org/dc/terms/"
@@ -20,7 +22,10 @@ NS = "http://example.org/marginalia/"
 
 @dataclass(frozen=True)
 class Attr:
-    """An attribute: its column, predicate and type (``uri``, ``html`` or an XSD type); several values, an RDF list, or a reversed predicate."""
+    """An attribute: its column, predicate and type (``uri``, ``html`` or an XSD type); several values, an RDF list, or a reversed predicate.
+
+    With ``nested`` classes the column holds records: a struct (or an array of structs) of ``type``, ``uri`` and the attributes of any of them.
+    """
 
     name: str
     predicate: str
@@ -29,6 +34,7 @@ class Attr:
     ordered: bool = False
     reverse: bool = False
     term: str | None = None
+    nested: tuple["RecordClass", ...] = ()
 
 
 @dataclass(frozen=True)
@@ -61,6 +67,13 @@ TYPE_RESTRICTION = RecordClass("IdentifierTypeRestriction", NS + "IdentifierType
 CLASSES = (ANNOTATION, FRAGMENT_TARGET, PATH_SELECTOR, OFFSET_SELECTOR, LIST_SELECTOR, SIMPLE_TAG_BODY, MULTI_TAG_BODY, TAG, TAG_SET, REPLACED_HTML_BODY, DOCUMENT_INFO, CORPUS_INFO, SPOTTER_RUN, IDENTIFIER, OCCURRENCE, DECLARATION, TYPE_RESTRICTION)
 
 
+#: Targets with their selectors, which lists of selectors refine; annotations with a target and bodies in them.
+_REFINED = RecordClass("ListSelector", NS + "ListSelector", (Attr("vals", NS + "vals", ordered=True, nested=(PATH_SELECTOR, OFFSET_SELECTOR)),), root=False)
+NESTED_SELECTORS = tuple(replace(c, attrs=(*c.attrs, Attr("refined_by", OA + "refinedBy", nested=(_REFINED,), term="refinedBy"))) for c in (PATH_SELECTOR, OFFSET_SELECTOR))
+NESTED_TARGET = RecordClass("FragmentTarget", NS + "FragmentTarget", (Attr("source", OA + "hasSource"), Attr("selectors", OA + "hasSelector", many=True, nested=NESTED_SELECTORS, term="selector")))
+NESTED_ANNOTATION = RecordClass("Annotation", OA + "Annotation", (Attr("target", OA + "hasTarget", nested=(NESTED_TARGET,)), Attr("creator_uri", DCT + "creator", term="creator"), Attr("bodies", OA + "hasBody", many=True, nested=(SIMPLE_TAG_BODY, REPLACED_HTML_BODY), term="body")))
+
+
 class Resolver:
     """Type IRI -> record class; two classes for one type are an error."""
 
@@ -82,52 +95,103 @@ def _object(attr: Attr, value: Column) -> Column:
     return T.literal(value, attr.kind)
 
 
-def _list_cells(attr: Attr, values: Column, triple) -> tuple[Column, Column]:
-    """The triple that points at a list, and those of its cells."""
+_KIND = f"array<struct<s:{T.TERM},p:string,o:{T.TERM}>>"
+
+
+def _triple(s: Column, p: str, o: Column) -> Column:
+    return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+
+
+def _many(attr: Attr, values: Column, seed: Column, subject: Column) -> tuple[list[Column], list[Column]]:
+    """Triples, and arrays of triples, of an attribute with several values."""
+    node = (lambda x, i: _nested_subject(attr, x, seed, i)) if attr.nested else (lambda x, i: _object(attr, x))
+    below = [F.flatten(F.transform(values, lambda x, i: _nested_triples(attr, x, seed, i)))] if attr.nested else []
+    if not attr.ordered:
+        link = (lambda x, i: _triple(node(x, i), attr.predicate, subject)) if attr.reverse else (lambda x, i: _triple(subject, attr.predicate, node(x, i)))
+        return [], [F.transform(values, link), *below]
     nil, n = T.uri(F.lit(T.RDF + "nil")), F.size(values)
 
     def cell(i: Column) -> Column:
-        return T.bnode(F.col("uri"), F.lit(attr.name), i)
+        return T.bnode(seed, F.lit(attr.name), i)
 
     def both(x: Column, i: Column) -> Column:
-        return F.array(triple(cell(i), T.RDF + "first", _object(attr, x)), triple(cell(i), T.RDF + "rest", F.when(i + 1 < n, cell(i + 1)).otherwise(nil)))
+        return F.array(_triple(cell(i), T.RDF + "first", node(x, i)), _triple(cell(i), T.RDF + "rest", F.when(i + 1 < n, cell(i + 1)).otherwise(nil)))
+
+    head = F.when(values.isNotNull(), _triple(subject, attr.predicate, F.when(n == 0, nil).otherwise(cell(F.lit(0)))))
+    return [head], [F.flatten(F.transform(values, both)), *below]
 
-    head = F.when(values.isNotNull(), triple(F.col("__s"), attr.predicate, F.when(n == 0, nil).otherwise(cell(F.lit(0)))))
-    return head, F.flatten(F.transform(values, both))
 
+def _nested_seed(attr: Attr, seed: Column, i: Column) -> Column:
+    return F.concat_ws("\x1e", seed, F.lit(attr.name), i.cast("string"))
 
-def _each(attr: Attr, values: Column, triple) -> Column:
-    """A triple for each of several values."""
-    if attr.reverse:
-        return F.transform(values, lambda x: triple(_object(attr, x), attr.predicate, F.col("__s")))
-    return F.transform(values, lambda x: triple(F.col("__s"), attr.predicate, _object(attr, x)))
 
+def _nested_subject(attr: Attr, value: Column, seed: Column, i: Column) -> Column:
+    blank = T.bnode(_nested_seed(attr, seed, i))
+    return F.when(value["uri"].isNotNull(), T.uri(value["uri"])).otherwise(blank)
 
-def to_triples(df: DataFrame, cls: RecordClass, graph: str | None = None) -> DataFrame:
-    """(g, s, p, o): the type and every attribute of each record; null attributes give none, an empty list gives nil.
+
+def _nested_triples(attr: Attr, value: Column, seed: Column, i: Column) -> Column:
+    """All triples of a nested record, of whichever of the attribute's classes its ``type`` names."""
+    subject, inner, out = _nested_subject(attr, value, seed, i), _nested_seed(attr, seed, i), F.array().cast(_KIND)
+    for c in attr.nested:
+        own = _record_triples(c, subject, inner, lambda name, v=value: v[name])
+        out = F.when(value["type"] == c.name, own).otherwise(out)
+    return out
+
+
+def _record_triples(cls: RecordClass, subject: Column, seed: Column, get, types: bool = True) -> Column:
+    singles = [_triple(subject, T.RDF + "type", T.uri(F.lit(cls.type)))] if types else []
+    arrays = []
+    for a in cls.attrs:
+        c = get(a.name)
+        if a.many or a.ordered:
+            one, more = _many(a, c, seed, subject)
+            singles += one
+            arrays += more
+            continue
+        zero = F.lit(0)
+        o = _nested_subject(a, c, seed, zero) if a.nested else _object(a, c)
+        singles.append(F.when(c.isNotNull(), _triple(o, a.predicate, subject) if a.reverse else _triple(subject, a.predicate, o)))
+        if a.nested:
+            arrays.append(F.when(c.isNotNull(), _nested_triples(a, c, seed, zero)))
+    return F.concat(F.array_compact(F.array(*singles).cast(_KIND)), *[F.coalesce(x.cast(_KIND), F.array().cast(_KIND)) for x in arrays])
+
+
+def to_triples(df: DataFrame, cls: RecordClass, graph: str | None = None, types: bool = True) -> DataFrame:
+    """(g, s, p, o): the type and every attribute of each record, nested records included; null attributes give none, an empty list gives nil.
 
     Records without an IRI, and list cells, are blank nodes named by a digest of what they stand for, so reruns agree.
     """
     subject = T.uri(F.col("uri")) if cls.root else T.bnode(F.col("uri"), F.lit(cls.name))
-    base = df.withColumn("__s", subject)
-    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
-    singles = [triple(F.col("__s"), T.RDF + "type", T.uri(F.lit(cls.type)))]
-    arrays = []
-    for a in cls.attrs:
-        c = F.col(a.name)
-        if a.ordered:
-            head, cells = _list_cells(a, c, triple)
-            singles.append(head)
-            arrays.append(cells)
-        elif a.many:
-            arrays.append(_each(a, c, triple))
-        elif a.reverse:
-            singles.append(F.when(c.isNotNull(), triple(_object(a, c), a.predicate, F.col("__s"))))
-        else:
-            singles.append(F.when(c.isNotNull(), triple(F.col("__s"), a.predicate, _object(a, c))))
-    kind = f"array<struct<s:{T.TERM},p:string,o:{T.TERM}>>"
-    every = F.concat(F.array_compact(F.array(*singles)), *[F.coalesce(x, F.array().cast(kind)) for x in arrays])
-    return base.select(F.explode(every).alias("t")).select(F.lit(graph).cast("string").alias("g"), "t.s", "t.p", "t.o")
+    every = _record_triples(cls, subject, F.col("uri"), F.col, types)
+    return df.select(F.explode(every).alias("t")).select(F.lit(graph).cast("string").alias("g"), "t.s", "t.p", "t.o")
+
+
+class Graph:
+    """Tables with their record classes, read as triples: all of them, or only those of one predicate, from the tables and columns that have it."""
+
+    def __init__(self, *parts: tuple[DataFrame, RecordClass]):
+        self.parts = parts
+
+    def triples(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [to_triples(df, c) for df, c in self.parts])
+
+    def with_predicate(self, predicate: str) -> DataFrame:
+        if predicate in (T.RDF + "first", T.RDF + "rest") or any(a.nested for _, c in self.parts for a in c.attrs):
+            return self.triples().where(F.col("p") == predicate)
+        found = []
+        for df, c in self.parts:
+            if predicate == T.RDF + "type":
+                found.append(df.select(F.lit(None).cast("string").alias("g"), (T.uri(F.col("uri")) if c.root else T.bnode(F.col("uri"), F.lit(c.name))).alias("s"), F.lit(predicate).alias("p"), T.uri(F.lit(c.type)).alias("o")))
+            for a in (a for a in c.attrs if a.predicate == predicate):
+                own = replace(c, attrs=(a,))
+                if a.many or a.ordered:
+                    found.append(to_triples(df, own, types=False).where(F.col("p") == predicate))
+                else:
+                    s, o = (T.uri(F.col("uri")) if c.root else T.bnode(F.col("uri"), F.lit(c.name))), _object(a, F.col(a.name))
+                    s, o = (o, s) if a.reverse else (s, o)
+                    found.append(df.where(F.col(a.name).isNotNull()).select(F.lit(None).cast("string").alias("g"), s.alias("s"), F.lit(predicate).alias("p"), o.alias("o")))
+        return functools.reduce(DataFrame.unionByName, found) if found else self.triples().limit(0)
 
 
 def from_triples(triples: DataFrame, cls: RecordClass) -> DataFrame:
@@ -136,38 +200,66 @@ def from_triples(triples: DataFrame, cls: RecordClass) -> DataFrame:
     Of several values of a single-valued attribute the smallest is taken; many-valued ones are sorted sets.
     """
     instances = triples.where((F.col("p") == T.RDF + "type") & (F.col("o.value") == cls.type)).select(F.col("s.value").alias("uri")).distinct()
-    used = [a.predicate for a in cls.attrs if not a.ordered]
-    facts = triples.where(F.col("p").isin(used))
+    flat = [a for a in cls.attrs if not a.ordered and not a.nested]
+    facts = triples.where(F.col("p").isin([a.predicate for a in flat]))
     forward = facts.select(F.col("s.value").alias("uri"), "p", "o", F.lit(False).alias("back"))
-    if any(a.reverse for a in cls.attrs):
+    if any(a.reverse for a in flat):
         forward = forward.unionByName(facts.select(F.col("o.value").alias("uri"), "p", F.col("s").alias("o"), F.lit(True).alias("back")))
     columns = []
-    for a in cls.attrs:
-        if a.ordered:
-            continue
+    for a in flat:
         value = F.col("o.value") if a.kind in ("uri", "html") else T.value_of(F.col("o"), a.kind)
         own = F.when((F.col("p") == a.predicate) & (F.col("back") == F.lit(a.reverse)), value)
         columns.append((F.sort_array(F.collect_set(own)) if a.many else F.min(own)).alias(a.name))
-    return instances.join(forward.groupBy("uri").agg(*columns) if columns else forward.select("uri").distinct(), "uri", "left")
+    out = instances.join(forward.groupBy("uri").agg(*columns), "uri", "left") if columns else instances
+    for a in (a for a in cls.attrs if a.nested):
+        out = out.join(_nested_records(triples, a), "uri", "left")
+    for a in (a for a in cls.attrs if a.ordered and not a.nested):
+        item = (lambda x: x["value"]) if a.kind in ("uri", "html") else (lambda x, k=a.kind: T.value_of(x, k))
+        out = out.join(lists(triples, a.predicate).select(F.col("s").alias("uri"), F.transform("items", item).alias(a.name)), "uri", "left")
+    return out.select("uri", *[a.name for a in cls.attrs])
+
+
+def _fields(classes: tuple[RecordClass, ...]) -> list[Attr]:
+    """The attributes of any of the classes, each name once."""
+    return list({a.name: a for c in classes for a in c.attrs}.values())
+
+
+def _nested_records(triples: DataFrame, attr: Attr) -> DataFrame:
+    """(uri, the attribute): the records that an attribute's objects are, as structs; of a list in its order, else sorted by their IRIs."""
+    fields, every = _fields(attr.nested), None
+    for c in attr.nested:
+        found = from_triples(triples, c)
+        kinds = dict(found.dtypes)
+        one = found.select(F.col("uri").alias("__o"), F.struct(F.lit(c.name).alias("type"), F.col("uri"), *[F.col(f.name) if f.name in kinds else F.lit(None).alias(f.name) for f in fields]).alias("__r"))
+        every = one if every is None else every.unionByName(one)
+    if attr.ordered:
+        links = lists(triples, attr.predicate).select(F.col("s").alias("uri"), F.posexplode("items").alias("__i", "__t")).select("uri", "__i", F.col("__t.value").alias("__o"), F.col("__t.kind").alias("__k"))
+    else:
+        ends = ("o", "s") if attr.reverse else ("s", "o")
+        links = triples.where(F.col("p") == attr.predicate).select(F.col(f"{ends[0]}.value").alias("uri"), F.lit(0).alias("__i"), F.col(f"{ends[1]}.value").alias("__o"), F.col(f"{ends[1]}.kind").alias("__k"))
+    bare = F.col("__r").withField("uri", F.when(F.col("__k") == "uri", F.col("__o")))  # a blank node's label is no IRI
+    met = links.join(every, "__o").groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("__i", "__o", bare.alias("__r")))).alias("__all"))
+    values = F.transform("__all", lambda x: x["__r"])
+    return met.select("uri", (values if attr.many or attr.ordered else F.get(values, F.lit(0))).alias(attr.name))
 
 
 def lists(triples: DataFrame, predicate: str, max_rounds: int = 40) -> DataFrame:
     """(s, items): the RDF lists that a predicate points at, in order.
 
-    Every cell finds its list's first cell by pointer doubling, so lists of n cells take log n joins; each round is cached, so that the
-    plan doesn't grow with the rounds.
+    Every cell finds its list's first cell by pointer doubling, so lists of n cells take log n joins; each round is written to the shared folder, so
+    that the plan doesn't grow with the rounds, and the one before it is deleted.
     """
     nil = T.RDF + "nil"
     heads = triples.where(F.col("p") == predicate).select(F.col("s.value").alias("s"), F.col("o.value").alias("cell"))
     rest = triples.where((F.col("p") == T.RDF + "rest") & (F.col("o.value") != nil)).select(F.col("o.value").alias("cell"), F.col("s.value").alias("up"), F.lit(1).alias("n"))
     own = heads.where(F.col("cell") != nil).select("cell", F.col("cell").alias("up"), F.lit(0).alias("n")).distinct()
-    state = rest.join(own.select("cell"), "cell", "left_anti").unionByName(own).persist()
+    state = written(rest.join(own.select("cell"), "cell", "left_anti").unionByName(own), "list-cells")
     total = state.agg(F.sum("n")).first()[0]
     for _ in range(max_rounds):
         far = state.select(F.col("cell").alias("up"), F.col("up").alias("upper"), F.col("n").alias("m"))
-        grown = state.join(far, "up").select("cell", F.col("upper").alias("up"), (F.col("n") + F.col("m")).alias("n")).persist()
+        grown = written(state.join(far, "up").select("cell", F.col("upper").alias("up"), (F.col("n") + F.col("m")).alias("n")), "list-cells")
         now = grown.agg(F.sum("n")).first()[0]
-        state.unpersist()
+        discard(state)
         state = grown
         if now == total:
             break
@@ -177,25 +269,89 @@ def lists(triples: DataFrame, predicate: str, max_rounds: int = 40) -> DataFrame
     return heads.join(items, "cell", "left").select("s", F.coalesce("items", F.array().cast(f"array<{T.TERM}>")).alias("items"))
 
 
+_JSON = {"uri": "string", "html": "string", "string": "string", "integer": "bigint", "nonNegativeInteger": "bigint", "gYear": "int", "double": "double", "boolean": "boolean", "dateTime": "string"}
+
+
+def _written(attr: Attr, value: Column) -> Column:
+    """An attribute's value as JSON holds it: nested records become objects without their null fields."""
+    if attr.nested:
+        one = lambda x: F.struct(x["uri"].alias("id"), x["type"].alias("type"), *[_written(f, x[f.name]).alias(f.term or f.name) for f in _fields(attr.nested)])
+        return F.transform(value, one) if attr.many or attr.ordered else F.when(value.isNotNull(), one(value))
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss") if attr.kind == "dateTime" else value
+
+
+def _json_type(attr: Attr) -> str:
+    kind = "struct<id:string,type:string," + ",".join(f"`{f.term or f.name}`:{_json_type(f)}" for f in _fields(attr.nested)) + ">" if attr.nested else _JSON[attr.kind]
+    return f"array<{kind}>" if attr.many or attr.ordered else kind
+
+
+def _read(attr: Attr, value: Column) -> Column:
+    if attr.nested:
+        one = lambda x: F.struct(x["type"].alias("type"), x["id"].alias("uri"), *[_read(f, x[f.term or f.name]).alias(f.name) for f in _fields(attr.nested)])
+        return F.transform(value, one) if attr.many or attr.ordered else F.when(value.isNotNull(), one(value))
+    return F.to_timestamp(value) if attr.kind == "dateTime" else value
+
+
 def to_jsonld(df: DataFrame, cls: RecordClass) -> DataFrame:
-    """(uri, json): each record as a JSON-LD object; null attributes are left out."""
+    """(uri, json): each record as a JSON-LD object, nested records as objects in it; null attributes are left out."""
     fields = [F.lit(cls.name).alias("type")]
     if cls.root:
         fields.insert(0, F.col("uri").alias("id"))
-    fields += [(F.date_format(a.name, "yyyy-MM-dd'T'HH:mm:ss") if a.kind == "dateTime" else F.col(a.name)).alias(a.term or a.name) for a in cls.attrs]
+    fields += [_written(a, F.col(a.name)).alias(a.term or a.name) for a in cls.attrs]
     return df.select("uri", F.to_json(F.struct(*fields)).alias("json"))
 
 
 def from_jsonld(df: DataFrame, cls: RecordClass, json: str = "json") -> DataFrame:
     """Records of JSON-LD objects; a type that isn't the class's, a root record without id, or an unknown key raises."""
-    kinds = {"uri": "string", "html": "string", "string": "string", "integer": "bigint", "nonNegativeInteger": "bigint", "gYear": "int", "double": "double", "boolean": "boolean", "dateTime": "string"}
-    fields = ["`id` string", "`type` string", *[f"`{a.term or a.name}` {f'array<{kinds[a.kind]}>' if a.many else kinds[a.kind]}" for a in cls.attrs]]
+    fields = ["`id` string", "`type` string", *[f"`{a.term or a.name}` {_json_type(a)}" for a in cls.attrs]]
     known = ["id", "type", *[a.term or a.name for a in cls.attrs]]
     read = df.select(F.from_json(json, ", ".join(fields)).alias("r"), F.json_object_keys(json).alias("keys"))
     extra = F.array_except("keys", F.array(*map(F.lit, known)))
     bad = F.when(F.col("keys").isNull(), "not a JSON object").when(~F.col("r.type").eqNullSafe(F.lit(cls.name)), "another type").when(F.lit(cls.root) & F.col("r.id").isNull(), "no id").when(F.size(extra) > 0, F.concat(F.lit("unknown key "), extra[0]))
     checked = read.withColumn("uri", F.when(bad.isNotNull(), F.raise_error(F.coalesce(bad, F.lit("")))).otherwise(F.col("r.id")))
-    return checked.select("uri", *[(F.to_timestamp(F.col("r")[a.term or a.name]) if a.kind == "dateTime" else F.col("r")[a.term or a.name]).alias(a.name) for a in cls.attrs])
+    return checked.select("uri", *[_read(a, F.col("r")[a.term or a.name]).alias(a.name) for a in cls.attrs])
+
+
+def compact(iri: Column, prefixes: dict[str, str], terms: dict[str, str] | None = None) -> Column:
+    """An IRI as a JSON-LD processor shortens it: a term that stands for it, else the longest prefix's ``prefix:rest``, else itself."""
+    out = iri
+    for p, base in sorted(prefixes.items(), key=lambda x: len(x[1])):
+        out = F.when(iri.startswith(base) & (F.length(iri) > len(base)), F.concat(F.lit(p + ":"), F.substr(iri, F.lit(len(base) + 1)))).otherwise(out)
+    for term, full in sorted((terms or {}).items()):
+        out = F.when(iri == full, F.lit(term)).otherwise(out)
+    return out
+
+
+def expand(name: Column, prefixes: dict[str, str], terms: dict[str, str] | None = None) -> Column:
+    """The IRI of a term or of ``prefix:rest``; IRIs of other schemes stay, and so does what nothing is known of."""
+    out = name
+    for p, base in sorted(prefixes.items()):
+        out = F.when(name.startswith(p + ":") & ~F.substr(name, F.lit(len(p) + 2)).startswith("//"), F.concat(F.lit(base), F.substr(name, F.lit(len(p) + 2)))).otherwise(out)
+    for term, full in sorted((terms or {}).items()):
+        out = F.when(name == term, F.lit(full)).otherwise(out)
+    return out
+
+
+def load_all(triples: DataFrame, classes: tuple[RecordClass, ...] = ()) -> dict[str, DataFrame]:
+    """The records of every root class, by its name."""
+    return {c.name: from_triples(triples, c) for c in (classes or CLASSES) if c.root}
+
+
+def load_transitively(triples: DataFrame, uris: DataFrame, classes: tuple[RecordClass, ...] = (), max_rounds: int = 50) -> dict[str, DataFrame]:
+    """The root records among ``uris`` (uri) and all that their attributes lead to, by class.
+
+    A round follows the attributes of the records found last, and only new ones go on to the next.
+    """
+    classes = classes or CLASSES
+    followed = triples.where(F.col("p").isin(sorted({a.predicate for c in classes for a in c.attrs if a.kind == "uri" and not a.reverse} | {T.RDF + "first", T.RDF + "rest"})) & (F.col("o.kind") != "literal"))
+    steps = written(followed.select(F.col("s.value").alias("uri"), F.col("o.value").alias("to")).distinct(), "steps")
+    known = frontier = written(uris.select("uri").distinct(), "reached")
+    for _ in range(max_rounds):
+        frontier = written(frontier.join(steps, "uri").select(F.col("to").alias("uri")).distinct().join(known, "uri", "left_anti"), "reached")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    return {name: df.join(known, "uri", "left_semi") for name, df in load_all(triples, classes).items()}
 
 
 def context(classes: tuple[RecordClass, ...] = CLASSES) -> dict:

@@ -3,11 +3,15 @@
 Supported: SELECT [DISTINCT], ASK, CONSTRUCT; basic graph patterns with ``;`` ``,`` ``a`` and ``[ ... ]``; OPTIONAL, UNION, VALUES, GRAPH;
 FILTER isIRI(?x) and FILTER strstarts(str(?x), "..."); property paths of ``/``, ``^`` and ``*``.  Anything else is an error.
 A pattern is an equality join on the variables it shares, each side filtered on its predicate first; Catalyst picks order and strategy.
+A variable that OPTIONAL, UNION or UNDEF may leave unbound is compatible with any value, as the algebra has it; patterns that share no
+variable are combined only if one side is counted and small.  A ``*`` path is followed from the ends that other patterns bind.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 import re
 from dataclasses import dataclass, field
 
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import terms as T
+from marginalia.sources.shared import written
 
 _TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<num>[+-]?\d+)|(?P<pname>[A-Za-z_][\w-]*?:[\w%-]*(?:\.[\w%-]+)*|:[\w-]+)|(?P<word>[A-Za-z]+)|(?P<sym>\^\^|[{}()\[\].;,/^*@])""")
 
@@ -141,13 +146,23 @@ class _Parser:
                 g.graphs.append((self.term(g), self.group()))
             elif self.word("VALUES"):
                 self.next()
-                name = self.next()[1:]
+                several = self.peek() == "("
+                names = [self.next()[1:]] if not several else []
+                if several:
+                    self.next("(")
+                    while self.peek() != ")":
+                        names.append(self.next()[1:])
+                    self.next(")")
                 self.next("{")
                 rows = []
                 while self.peek() != "}":
-                    rows.append(self.term(g))
+                    if several:
+                        self.next("(")
+                    rows.append([self.value(g) for _ in names])
+                    if several:
+                        self.next(")")
                 self.next("}")
-                g.values.append((name, rows))
+                g.values.append((names, rows))
             elif self.word("FILTER"):
                 self.next()
                 g.filters.append(self.filter())
@@ -168,6 +183,12 @@ class _Parser:
         self.next("}")
         return g
 
+    def value(self, g: Group):
+        if self.word("UNDEF"):
+            self.next()
+            return None
+        return self.term(g)
+
     def filter(self):
         wrapped = self.peek() == "(" and bool(self.next())
         name = self.next().lower()
@@ -279,50 +300,120 @@ def _constant(term):
     return F.struct(F.lit("literal").alias("kind"), F.lit(term[1]).alias("value"), F.lit(term[2]).alias("datatype"), F.lit(term[3]).cast("string").alias("lang"))
 
 
-def pairs(triples: DataFrame, path: Path) -> DataFrame:
+def _with(triples, predicate: str) -> DataFrame:
+    """The triples of one predicate: a ``records.Graph`` reads only the tables that have it."""
+    return triples.with_predicate(predicate) if hasattr(triples, "with_predicate") else triples.where(F.col("p") == predicate)
+
+
+def _all(triples) -> DataFrame:
+    return triples.triples() if hasattr(triples, "triples") else triples
+
+
+def pairs(triples, path: Path) -> DataFrame:
     """(s, o) pairs of a property path."""
     if path.op == "iri":
-        return triples.where(F.col("p") == path.parts[0]).select("s", "o")
+        return _with(triples, path.parts[0]).select("s", "o")
     if path.op == "inverse":
         return pairs(triples, path.parts[0]).select(F.col("o").alias("s"), F.col("s").alias("o"))
     if path.op == "seq":
         a, b = (pairs(triples, p) for p in path.parts)
         return a.select("s", F.col("o").alias("m")).join(b.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-    return closure(pairs(triples, path.parts[0]), triples)
+    every = _all(triples)
+    nodes = every.select("s").unionByName(every.where(F.col("o.kind") != "literal").select(F.col("o").alias("s"))).distinct()
+    return closure(pairs(triples, path.parts[0]), nodes)
+
 
+def closure(step: DataFrame, starts: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(s, o): what each of the starts (s) reaches in any number of steps, itself included.
 
-def closure(step: DataFrame, triples: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Reflexive transitive closure over all nodes: distances double each round, cycles end it as nothing new is reached."""
-    nodes = triples.select(F.col("s").alias("s")).unionByName(triples.where(F.col("o.kind") != "literal").select(F.col("o").alias("s"))).distinct()
-    reached = step.distinct()
-    known = reached.count()
+    A round follows the pairs that the last one found and keeps the new ones, so cycles end it; each round is written to the shared folder.
+    """
+    step = written(step.distinct(), "steps")
+    known = frontier = written(starts.select("s", F.col("s").alias("o")).distinct(), "reached")
     for _ in range(max_rounds):
-        further = reached.select("s", F.col("o").alias("m")).join(reached.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-        grown = reached.unionByName(further).distinct().persist()
-        now = grown.count()
-        reached = grown
-        if now == known:
-            break
-        known = now
-    return reached.unionByName(nodes.select("s", F.col("s").alias("o"))).distinct()
+        found = frontier.select("s", F.col("o").alias("m")).join(step.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
+        frontier = written(found.join(known, ["s", "o"], "left_anti"), "reached")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+    raise SparqlError("a path is too long")
+
+
+@dataclass
+class Solutions:
+    """Rows of bindings, with the variables that may be unbound in some of them."""
 
+    rows: DataFrame
+    unsure: frozenset = frozenset()
 
-def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
+    @property
+    def names(self) -> list[str]:
+        return self.rows.columns
+
+
+#: Rows of a side that meets all rows of the other, at most.
+CROSS_ROWS = 10_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    if df.limit(CROSS_ROWS + 1).count() > CROSS_ROWS:
+        raise SparqlError("patterns that share no bound variable would pair too many rows")
+    return F.broadcast(df)
+
+
+def _join(left: Solutions | None, right: Solutions, how: str = "inner") -> Solutions:
+    """All compatible pairs; with ``left``, rows without one stay."""
     if left is None:
         return right
-    shared = [c for c in left.columns if c in right.columns]
-    if not shared:
-        raise SparqlError("patterns that share no variable would be a cross join")
-    return left.join(right, shared, how)
+    shared = [c for c in left.names if c in right.names]
+    unsure = [c for c in shared if c in left.unsure or c in right.unsure]
+    keys = [c for c in shared if c not in unsure]
+    r = right.rows.select(*[F.col(f"`{c}`").alias(f"__r_{c}") for c in right.names])
+    on = [F.col(f"`{c}`") == F.col(f"`__r_{c}`") for c in keys]
+    free = [F.col(f"`{c}`").isNull() | F.col(f"`__r_{c}`").isNull() | (F.col(f"`{c}`") == F.col(f"`__r_{c}`")) for c in unsure]
+
+    def met(x: DataFrame, y: DataFrame, *conditions) -> DataFrame:
+        if not conditions:
+            return x.crossJoin(_small(y)) if how == "inner" else x.join(_small(y), F.lit(True), how)
+        return x.join(y, functools.reduce(operator.and_, conditions), how)
+
+    if keys or not unsure:
+        rows = met(left.rows, r, *on, *free)
+    else:
+        # nothing is bound for sure: bound rows meet by equality, and only unbound ones meet all others
+        v = unsure[0]
+        bound, rest = F.col(f"`{v}`").isNotNull(), free[1:]
+        equal = F.col(f"`{v}`") == F.col(f"`__r_{v}`")
+        if how == "inner":
+            some, none = r.where(F.col(f"`__r_{v}`").isNotNull()), r.where(F.col(f"`__r_{v}`").isNull())
+            rows = met(left.rows.where(bound), some, equal, *rest).unionByName(met(left.rows.where(~bound), _small(r), *(rest or [F.lit(True)])))
+            if v in right.unsure:
+                rows = rows.unionByName(met(left.rows.where(bound), _small(none), *(rest or [F.lit(True)])))
+        elif v in right.unsure:
+            rows = met(left.rows, _small(r), *free)
+        else:
+            rows = met(left.rows.where(bound), r, equal, *rest).unionByName(met(left.rows.where(~bound), _small(r), *(rest or [F.lit(True)])))
+    out = [F.coalesce(F.col(f"`{c}`"), F.col(f"`__r_{c}`")).alias(c) if c in unsure else F.col(f"`{c}`") for c in left.names]
+    out += [F.col(f"`__r_{c}`").alias(c) for c in right.names if c not in left.names]
+    if how == "inner":
+        open_ = {c for c in left.unsure | right.unsure if (c in left.unsure or c not in left.names) and (c in right.unsure or c not in right.names)}
+    else:
+        open_ = left.unsure | (set(right.names) - set(left.names))
+    return Solutions(rows.select(*out), frozenset(open_))
 
 
-def _pattern(triples: DataFrame, s, p, o) -> DataFrame:
+def _pattern(triples, s, p, o, graph: str | None = None) -> DataFrame:
+    """Bindings of one triple pattern; without variables, one row of the column ``__found`` if it holds."""
     if isinstance(p, Path):
-        base = pairs(triples, p)
+        if graph and p.op != "iri":
+            raise SparqlError("a path in a variable graph")
+        base = _with(triples, p.parts[0]) if graph else pairs(triples, p)
     else:
-        base = triples.select("s", "o", T.uri(F.col("p")).alias("p"))
+        base = _all(triples).select("s", "o", T.uri(F.col("p")).alias("p"), *["g"] * bool(graph))
+    if graph:
+        base = base.where("g is not null").withColumn("g", T.uri(F.col("g")))
     out: dict[str, str] = {}
-    for column, term in (("s", s), ("o", o), *([("p", p)] if not isinstance(p, Path) else [])):
+    for column, term in (("s", s), ("o", o), *([("p", p)] if not isinstance(p, Path) else []), *([("g", ("var", graph))] if graph else [])):
         if term[0] != "var":
             base = base.where(F.col(f"{column}.kind") == term[0]).where(F.col(f"{column}.value") == term[1])
             if term[0] == "literal":
@@ -336,49 +427,115 @@ def _pattern(triples: DataFrame, s, p, o) -> DataFrame:
     return base.select(*[F.col(c).alias(v) for v, c in out.items()])
 
 
-def _evaluate(group: Group, triples: DataFrame) -> DataFrame:
-    spark = triples.sparkSession
-    out: DataFrame | None = None
-    parts: list[DataFrame] = []
-    for name, rows in group.values:
+def _starred(path) -> bool:
+    return isinstance(path, Path) and (path.op == "star" or any(_starred(x) for x in path.parts))
+
+
+def _unfolded(triples: list) -> list:
+    """Sequences that hold a star, cut at fresh variables, so that the star starts from what the rest binds."""
+    fresh, out, todo = itertools.count(), [], list(triples)
+    while todo:
+        s, p, o = todo.pop(0)
+        if _starred(p) and p.op == "seq":
+            middle = ("var", f"__p{next(fresh)}")
+            todo[:0] = [(s, p.parts[0], middle), (middle, p.parts[1], o)]
+        elif _starred(p) and p.op == "inverse":
+            todo.insert(0, (o, p.parts[0], s))
+        else:
+            out.append((s, p, o))
+    return out
+
+
+def _follow(out: Solutions | None, triples, s, path: Path, o) -> Solutions:
+    """Join a star pattern, from its bound end."""
+    step = pairs(triples, path.parts[0])
+    bound = lambda t: t[0] != "var" or (out is not None and t[1] in out.names and t[1] not in out.unsure)
+    if not bound(s) and bound(o):
+        s, o, step = o, s, step.select(F.col("o").alias("s"), F.col("s").alias("o"))
+    if s[0] != "var":
+        starts = triples_session(triples).range(1).select(_constant(s).alias("s"))
+    elif bound(s):
+        starts = out.rows.select(F.col(f"`{s[1]}`").alias("s")).distinct()
+    else:
+        every = _all(triples)
+        starts = every.select("s").unionByName(every.where(F.col("o.kind") != "literal").select(F.col("o").alias("s"))).distinct()
+    return _join(out, Solutions(_pattern_of(closure(step, starts), s, o)))
+
+
+def _pattern_of(base: DataFrame, s, o) -> DataFrame:
+    return _pattern(base.withColumn("p", F.lit("")), s, iri(""), o)
+
+
+def triples_session(triples):
+    return _all(triples).sparkSession
+
+
+def _evaluate(group: Group, triples, graph: str | None = None) -> Solutions:
+    spark = triples_session(triples)
+    out: Solutions | None = None
+    parts: list[Solutions] = []
+    for names, rows in group.values:
         table = None
         for r in rows:
-            one = spark.range(1).select(_constant(r).alias(name))
+            one = spark.range(1).select(*[(F.lit(None).cast(T.TERM) if v is None else _constant(v)).alias(n) for n, v in zip(names, r)])
             table = one if table is None else table.unionByName(one)
-        parts.append(F.broadcast(table.distinct()))
-    parts += [_pattern(triples, *t) for t in group.triples]
+        if table is None:
+            table = spark.range(0).select(*[F.lit(None).cast(T.TERM).alias(n) for n in names])
+        parts.append(Solutions(F.broadcast(table), frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in rows))))
+    patterns = _unfolded(group.triples)
+    stars = [t for t in patterns if _starred(t[1])]
+    if graph and stars:
+        raise SparqlError("a path in a variable graph")
+    parts += [Solutions(_pattern(triples, *t, graph)) for t in patterns if not _starred(t[1])]
     for term, inner in group.graphs:
         if term[0] == "var":
-            raise SparqlError("GRAPH with a variable")
-        parts.append(_evaluate(inner, triples.where(F.col("g") == term[1])))
+            parts.append(_evaluate(inner, triples, term[1]))
+        else:
+            parts.append(_evaluate(inner, _all(triples).where(F.col("g") == term[1])))
     for alternatives in group.unions:
-        table = None
-        for a in alternatives:
-            one = _evaluate(a, triples)
-            table = one if table is None else table.unionByName(one, allowMissingColumns=True)
-        parts.append(table)
-    # join what shares a variable first
+        branches = [_evaluate(a, triples, graph) for a in alternatives]
+        table = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [b.rows for b in branches])
+        parts.append(Solutions(table, frozenset(c for c in table.columns if any(c in b.unsure or c not in b.names for b in branches))))
+    # patterns without variables hold or don't: one row, or none
+    gates = [p for p in parts if p.names == ["__found"]]
+    parts = [p for p in parts if p.names != ["__found"]]
+    # join what shares a variable first, best one that is surely bound
     while parts:
-        ready = next((i for i, p in enumerate(parts) if out is None or set(p.columns) & set(out.columns)), 0)
+        sure = [set(p.names) & set(out.names) - p.unsure - out.unsure if out else {0} for p in parts]
+        ready = next((i for i, x in enumerate(sure) if x), next((i for i, p in enumerate(parts) if out is None or set(p.names) & set(out.names)), 0))
         out = _join(out, parts.pop(ready))
+    for s, p, o in stars:
+        found = _follow(out, triples, s, p, o)
+        if found.names == ["__found"]:
+            gates.append(found)
+        else:
+            out = found
+    for gate in gates:
+        one = gate.rows.limit(1)
+        out = Solutions(one) if out is None else Solutions(out.rows.crossJoin(F.broadcast(one.select(F.lit(1).alias("__gate")))).drop("__gate"), out.unsure)
     if out is None:
         raise SparqlError("an empty group")
     for optional in group.optionals:
-        out = _join(out, _evaluate(optional, triples), "left")
+        inner = _evaluate(optional, triples, graph)
+        out = _join(out, inner, "left") if inner.names != ["__found"] else out
+    rows = out.rows
     for f in group.filters:
         if f[0] == "isiri":
-            out = out.where(F.col(f"{f[1]}.kind") == "uri")
+            rows = rows.where(F.col(f"{f[1]}.kind") == "uri")
         else:
-            out = out.where(F.startswith(F.col(f"{f[1]}.value"), F.lit(f[2])))
-    return out
+            rows = rows.where(F.startswith(F.col(f"{f[1]}.value"), F.lit(f[2])))
+    return Solutions(rows, out.unsure)
+
 
+def query(triples, text: str) -> DataFrame:
+    """The result of a query: a column of terms per variable (unbound: null); one row ``ask``; or distinct (s, p, o).
 
-def query(triples: DataFrame, text: str) -> DataFrame:
-    """The result of a query: a column of terms per variable (unbound: null); one row ``ask``; or distinct (s, p, o)."""
-    if "g" not in triples.columns:
+    ``triples`` is a DataFrame (g, s, p, o), g being optional, or a ``records.Graph`` over tables.
+    """
+    if isinstance(triples, DataFrame) and "g" not in triples.columns:
         triples = triples.withColumn("g", F.lit(None).cast("string"))
     q = parse(text)
-    rows = _evaluate(q.where, triples)
+    rows = _evaluate(q.where, triples).rows
     if q.form == "ask":
         return rows.limit(1).agg((F.count("*") > 0).alias("ask"))
     if q.form == "construct":

@@ -171,4 +171,37 @@ def same_tree(a: Node, b: Node) -> bool:
 
 def canonical(node: Node) -> str:
     """A subtree as a string that is equal for equal trees, so that searching for one is an equality join."""
-    return f"<{node.tag}>{node.text}" + "".join(map(canonical, node.children)) + "</>"
+    out: list[str] = []
+    stack: list[Node | None] = [node]
+    while stack:
+        n = stack.pop()
+        if n is None:
+            out.append("</>")
+            continue
+        out.append(f"<{n.tag}>{n.text}")
+        stack.append(None)
+        stack.extend(reversed(n.children))
+    return "".join(out)
+
+
+def find_equal(root: Node, goal: Node) -> Iterator[Node]:
+    """The nodes of a tree, in document order, that are equal to another one; each subtree is digested once, from below."""
+    import hashlib
+
+    def digests(top: Node) -> dict[int, bytes]:
+        found: dict[int, bytes] = {}
+        stack = [(top, False)]
+        while stack:
+            n, done = stack.pop()
+            if not done:
+                stack.append((n, True))
+                stack.extend((c, False) for c in n.children)
+                continue
+            own = f"{n.tag}\x1f{n.text}\x1f".encode("utf-8", "surrogatepass") + b"".join(found[id(c)] for c in n.children)
+            found[id(n)] = hashlib.blake2b(own, digest_size=16).digest()
+        return found
+
+    wanted, every = digests(goal)[id(goal)], digests(root)
+    for n in root.iter():
+        if every[id(n)] == wanted:
+            yield n

@@ -11,6 +11,7 @@ from marginalia.functions import terms as T
 from marginalia.functions import text as X
 from marginalia.operators import dom, intervals, records, sparql, spotters, treematch
 from marginalia.sources import sinks
+from marginalia.sources.shared import folder, written
 from marginalia.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,10 @@ def query(oracle: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts and pages are spread over the cores where their files have fewer splits, as a small file of one row group has."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -151,6 +155,8 @@ def prune_overlaps(spark, d):
 
 @query(f"""with {_LINES}, {_WINDOWS}, pairs as (select doc_id, l_start, w_start, count(*) over (partition by doc_id, l_start) as n, l_start = w_start and l_end = w_end as same from full_line join wind using (doc_id) where l_start < w_end and w_start < l_end),
 c as (select doc_id, case when n > 1 then 'multimatch' when same then 'precise' else 'overlap' end as category from pairs
+union all select doc_id, 'golden_in_multimatches' from (select distinct doc_id, l_start from pairs where n > 1)
+union all select doc_id, 'prediction_in_multimatches' from (select doc_id, w_start from pairs group by doc_id, w_start having count(*) > 1)
 union all select doc_id, 'golden_only' from full_line l where not exists (select 1 from pairs p where p.doc_id = l.doc_id and p.l_start = l.l_start)
 union all select doc_id, 'prediction_only' from wind w where not exists (select 1 from pairs p where p.doc_id = w.doc_id and p.w_start = w.w_start))
 select doc_id, category, count(*) as n from c group by doc_id, category""")
@@ -261,22 +267,22 @@ def uri_format(spark, d):
 # --- triples --------------------------------------------------------------------------------------------------------
 
 
-def geography(spark, d) -> DataFrame:
+def geography(spark, d) -> records.Graph:
     """nation and region as triples."""
     region = load(spark, d, "region").withColumn("uri", F.concat(F.lit(EX + "region/"), F.col("r_regionkey")))
     nation = load(spark, d, "nation").withColumn("uri", F.concat(F.lit(EX + "nation/"), F.col("n_nationkey"))).withColumn("region", F.concat(F.lit(EX + "region/"), F.col("n_regionkey")))
     region_class = records.RecordClass("Region", EX + "Region", (records.Attr("r_name", EX + "name", "string"),))
     nation_class = records.RecordClass("Nation", EX + "Nation", (records.Attr("n_name", EX + "name", "string"), records.Attr("region", EX + "in")))
-    return records.to_triples(region, region_class).unionByName(records.to_triples(nation, nation_class))
+    return records.Graph((region, region_class), (nation, nation_class))
 
 
-def everything(spark, d) -> DataFrame:
+def everything(spark, d) -> records.Graph:
     """Geography with customers, who live in nations, and their orders."""
     customer = load(spark, d, "customer").withColumn("uri", F.concat(F.lit(EX + "customer/"), F.col("c_custkey"))).withColumn("nation", F.concat(F.lit(EX + "nation/"), F.col("c_nationkey")))
     order = load(spark, d, "orders").withColumn("uri", F.concat(F.lit(EX + "order/"), F.col("o_orderkey"))).withColumn("customer", F.concat(F.lit(EX + "customer/"), F.col("o_custkey")))
     customer_class = records.RecordClass("Customer", EX + "Customer", (records.Attr("nation", EX + "in"), records.Attr("c_mktsegment", EX + "segment", "string")))
     order_class = records.RecordClass("Order", EX + "Order", (records.Attr("customer", EX + "by"), records.Attr("o_orderstatus", EX + "status", "string")))
-    return geography(spark, d).unionByName(records.to_triples(customer, customer_class)).unionByName(records.to_triples(order, order_class))
+    return records.Graph(*geography(spark, d).parts, (customer, customer_class), (order, order_class))
 
 
 def _values(df: DataFrame) -> DataFrame:
@@ -287,13 +293,13 @@ def _values(df: DataFrame) -> DataFrame:
 union all select '<{EX}nation/' || n_nationkey || '> <{T.RDF}type> <{EX}Nation> .' from nation union all select '<{EX}nation/' || n_nationkey || '> <{EX}name> "' || n_name || '" .' from nation
 union all select '<{EX}nation/' || n_nationkey || '> <{EX}in> <{EX}region/' || n_regionkey || '> .' from nation""")
 def ntriples_lines(spark, d):
-    return sinks.ntriples_lines(geography(spark, d))
+    return sinks.ntriples_lines(geography(spark, d).triples())
 
 
 @query(f"""select '<{EX}region/' || r_regionkey || '> a <{EX}Region> ;' || chr(10) || '  <{EX}name> "' || r_name || '" .' as value from region
 union all select '<{EX}nation/' || n_nationkey || '> a <{EX}Nation> ;' || chr(10) || '  <{EX}in> <{EX}region/' || n_regionkey || '> ;' || chr(10) || '  <{EX}name> "' || n_name || '" .' from nation""")
 def turtle_blocks(spark, d):
-    return sinks.turtle_blocks(geography(spark, d))
+    return sinks.turtle_blocks(geography(spark, d).triples())
 
 
 _CUSTOMER = records.RecordClass("Customer", EX + "Customer", (records.Attr("c_name", EX + "name", "string"), records.Attr("c_acctbal", EX + "balance", "double"), records.Attr("c_nationkey", EX + "nation", "integer")))
@@ -426,8 +432,205 @@ def spotter_annotations(spark, d):
 
 @query(rf"""with {_PIECES} select doc_id, count(*) as n_tokens, sum("end" - start)::bigint as n_chars, count(*) filter (where regexp_full_match(token, '[{_P}]')) as n_marks from tokens group by doc_id""")
 def document_token_stats(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    chars = F.aggregate("t", F.lit(0).cast("long"), lambda acc, t: acc + F.length(t))
-    marks = F.size(F.filter("t", lambda t: t.rlike(rf"^[{X._CLASS}]$")))
-    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), chars.alias("n_chars"), marks.cast("long").alias("n_marks"))
+    counted = load(spark, d, "documents").select("doc_id", X.token_counts(F.col("text")).alias("c"))
+    return counted.select("doc_id", "c.n_tokens", "c.n_chars", "c.n_marks").where("n_tokens > 0")
 
+
+# --- joins of unbound variables, nested records, Turtle ----------------------------------------------------------------
+
+
+@query(f"""select '{EX}nation/' || n_nationkey as n, cast(null as varchar) as x, '{EX}region/' || r_regionkey as r from nation cross join region
+union all select null, '{EX}nation/' || n_nationkey, '{EX}region/' || n_regionkey from nation""")
+def union_unbound(spark, d):
+    """The first branch leaves ?r unbound, so its rows meet every region."""
+    return _values(sparql.query(everything(spark, d), _PRE + "SELECT ?n ?x ?r WHERE { { ?n a ex:Nation } UNION { ?x ex:in ?r } ?r a ex:Region }"))
+
+
+@query(f"""select '{EX}customer/' || c_custkey as c, '{EX}order/' || o_orderkey as o, o_orderstatus as st from customer left join orders on o_custkey = c_custkey""")
+def optional_unbound(spark, d):
+    """Customers without orders keep ?o unbound through a second OPTIONAL that shares it."""
+    return _values(sparql.query(everything(spark, d), _PRE + "SELECT ?c ?o ?st WHERE { ?c a ex:Customer OPTIONAL { ?o ex:by ?c } OPTIONAL { ?o ex:by ?c ; ex:status ?st } }"))
+
+
+@query(f"""select '{EX}nation/' || n_nationkey as n, '{EX}region/' || n_regionkey as r from nation where n_nationkey = 3 or n_regionkey = 2""")
+def values_pairs(spark, d):
+    return _values(sparql.query(geography(spark, d), _PRE + f"SELECT DISTINCT ?n ?r WHERE {{ VALUES (?n ?r) {{ (<{EX}nation/3> UNDEF) (UNDEF <{EX}region/2>) }} ?n ex:in ?r . ?n a ex:Nation }}"))
+
+
+@query("select exists (select 1 from region where r_regionkey = 1) and exists (select 1 from nation where n_regionkey = 1) as ask")
+def ask_constants(spark, d):
+    return sparql.query(geography(spark, d), _PRE + f"ASK {{ <{EX}region/1> a ex:Region . ?n ex:in <{EX}region/1> }}")
+
+
+@query(f"select '{EX}g/region' as g, '{EX}region/' || r_regionkey as x, r_name as name from region union all select '{EX}g/nation', '{EX}nation/' || n_nationkey, n_name from nation")
+def graph_variable(spark, d):
+    (region, region_class), (nation, nation_class) = geography(spark, d).parts
+    named = records.to_triples(region, region_class, EX + "g/region").unionByName(records.to_triples(nation, nation_class, EX + "g/nation"))
+    return _values(sparql.query(named, _PRE + "SELECT ?g ?x ?name WHERE { GRAPH ?g { ?x ex:name ?name } }"))
+
+
+@query(f"""select '{EX}customer/' || c_custkey as s, '{T.RDF}type' as p, '{EX}Customer' as o from customer union all select '{EX}customer/' || c_custkey, '{EX}name', c_name from customer
+union all select '{EX}customer/' || c_custkey, '{EX}nation', c_nationkey::varchar from customer""")
+def triples_from_records(spark, d):
+    base = load(spark, d, "customer").withColumn("uri", F.concat(F.lit(EX + "customer/"), F.col("c_custkey")))
+    cls = records.RecordClass("Customer", EX + "Customer", tuple(a for a in _CUSTOMER.attrs if a.kind != "double"))
+    return records.to_triples(base, cls).select(F.col("s.value").alias("s"), "p", F.col("o.value").alias("o"))
+
+
+_BUYER = records.RecordClass("Buyer", EX + "Buyer", (records.Attr("name", EX + "name", "string"), records.Attr("nation", EX + "nation", "integer")))
+_LINE = records.RecordClass("Line", EX + "Line", (records.Attr("part", EX + "part", "integer"), records.Attr("flag", EX + "flag", "string")), root=False)
+_ORDER = records.RecordClass("Order", EX + "Order", (records.Attr("status", EX + "status", "string"), records.Attr("buyer", EX + "by", nested=(_BUYER,)), records.Attr("lines", EX + "lines", ordered=True, nested=(_LINE,))))
+_NESTED = f"""select '{EX}order/' || o_orderkey as uri, o_orderstatus as status, '{EX}customer/' || c_custkey || '|' || c_name || '|' || c_nationkey as buyer,
+(select string_agg(l_partkey || l_returnflag, ',' order by l_linenumber, l_partkey, l_returnflag) from lineitem where l_orderkey = o_orderkey) as lines from orders join customer on o_custkey = c_custkey where o_orderkey in (select l_orderkey from lineitem)"""
+
+
+def _orders(spark, d) -> DataFrame:
+    """Orders with their buyer and their lines as nested records."""
+    none = F.lit(None).cast("string")
+    line = F.struct("l_linenumber", F.struct(F.lit("Line").alias("type"), none.alias("uri"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")).alias("r"))
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["r"]).alias("lines"))
+    buyer = F.struct(F.lit("Buyer").alias("type"), F.concat(F.lit(EX + "customer/"), F.col("c_custkey")).alias("uri"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    joined = load(spark, d, "orders").join(lines, "o_orderkey").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(F.concat(F.lit(EX + "order/"), F.col("o_orderkey")).alias("uri"), F.col("o_orderstatus").alias("status"), buyer.alias("buyer"), "lines")
+
+
+def _orders_flat(df: DataFrame) -> DataFrame:
+    lines = F.array_join(F.transform("lines", lambda x: F.concat(x["part"].cast("string"), x["flag"])), ",")
+    return df.select("uri", "status", F.concat_ws("|", "buyer.uri", "buyer.name", F.col("buyer.nation").cast("string")).alias("buyer"), lines.alias("lines"))
+
+
+@query(_NESTED)
+def nested_records(spark, d):
+    triples = written(records.to_triples(_orders(spark, d), _ORDER), "nested")  # read for every class and attribute
+    return _orders_flat(records.from_triples(triples, _ORDER))
+
+
+@query(_NESTED)
+def nested_jsonld(spark, d):
+    return _orders_flat(records.from_jsonld(records.to_jsonld(_orders(spark, d), _ORDER), _ORDER))
+
+
+@query(f"""select '{EX}region/' || r_regionkey as s, '{T.RDF}type' as p, '{EX}Region' as o from region union all select '{EX}region/' || r_regionkey, '{EX}name', r_name from region
+union all select '{EX}nation/' || n_nationkey, '{T.RDF}type', '{EX}Nation' from nation union all select '{EX}nation/' || n_nationkey, '{EX}name', n_name from nation
+union all select '{EX}nation/' || n_nationkey, '{EX}in', '{EX}region/' || n_regionkey from nation""")
+def turtle_roundtrip(spark, d):
+    from marginalia.sources import corpora
+
+    written = sinks.turtle_blocks(geography(spark, d).triples(), {"ex": EX}).select(F.concat(F.lit(f"@prefix ex: <{EX}> .\n"), "value").alias("value"))
+    return corpora.turtle_texts(written.withColumn("k", F.xxhash64("value")), "k", "value").select(F.col("s.value").alias("s"), "p", F.col("o.value").alias("o"))
+
+
+@query(f"select '{EX}nation/7' as uri, 'Nation' as type union all select '{EX}region/' || n_regionkey, 'Region' from nation where n_nationkey = 7")
+def transitive_load(spark, d):
+    graph = geography(spark, d)
+    start = spark.range(1).select(F.lit(EX + "nation/7").alias("uri"))
+    loaded = records.load_transitively(graph.triples(), start, tuple(c for _, c in graph.parts))
+    return loaded["Nation"].select("uri", F.lit("Nation").alias("type")).unionByName(loaded["Region"].select("uri", F.lit("Region").alias("type")))
+
+
+@query(f"""select '"' || '{EX}nation/' || n_nationkey || '" -> "{EX}region/' || n_regionkey || '" [label="{EX}in"];' as value from nation""")
+def graphviz_edges(spark, d):
+    return sinks.graphviz(geography(spark, d).with_predicate(EX + "in"))
+
+
+@query("select page_id, case when url = 'https://example.org/' then 'home' when starts_with(url, 'https://') then 's:' || substring(url, 9) when starts_with(url, 'http://') then 'w:' || substring(url, 8) else url end as short, url as whole from pages")
+def iri_compaction(spark, d):
+    prefixes, terms = {"w": "http://", "s": "https://"}, {"home": "https://example.org/"}
+    short = records.compact(F.col("url"), prefixes, terms)
+    return load(spark, d, "pages").select("page_id", short.alias("short"), records.expand(short, prefixes, terms).alias("whole"))
+
+
+_PART_TAGS = "select p_partkey::varchar as id, replace(p_type, ' ', '.') as category from part"
+
+
+@query(f"""with m as ({_PART_TAGS}), t as (select distinct category as c from m union select distinct split_part(category, '.', 1) from m),
+x as (select '{EX}' || id as s, '{T.RDF}type' as p, '{records.NS}Document' as o from m union all select '{EX}' || id, '{records.NS}belongsTo', '{EX}parts' from m
+union all select '{EX}category/' || c, '{T.RDF}type', '{records.NS}Tag' from t union all select '{EX}category/' || c, '{records.NS}belongsTo', '{EX}category' from t
+union all select '{EX}category/' || c, 'http://www.w3.org/2000/01/rdf-schema#label', c from t union all select '{EX}category/' || c, '{records.NS}subTagOf', '{EX}category/' || split_part(c, '.', 1) from t where contains(c, '.')
+union all select '{EX}' || id || '#meta.cat.anno', '{records.OA}hasTarget', '{EX}' || id from m) select p, count(*) as n, count(distinct s) as n_s, md5(string_agg(s || ' ' || o, ';' order by s, o)) as digest from x group by p""")
+def metadata_etl(spark, d):
+    """Documents, tags and the annotations' targets, a digest for each predicate."""
+    from marginalia.sources import corpora
+
+    meta = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.array(F.replace("p_type", F.lit(" "), F.lit("."))).alias("categories"))
+    made = corpora.metadata_triples(meta, EX, EX + "parts", EX + "run").where(F.col("s.kind") == "uri").select(F.col("s.value").alias("s"), "p", F.col("o.value").alias("o"))
+    kept = made.where(~F.col("s").endswith("#meta.subcorpus.anno")).where(~(F.col("s").endswith(".anno") & ~F.col("p").endswith("hasTarget")))
+    pairs = F.array_sort(F.collect_list(F.struct("s", "o")))
+    return kept.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_s"), F.md5(F.array_join(F.transform(pairs, lambda x: F.concat(x["s"], F.lit(" "), x["o"])), ";")).alias("digest"))
+
+
+# --- conversions and further runs ---------------------------------------------------------------------------------------
+
+
+@query(r"""select doc_id, md5(regexp_replace(text, '[A-Z]{2,}', '#', 'g')) as digest, coalesce(len(regexp_extract_all(text, '[A-Z]{2,}')), 0)::int as n from documents where text is not null""")
+def replace_spans(spark, d):
+    """Runs of capitals replaced, the rest keeping its references."""
+    docs = load(spark, d, "documents").where("text is not null")
+
+    def made(text):
+        import hashlib
+        import re
+
+        ranges = [(*m.span(), "#") for m in re.finditer("[A-Z]{2,}", text)]
+        out, segments = dom.replace_ranges(text, [{"pos": 0, "len": len(text), "kind": "text", "start_ref": 0, "end_ref": len(text)}], ranges)
+        return [(hashlib.md5(out.encode()).hexdigest(), sum(1 for s in segments if s["kind"] == "token"))]
+
+    return dom._rows(docs, "doc_id", "text", "digest string, n int", made)
+
+
+@query(f"select page_id, {_TEXT} as plaintext from pages")
+def document_json(spark, d):
+    made = sinks.document_json(dom.dnm(load(spark, d, "pages"), "page_id", "html"), "page_id")
+    return made.select("page_id", F.get_json_object("json", "$.plaintext").alias("plaintext"))
+
+
+@query(f'with {_PIECES} select doc_id, count(*)::int as n, md5(string_agg(token, chr(10) order by tok_id)) as digest, max("end")::int as "end" from tokens group by doc_id')
+def token_json(spark, d):
+    made = sinks.token_json(X.word_tokens(load(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    parsed = F.from_json("json", "array<struct<token:string,`end-ref`:int>>")
+    return made.select("doc_id", parsed.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join(F.transform("t", lambda x: x["token"]), "\n")).alias("digest"), F.array_max(F.transform("t", lambda x: x["end-ref"])).alias("end"))
+
+
+@query(rf"""with {_PIECES} select doc_id, case when regexp_full_match(token, '\p{{P}}') then '.' when lower(token) = 'the' then 'DET' when lower(token) = 'and' then 'CONJ' else 'X' end as pos, count(*) as n from tokens group by 1, 2""")
+def pos_tags(spark, d):
+    tagged = spotters.pos_tags(load(spark, d, "documents"), "doc_id", "text", {"the": "DET", "and": "CONJ"})
+    return tagged.groupBy("doc_id", "pos").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, case when m % 10000 = 0 then 10000 when m % 1000 = 0 then 1000 when m % 100 = 0 then 100 when m % 10 = 0 then 10 else 1 end as fraction from (select doc_id, list_reduce([0::bigint, " + _CHUNKS + "], lambda a, x: (a * 4294967296 + x) % 10000) as m from documents)")
+def sample_fraction(spark, d):
+    return load(spark, d, "documents").select("doc_id", T.fraction(F.col("doc_id").cast("string")).alias("fraction"))
+
+
+@query("""select doc_id, '"' || source || '"@en' as written from documents where source is not null""")
+def lang_literals(spark, d):
+    return load(spark, d, "documents").where("source is not null").select("doc_id", T.ntriples(T.lang_literal(F.col("source"), "en")).alias("written"))
+
+
+@query("select event_id, user_id, event_type from events")
+def events_incremental(spark, d):
+    """Two incremental runs over the events with one checkpoint: the second adds nothing."""
+    import uuid
+
+    at, schema = f"{folder(spark)}/events-{uuid.uuid4().hex}", spark.read.parquet(f"{d}/events.parquet").schema
+    for _ in range(2):
+        incremental.process_new(spark, d, schema, lambda df: df.select("event_id", "user_id", "event_type"), at + "/out", at + "/checkpoint", pathGlobFilter="events.parquet")
+    return spark.read.parquet(at + "/out")
+
+
+@query()
+def dom_sentences(spark, d):
+    return dom.sentences(load(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def tokenized_pages(spark, d):
+    return dom.tokenized(load(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def overlap_report(spark, d):
+    docs = load(spark, d, "documents")
+    gold = _lines(spark, d).select("doc_id", F.col("l_start").alias("id"), F.col("l_start").alias("start"), F.col("l_end").alias("end"))
+    predicted = _windows(spark, d).select("doc_id", F.col("w_start").alias("id"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    return intervals.overlap_report(gold, predicted, "doc_id", docs, "text")

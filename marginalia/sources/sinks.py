@@ -13,13 +13,28 @@ def ntriples_lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(T.ntriples(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), T.ntriples(F.col("o")), F.lit(" .")).alias("value"))
 
 
-def write_ntriples(triples: DataFrame, path: str, compress: bool = False, graph: str | None = None) -> None:
-    """Text files of N-Triples; with a graph, one file that names it first, as the loader expects."""
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """Lines of text with a head before the first of each partition, so of each file."""
+
+    def headed(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            if values and first and head:
+                values[0], first = head + values[0], False
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
+    return lines.mapInArrow(headed, "value string")
+
+
+def write_ntriples(triples: DataFrame, path: str, compress: bool = False, graph: str | None = None, append: bool = False) -> None:
+    """Text files of N-Triples; with a graph, each file names it first, as the loader expects."""
     lines = ntriples_lines(triples)
     if graph is not None:
-        head = triples.sparkSession.range(1).select(F.lit(f"# Graph: <{graph}>").alias("value"), F.lit(0).alias("o"))
-        lines = head.unionByName(lines.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value")
-    writer = lines.write
+        lines = _headed(lines, f"# Graph: <{graph}>\n")
+    writer = lines.write.mode("append" if append else "errorifexists")
     (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
@@ -51,18 +66,28 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None
     """Turtle files, each with its own prefix lines at the head."""
     head = "".join(f"@prefix {p}: <{b}> .\n" for p, b in (prefixes or {}).items())
 
-    def blocks(batches):
-        import pyarrow as pa
+    out = _headed(turtle_blocks(triples, prefixes), head).write
+    (out.option("compression", "gzip") if compress else out).text(path)
 
-        first = True
-        for batch in batches:
-            values = batch.column(0).to_pylist()
-            if values and first and head:
-                values[0], first = head + values[0], False
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
-    out = turtle_blocks(triples, prefixes).mapInArrow(blocks, "value string").write
-    (out.option("compression", "gzip") if compress else out).text(path)
+def write_jsonld(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Line-wise JSON-LD files of (uri, json) rows."""
+    rows.select(F.col("json").alias("value")).write.mode("append" if append else "errorifexists").text(path)
+
+
+def records_jsonld(triples: DataFrame, classes=(), query: str | None = None, variable: str = "uri") -> DataFrame:
+    """(uri, type, json): the root records of a graph as JSON-LD; with a query, those that its variable names and all that they lead to."""
+    import functools
+
+    from marginalia.operators import records as R
+    from marginalia.operators import sparql
+
+    known = {c.name: c for c in (classes or R.CLASSES)}
+    if query is None:
+        loaded = R.load_all(triples, tuple(known.values()))
+    else:
+        loaded = R.load_transitively(triples, sparql.query(triples, query).select(F.col(variable)["value"].alias("uri")), tuple(known.values()))
+    return functools.reduce(DataFrame.unionByName, [R.to_jsonld(df, known[n]).select("uri", F.lit(n).alias("type"), "json") for n, df in loaded.items()])
 
 
 def document_json(dnm: DataFrame, key: str, version: str = "1") -> DataFrame:

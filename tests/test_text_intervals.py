@@ -74,7 +74,7 @@ def test_classification(spark):
     gold = spark.createDataFrame([(1, "g1", 0, 5), (1, "g2", 10, 20), (1, "g3", 30, 31), (1, "g4", 9, 8)], "d int, id string, start int, end int")
     pred = spark.createDataFrame([(1, "p1", 0, 5), (1, "p2", 10, 12), (1, "p3", 13, 21), (1, "p4", 50, 60)], "d int, id string, start int, end int")
     got = sorted((r.gold_id or "", r.pred_id or "", r.category) for r in intervals.classify(gold, pred, "d").collect())
-    assert got == [("", "p4", "prediction_only"), ("g1", "p1", "precise"), ("g2", "p2", "multimatch"), ("g2", "p3", "multimatch"), ("g3", "", "golden_only"), ("g4", "", "degenerate")]
+    assert got == [("", "p4", "prediction_only"), ("g1", "p1", "precise"), ("g2", "", "golden_in_multimatches"), ("g2", "p2", "multimatch"), ("g2", "p3", "multimatch"), ("g3", "", "golden_only"), ("g4", "", "degenerate")]
 
 
 def test_failing_documents_become_error_rows(spark, tmp_path):
@@ -92,3 +92,51 @@ def test_failing_documents_become_error_rows(spark, tmp_path):
     assert sorted((r.id, r.start, r.end, r.tag) for r in spotters.results(spark, out, "letters").collect()) == [(1, 0, 1, "a"), (1, 1, 2, "b")]
     errors = {r.id: (r.spotter, r.error) for r in spotters.results(spark, out, "errors").collect()}
     assert errors.keys() == {2, 3} and errors[2] == ("letters", "ValueError: bad text")
+
+
+def test_range_matching_counts_both_sides(spark):
+    gold = spark.createDataFrame([(1, "g1", 0, 10), (1, "g2", 20, 30), (1, "g3", 40, 50), (1, "g4", 60, 70), (1, "g5", 9, 8)], "d int, id string, start int, end int")
+    predicted = spark.createDataFrame([(1, "p1", 0, 10), (1, "p2", 18, 22), (1, "p3", 28, 45), (1, "p4", 80, 90)], "d int, id string, start int, end int")
+    got = sorted((r.category, r.gold_id, r.pred_id) for r in intervals.classify(gold, predicted, "d").fillna("-").collect())
+    assert got == [("degenerate", "g5", "-"), ("golden_in_multimatches", "g2", "-"), ("golden_only", "g4", "-"), ("multimatch", "g2", "p2"), ("multimatch", "g2", "p3"), ("overlap", "g3", "p3"), ("precise", "g1", "p1"), ("prediction_in_multimatches", "-", "p3"), ("prediction_only", "-", "p4")]
+    docs = spark.createDataFrame([(1, "".join(chr(97 + i % 26) for i in range(100)))], "d int, text string")
+    row = intervals.overlap_report(gold, predicted, "d", docs, "text").collect()
+    assert [(r.gold_id, r.pred_id, r.gold_text) for r in row] == [("g3", "p3", "opqrstuvwx")]
+
+
+def test_pruning_goes_on_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(k, a, a + 5) for k in range(4) for a in range(0, 40, 3)]
+        got = intervals.prune_overlaps(spark.createDataFrame(rows, "d int, start int, end int"), "d").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in range(4):
+        end = 0
+        for a in range(0, 40, 3):
+            if a >= end:
+                want.append((k, a, a + 5))
+                end = a + 5
+    assert sorted(map(tuple, got)) == want
+
+
+def test_annotations_by_source(spark):
+    import pytest
+
+    annotations = spark.createDataFrame([("a:1", "t:1")], "uri string, target_uri string")
+    targets = spark.createDataFrame([("t:1", "d:1", 1, 2)], "uri string, source string, start int, end int")
+    assert tuple(intervals.annotations_by_source(annotations, targets).first()) == ("d:1", "a:1", "t:1", 1, 2)
+    for bad in (spark.createDataFrame([("a:1", "t:9")], annotations.schema), annotations.unionByName(annotations)):
+        with pytest.raises(Exception):
+            intervals.annotations_by_source(bad, targets).collect()
+
+
+def test_token_counts_agree_with_tokens(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Say: (well-known) x.", "", None, " \n", "a\u00a0b ... c\x1cd"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.token_counts(F.col("t")).alias("c")).collect():
+        tokens = [t for t, *_ in X.keep_as_words(r.t or "", [])]
+        assert (r.c.n_tokens, r.c.n_chars, r.c.n_marks) == (len(tokens), sum(map(len, tokens)), sum(t in X.PUNCTUATION for t in tokens))
