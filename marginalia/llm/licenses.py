@@ -86,6 +86,42 @@ def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t(license_id, text)")
 
 
+#: Characters of known texts that reach the driver at most, to find words that tell them.
+TOLD_CHARS = 32_000_000
+_MADE = frozenset(w for _, new in SPELLINGS for w in new.split())
+
+
+def telling_words(texts: list[str]) -> list[str] | None:
+    """Few long words of which every canonical text has one; None where some text has none that would do.
+
+    Only words of ASCII letters that no spelling makes: a text in whose canonical form such a word occurs has it in lower case as it is.
+    """
+    rest = [{w for w in t.split() if len(w) > 4 and w.isascii() and w.isalpha() and w not in _MADE} for t in texts]
+    chosen: list[str] = []
+    while rest:
+        counts: dict[str, int] = {}
+        for words_ in rest:
+            for w in words_:
+                counts[w] = counts.get(w, 0) + 1
+        if not all(rest):
+            return None
+        # long words are rare elsewhere
+        best = max(counts, key=lambda w: (counts[w] * len(w) ** 3, w))
+        chosen.append(best)
+        rest = [x for x in rest if best not in x]
+    return chosen
+
+
+def _holds(text: Column, told: list[str] | None) -> Column:
+    """Whether a text may hold a known one."""
+    if told is None:
+        return F.lit(True)
+    low, out = F.lower(text), F.lit(False)
+    for w in told:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, digest, license_id (of the whole text, or null), notices (ids of its lines, sorted, joined by commas).
 
@@ -94,13 +130,17 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     are ignored.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    known = known.select("license_id", digest(F.col("text")).alias("d"), F.length("text").alias("l")).where("d is not null").groupBy("d").agg(F.min("license_id").alias("license_id"), F.max("l").alias("l"))
+    known = known.select("license_id", digest(F.col("text")).alias("d"), canonical(F.col("text")).alias("c")).where("d is not null")
+    size = known.agg(F.sum(F.length("c"))).first()[0] or 0
+    told = telling_words([r.c for r in known.select("c").collect()]) if size <= TOLD_CHARS else None
+    known = known.groupBy("d").agg(F.min("license_id").alias("license_id"))
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     docs = pick(docs, ["doc_id", "text"])
     whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(known.select(F.col("d").alias("digest"), "license_id"), "digest", "left")
-    lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", digest(F.col("line")).alias("d")).join(known.select("d", "license_id"), "d")
+    # a line without any of the telling words isn't a known text: it is spared the canonical form
+    lines = docs.where(F.col("doc_id").isNotNull() & _holds(F.col("text"), told)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    found = lines.where(_holds(F.col("line"), told)).select("doc_id", digest(F.col("line")).alias("d")).join(known.select("d", "license_id"), "d")
     notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(notices, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 

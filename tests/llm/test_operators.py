@@ -345,6 +345,28 @@ def test_licenses_whole_texts(spark):
     assert digests[0] and digests[1] and digests[2] is None and digests[3]
 
 
+def test_licenses_ties_long_texts_and_telling_words(spark):
+    mit = [t for i, t in licenses.KNOWN if i == "MIT"][-1]
+    known = spark.createDataFrame([("B", "Some notice about a licence."), ("A", "some NOTICE, about a license"), ("C", "4 0 by nc")], "license_id string, text string")
+    long = "filler words go on\n" * 120_000
+    rows = [(1, "Some notice about a licence", "x"), (2, long + "some notice: about a licence!\n" + long, "y"), (3, "x\n4.0 by-nc\n", "z"), (4, long, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license_id string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs, known).collect()}
+    assert got[1].license_id == "A" and got[2].notices == "A" and got[2].license_id is None and got[3].notices == "C" and got[4].notices == ""
+    from pyspark.sql import functions as F
+
+    # the texts have telling words, and each of these occurs in lower case in every way to write the text
+    from marginalia.llm.license_registry import registry
+
+    texts = registry(licenses.KNOWN)
+    df = spark.createDataFrame(texts, "license_id string, text string")
+    told = licenses.telling_words([r.c for r in df.select(licenses.canonical(F.col("text")).alias("c")).collect()])
+    assert told and len(told) < 12 and df.where(~licenses._holds(F.col("text"), told)).count() == 0
+    assert licenses.telling_words(["under the license", "4 0"]) is None
+    whole = licenses.license_scan(spark.createDataFrame([(1, long + mit)], "doc_id long, text string")).first()
+    assert whole.license_id is None
+
+
 def _labelled(spark):
     r = random.Random(8)
     rows, labels = [], []
