@@ -10,6 +10,9 @@ Then each class meets the smallest class of its buckets, and confirmed links for
 bucket and are still in different components meet after that: those outside a bucket's largest component meet all others, in
 chunks of bounded size, and a pair is emitted only if its signatures agree well enough.  What is left uncompared is connected anyway.
 Before full sets are fetched, a pair must agree in a share of its signature that a link misses about once in 10^8 pairs.
+
+A long text is never one array of words: it is cut between words into pieces, each with the shingles that begin in it, and its set is
+counted and compared as rows.  The shingles and the comparison are the same.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import connected_components, materialize, pick, words
+from marginalia.llm.common import connected_components, materialize, pick, small, words
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -36,6 +39,8 @@ BROADCAST_IDS = 2_000_000
 LANES = 8
 #: Size of the circle on which scattered shingles are shifted.
 CIRCLE = (1 << 62) - 1
+#: Texts of more bytes are shingled in pieces of at least so many characters, as arrays of all their words don't fit a task's memory.
+LONG, PIECE = 1 << 20, 1 << 16
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 70
 
@@ -57,12 +62,44 @@ def _sets(docs: DataFrame) -> DataFrame:
     return hashed.select("doc_id", F.concat(F.hex(F.xxhash64("h")), F.hex(F.xxhash64(F.lit(3), "h"))).alias("digest"), _once(F.array_distinct(F.when(n < SHINGLE, F.array(F.xxhash64(h, F.lit(1)))).otherwise(runs))).alias("s"))
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and the set of shingle hashes of each piece, of documents with long texts of five words at least.
+
+    A piece ends with a word, and a shingle belongs to the piece of its first word: the four words after the piece complete the last ones.
+    """
+    cut = rf"(?s).{{1,{PIECE}}}\S*(?=((?:\s+\S+){{0,{SHINGLE - 1}}}))"
+    parts = [F.regexp_extract_all("text", F.lit(cut), F.lit(k)).alias(name) for k, name in ((0, "own"), (1, "after"))]
+    cut_up = docs.where("doc_id is not null").select("doc_id", F.md5("text").alias("digest"), *parts).select("doc_id", "digest", F.explode(F.arrays_zip("own", "after")).alias("x"))
+    listed = cut_up.select("doc_id", "digest", _once(F.struct(*[words(F.col(f"x.{name}"), lower=True).alias(name) for name in ("own", "after")])).alias("w"))
+    hashed = listed.select("doc_id", "digest", F.size("w.own").alias("n"), _once(F.transform(F.concat("w.own", "w.after"), lambda w: F.xxhash64(w))).alias("h"))
+    h, starts = F.col("h"), F.least(F.col("n"), F.size("h") - (SHINGLE - 1))
+    runs = F.transform(F.sequence(F.lit(0), starts - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+    return hashed.where(starts > 0).select("doc_id", "digest", F.array_distinct(runs).alias("s"))
+
+
+def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents whose sets are built whole, and the pieces of those with long texts; None if there are none."""
+    if (docs.agg(F.max(F.octet_length("text"))).first()[0] or 0) <= LONG:
+        return docs, None
+    # a long text of less than five words is one shingle and goes the short way
+    long = F.coalesce((F.octet_length("text") > LONG) & F.col("text").rlike(r"\S\s+" + r"\S+\s+" * (SHINGLE - 2) + r"\S"), F.lit(False))
+    return docs.where(~long), materialize(_pieces(docs.where(long)), "pieces")
+
+
+def _elements(sets: DataFrame) -> DataFrame:
+    return sets.select("doc_id", "digest", F.explode("s").alias("x"))
+
+
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, pieces: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, n_shingles, the hash of each band and four bits of each coordinate, sixteen in a long, for documents that have words."""
+    whole = _sets(docs).select("doc_id", "digest", F.size("s").alias("n"), "s")
+    if pieces is not None:
+        n = _elements(pieces).distinct().groupBy("doc_id", "digest").agg(F.count("*").cast("int").alias("n"))
+        whole = whole.unionByName(pieces.join(n, ["doc_id", "digest"]).select("doc_id", "digest", "n", "s"))
     # rows of eight shingles: the minimum of a row is taken in one expression, and only then meets the running one
-    sets = _sets(docs).select("doc_id", "digest", F.size("s").alias("n"), "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(LANES))).alias("i"))
+    sets = whole.select("doc_id", "digest", "n", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(LANES))).alias("i"))
     # first permutation: scatter; second: hash of the shifted place.  CIRCLE keeps the sum within a long.
-    lanes = [F.xxhash64(F.get("s", F.least(F.col("i") + j, F.col("n") - 1)), F.lit(7)).bitwiseAND(CIRCLE).alias(f"p{j}") for j in range(LANES)]
+    lanes = [F.xxhash64(F.get("s", F.least(F.col("i") + j, F.size("s") - 1)), F.lit(7)).bitwiseAND(CIRCLE).alias(f"p{j}") for j in range(LANES)]
     shifted = [F.min(F.least(*[F.xxhash64((F.col(f"p{j}") + F.lit(k)).bitwiseAND(CIRCLE)) for j in range(LANES)])).alias(f"m{k}") for k in range(bands * rows)]
     least = sets.select("doc_id", "digest", "n", *lanes).groupBy("doc_id", "digest", "n").agg(*shifted)
     hashes = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
@@ -93,8 +130,29 @@ def _alike(pairs: DataFrame, sketches: DataFrame, coordinates: int, share: float
     return met.where(_agree("ka", "kb", coordinates, share)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed_long(pairs: DataFrame, docs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """As ``_confirmed``, with sets as rows, for pairs in which a text is long."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    own = small(ids)
+    elements = materialize(_elements(pieces.join(own, "doc_id", "left_semi")).unionByName(_elements(_sets(docs.join(own, "doc_id", "left_semi")))).distinct(), "elements")
+    size = elements.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    side = lambda df, d, *x: df.select(F.col("doc_id").alias(d), F.col("digest").alias(f"d{d}"), *x)
+    met = side(elements, "a", "x").join(small(pairs.select("a", "b")), "a").join(side(elements, "b", "x"), ["b", "x"])
+    counted = met.groupBy("a", "da", "b", "db").agg(F.count("*").alias("i"))
+    counted = counted.join(side(size, "a", F.col("n").alias("na")), ["a", "da"]).join(side(size, "b", F.col("n").alias("nb")), ["b", "db"])
+    linked = counted.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b", F.lit(True).alias("linked")).distinct()
+    return pairs.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, pieces: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) and whether they are linked, from the full sets of their texts."""
+    if pieces is not None:
+        # an id for each megabyte of text at most
+        ids = F.broadcast(pieces.select("doc_id").distinct())
+        in_a, in_b = (ids.select(F.col("doc_id").alias(c), F.lit(True).alias(f"long_{c}")) for c in "ab")
+        told = pairs.join(in_a, "a", "left").join(in_b, "b", "left").withColumn("long", F.coalesce("long_a", "long_b", F.lit(False)))
+        rest, long = (materialize(told.where(c).select("a", "b"), "told") for c in (~F.col("long"), F.col("long")))
+        return _confirmed(rest, docs, percent).unionByName(_confirmed_long(long, docs, pieces, percent))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # their texts are found without moving all others, as long as a table of the ids fits: counted, not guessed
     ids = materialize(ids, "ids")
@@ -133,7 +191,8 @@ def _apart(known: DataFrame, sketches: DataFrame, coordinates: int, percent: int
 def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST_BANDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, cid) of documents with words, and (node, label) of the linked classes."""
     docs = pick(docs, ["doc_id", "text"])
-    signed = materialize(signatures(docs, bands, rows), "signatures")
+    docs, pieces = _split(docs)
+    signed = materialize(signatures(docs, bands, rows, pieces), "signatures")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("cid"))
     owned = signed.select("doc_id", "digest", "n_shingles").join(classes, "digest")
     own = signed.join(classes, (signed.digest == classes.digest) & (signed.doc_id == classes.cid), "left_semi")
@@ -144,7 +203,7 @@ def components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows
     sketches = own.select("cid", "sketch")
 
     def links(pairs: DataFrame, alike: bool = True) -> DataFrame:
-        return materialize(_confirmed(materialize(_alike(pairs, sketches, bands * rows) if alike else pairs, "alike"), docs, percent), "links")
+        return materialize(_confirmed(materialize(_alike(pairs, sketches, bands * rows) if alike else pairs, "alike"), docs, percent, pieces), "links")
 
     def labelled(linked: DataFrame) -> DataFrame:
         label = connected_components(linked).select(F.col("node").alias("cid"), "label")

@@ -81,6 +81,31 @@ def test_near_duplicates_equal_brute_force(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id), r
 
 
+def test_long_texts_in_pieces_equal_brute_force(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(near_dup, "LONG", 400)
+    monkeypatch.setattr(near_dup, "PIECE", 90)
+    r = random.Random(12)
+    base = [r.choice(WORDS) + str(r.randrange(30)) for _ in range(300)]
+    near = base[:]
+    near[40] = near[200] = "Anders"
+    # copies that differ in space and case, a repeated passage, a near copy twice, few giant words, nothing but space, a shorter near copy
+    texts = [" ".join(base), " \n" * 99 + "\t\t".join(base).upper() + " " * 200, " ".join(base + base[:90]), " ".join(near), " ".join(near), "x" * 900 + " y", " " * 900, " ".join(base[:230]), ("z" * 95 + " ") * 9]
+    more = [(5000 + i, t) for i, t in enumerate(texts)] + [(5003, " ".join(near)), (None, " ".join(base))]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    whole, pieces = near_dup._split(table)
+    assert pieces.count() > 30 and whole.where("octet_length(text) > 400 and text rlike '(\\\\S+\\\\s+){4}\\\\S'").count() == 0
+    sets = {i: _shingles(t) for i, t in [x[:2] for x in rows] + more if i is not None}
+    assert max(map(len, sets.values())) > 300 > 90 > max(len(x.s) for x in pieces.collect())
+    ids = sorted(sets)
+    label = _components(ids, [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])])
+    assert len({label[5000 + i] for i in (0, 1, 2, 3, 4, 7)}) < 3
+    got = near_dup.near_duplicates(table).collect()
+    assert len(got) == len(rows) + len(more)
+    for x in got:
+        if x.doc_id is not None:
+            assert (x.n_shingles, x.component_id) == (len(sets[x.doc_id]), label[x.doc_id]), x
+
+
 def test_hot_buckets_in_chunks_lose_no_link(docs):
     _, plain = near_dup.components(docs)
     _, split = near_dup.components(docs, first_bands=1, chunk=2)
