@@ -73,6 +73,25 @@ def test_ranking_learns_and_survives_one_class():
     assert len(quality.features(None)) == len(quality.FEATURES)
 
 
+def test_ranking_equals_all_pairs_one_by_one():
+    import numpy as np
+
+    draw, k = np.random.default_rng(3), len(quality.FEATURES)
+    x, y = np.r_[draw.normal(0.4, 1, (90, k)), draw.normal(-0.2, 1.3, (60, k))], np.r_[np.ones(90, int), np.zeros(60, int)]
+    x[:, 5] = 3
+    m = quality.fit(x, y)
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) < 1e-9, 1, x.std(0)), -8, 8)
+    d, w = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, k), np.zeros(k)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(k), d.T @ p / len(d) - 1e-3 * w)
+    assert np.abs(m.weights - w).max() < 2e-4
+    s = m.raw(x)
+    errors = lambda cut: (s[y == 1] < cut).mean() + (s[y == 0] >= cut).mean()
+    assert errors(m.cut) == pytest.approx(min(map(errors, [*s, s.max() + 1])))
+    assert m.scale == pytest.approx(s.std() / 4, rel=1e-3)
+
+
 def test_decode_in_bounded_groups(monkeypatch):
     r = random.Random(4)
     payloads = [bytes(r.randrange(97, 123) for _ in range(n)) for n in (64, 9000, 40_000, 128)]

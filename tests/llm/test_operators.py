@@ -426,6 +426,24 @@ def test_classifiers_on_held_out_rows(spark, function, label, divisor, held):
     assert sorted((r.doc_id or -1, r.score) for r in function(docs, flipped).collect()) == sorted((r.doc_id or -1, r.score) for r in got)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(WORDS[:60]) + r.choice(["", "", "!!", "7"]) * (i % 4 == 0) for _ in range(r.randrange(1, 9))), int(i % 4 != 0 or i % 3 == 0)) for i in range(19_000)]
+    texts = {i: t for i, t, _ in rows}
+    texts[2] = min(texts[2], "A b c")
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(2, "A b c"), (2, None), (3, texts[3]), (None, "x y"), (99_999, "not labelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(5, 0), (5, 1), (None, 1), (88_888, 1)], "doc_id long, quality int")
+    used = [(y, texts[i]) for i, _, y in rows if i != 5 and zlib.crc32(str(i).encode()) % 5 != 0]
+    assert sum(y for y, _ in used) > 12_500
+    x, y = np.array([quality.features(t) for _, t in used]), [y for y, _ in used]
+    want, got = quality.fit(x, y), quality.train(docs, labels)
+    assert np.allclose(got.mean, x.mean(0), rtol=1e-9) and np.allclose(got.spread, want.spread, rtol=1e-9)
+    assert np.allclose(got.weights, want.weights, atol=3e-6)
+    assert got.cut == pytest.approx(want.cut, abs=1e-4) and got.scale == pytest.approx(want.scale, rel=1e-4)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
