@@ -13,10 +13,11 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII capitals and the six ASCII white-space characters.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -141,6 +142,48 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A table of rows that the driver made.
+
+    As an Arrow table it is a local relation.  A list goes through Python workers of another kind than those of functions on columns: a further daemon
+    and its workers then hold memory on every executor.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [[]] * len(types)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types), schema)
+
+
+#: Bytes of rows after which a batch for a Python function ends.  Spark's own bound is 64 MB, of which the executor and its worker each hold copies and
+#: keep the memory for the stages that follow.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, function: Callable, schema: StructType | str, tokenizes: bool = False) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size; a longer row is a batch of its own.  A bound that the session sets stands.
+
+    A worker waits for further tasks, so it gives back what batches took when the function ends, and a function that doesn't tokenize first drops the
+    encoders that tasks before it left.
+    """
+
+    def released(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        if not tokenizes:
+            from marginalia.llm.tokens import forget
+
+            forget()
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(released, schema)
+
+
 def free_name(taken: Sequence[str], name: str) -> str:
     """``name``, with as many underscores as it takes to differ from all taken names."""
     used = {c.lower() for c in taken}

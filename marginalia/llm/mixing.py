@@ -15,7 +15,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import free_name, materialize, pick, small, words
+from marginalia.llm.common import free_name, local_table, materialize, pick, small, words
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -149,9 +149,9 @@ def _quotas(docs: DataFrame, weights: tuple[int, ...], share: float, most: float
     # runs are found by source and bin: a bin is as wide as a source's mean run, so that a run lies in two or three
     wide = {i: max(1, q >> levels) for i, q in quota.items()}
     leaves = [(names[i].s, wide[i], shard, first, end) for i, shard, first, end in split_tree(quota, levels, seed)]
-    runs = spark.createDataFrame(leaves, "rs string, wide long, shard int, first long, end long") if leaves else spark.sql("select cast(null as string) rs, 1L wide, 0 shard, 0L first, 0L end where false")
+    runs = local_table(spark, leaves, "rs string, wide long, shard int, first long, end long") if leaves else spark.sql("select cast(null as string) rs, 1L wide, 0 shard, 0L first, 0L end where false")
     binned = runs.select("rs", "shard", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / F.col("wide")), F.floor((F.col("end") - 1) / F.col("wide")))).alias("rbin"))
-    widths = spark.createDataFrame([(r.s, wide[i]) for i, r in enumerate(names)], "ws string, wide long") if names else spark.sql("select cast(null as string) ws, 1L wide where false")
+    widths = local_table(spark, [(r.s, wide[i]) for i, r in enumerate(names)], "ws string, wide long") if names else spark.sql("select cast(null as string) ws, 1L wide where false")
     # instances: the copies of all blocks one after the other, in the order of the permutation, then the drawn ones
     instances = ranked.select("s", "block", "rank", "made", "base", "gives", "words", F.explode(F.sequence(F.lit(0), F.col("base"))).alias("copy")).where("copy < base or gives > 0")
     instances = instances.withColumn("instance", F.col("copy") * F.col("made") + F.col("rank")).join(small(widths), F.col("s").eqNullSafe(F.col("ws")))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, pick
+from marginalia.llm.common import in_batches, local_table, materialize, pick
 from marginalia.llm.tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -51,7 +51,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "pos"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pieces, PIECES, tokenizes=True)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     before = counted.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     counts = {r.length: r.n for r in cut_.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows = places(plan(counts, capacity))
-    ranges = docs.sparkSession.createDataFrame(rows, "length long, lo long, hi long, first long, offset long")
+    ranges = local_table(docs.sparkSession, rows, "length long, lo long, hi long, first long, offset long")
     ranked = cut_.withColumn("k", F.row_number().over(Window.partitionBy("length", "part").orderBy("pos")) - 1)
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
     placed = ranked.join(F.broadcast(ranges), "length").where("rank >= lo and rank < hi")

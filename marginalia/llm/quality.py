@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BROADCAST_ROWS, free_name, materialize, pick, small
+from marginalia.llm.common import BROADCAST_ROWS, free_name, in_batches, local_table, materialize, pick, small
 from marginalia.llm.labelled import known, remainder
 
 #: Steps of the grids of scores on which rows are summed, each shared by its two neighbours: for gradients, which lets weights depart by
@@ -219,7 +219,7 @@ def _described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "mark", "x"])
 
     schema = StructType([docs.schema["doc_id"], StructField("mark", LongType()), StructField("x", ArrayType(DoubleType()))])
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(apply, schema)
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), apply, schema)
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def _gathered(rows: DataFrame, of: Callable, merge: Callable | None = None) -> l
 
     import pickle
 
-    return [pickle.loads(r.part) for r in rows.select("y", "x").mapInArrow(apply, "part binary").collect()]
+    return [pickle.loads(r.part) for r in in_batches(rows.select("y", "x"), apply, "part binary").collect()]
 
 
 def _cut(rows: DataFrame, model: Ranking, n) -> float:
@@ -267,7 +267,7 @@ def _cut(rows: DataFrame, model: Ranking, n) -> float:
             s = model.raw(batch.column(1).to_pylist()) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["y", "s"])
 
-    counts = rows.select("y", "x").mapInArrow(apply, "y int, s double").groupBy("s").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    counts = in_batches(rows.select("y", "x"), apply, "y int, s double").groupBy("s").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
     ranked = materialize(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "quality-scores")
     parts = sorted(ranked.groupBy("part").agg(F.min("s").alias("s"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r.s)
     below, good, bad = [], 0, 0
@@ -276,7 +276,7 @@ def _cut(rows: DataFrame, model: Ranking, n) -> float:
         good, bad = good + r.good, bad + r.bad
     own = Window.partitionBy("part").orderBy("s")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.join(F.broadcast(rows.sparkSession.createDataFrame(below, "part int, g long, b long, after double")), "part")
+    placed = ranked.join(F.broadcast(local_table(rows.sparkSession, below, "part int, g long, b long, after double")), "part")
     errors = (F.col("g") + F.sum("good").over(upto)) * int(n[0]) + (int(n[0]) - F.col("b") - F.sum("bad").over(upto)) * int(n[1])
     best = placed.select(errors.alias("errors"), "s", F.coalesce(F.lead("s").over(own), "after").alias("above")).agg(F.min(F.struct("errors", "s", "above")).alias("x")).first().x
     return parts[0].s - 1 if best.errors >= int(n[0]) * int(n[1]) else (best.s + best.above) / 2
@@ -307,7 +307,7 @@ def scored(docs: DataFrame, model: Ranking) -> DataFrame:
             score = model.score(rows) if rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, added])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField(added, DoubleType())]))
+    return in_batches(docs, apply, StructType([*docs.schema.fields, StructField(added, DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None) -> DataFrame:

@@ -92,3 +92,15 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop this process's encoders with their memos; the next task that needs one reads its file again."""
+    import ctypes
+    import gc
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # else what the tokenizer freed stays with the process
+            libc.malloc_trim(0)

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import free_name, materialize, pick
+from marginalia.llm.common import free_name, in_batches, materialize, pick
 from marginalia.llm.labelled import SAMPLE, remainder, sample
 
 #: ``predicted`` is 1 from this score.
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], ["doc_id", "y", "text", "mark"])
 
     rows = sample(docs, labels, "toxic", 4, 2, per_class).select("doc_id", F.col("y").cast("int").alias("y"), "text")
-    marked = rows.mapInArrow(prints, "doc_id long, y int, text string, mark string")
+    marked = in_batches(rows, prints, "doc_id long, y int, text string, mark string")
     first = marked.groupBy("mark", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = marked.join(first, "doc_id", "left_semi").select("doc_id", "y", "text")
     rows = materialize(rows, "toxic-sample")  # bounded by the sample
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[1] for c in count.values()], pa.int64()), pa.array([c[0] for c in count.values()], pa.int64())], ["key", "a", "b"])
 
     # only keys that several toxic documents hold can pass the thresholds
-    counts = rows.select("y", "text").mapInArrow(counted, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3 and a > b")
+    counts = in_batches(rows.select("y", "text"), counted, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3 and a > b")
     odds = log_odds(((r.key, r.a, r.b) for r in counts.where(_speaks(sizes[1], sizes[0])).collect()), sizes[1], sizes[0])
 
     def measured(batches: Iterator) -> Iterator:
@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
         yield pa.RecordBatch.from_arrays([pa.array([-1] * len(single), pa.int32()), pa.array(list(single.values()), pa.int64()), pa.array(list(single), pa.float64())], ["y", "n", "s"])
 
     # three numbers a row of the sample, and of each task one row for each distinct log-odds
-    seen = rows.select("y", "text").mapInArrow(measured, "y int, n long, s double").collect()
+    seen = in_batches(rows.select("y", "text"), measured, "y int, n long, s double").collect()
     tokens: dict[float, int] = {}
     for r in sorted((r for r in seen if r.y < 0), key=lambda r: r.s):
         tokens[r.s] = tokens.get(r.s, 0) + r.n
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer
             both = [scorer.evidence(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e[0] for e in both], pa.float64()), pa.array([e[1] for e in both], pa.float64())], ["y", "best", "sum"])
 
-    seen = sorted(rows.select("y", "text").mapInArrow(weighed, "y int, best double, sum double").collect())
+    seen = sorted(in_batches(rows.select("y", "text"), weighed, "y int, best double, sum double").collect())
     scorer = Scorer(odds, rate, log_k)
     # the sample is balanced and without copies: weigh its classes back to their shares of the labels
     every = {r.toxic: r.n for r in pick(labels, ["doc_id", "toxic"]).where("toxic in (0, 1)").where(F.coalesce(remainder(4) != 2, F.lit(False))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -279,7 +279,7 @@ def scored(docs: DataFrame, model: Scorer, spans: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     kinds = [DoubleType(), ArrayType(span)]
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(added, kinds)]]))
+    return in_batches(docs, apply, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(added, kinds)]]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, per_class: int = SAMPLE) -> DataFrame:

@@ -444,6 +444,50 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert got.cut == pytest.approx(want.cut, abs=1e-4) and got.scale == pytest.approx(want.scale, rel=1e-4)
 
 
+def test_python_batches_are_bounded_by_bytes(spark):
+    class Counted:
+        def score(self, rows):
+            return [float(len(rows))] * len(rows)
+
+    docs = spark.range(40, numPartitions=1).selectExpr("id as doc_id", "if(id = 7, repeat('ab ', 2000000), repeat('ab ', 200000)) as text")
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        sizes = {r.doc_id: r.score for r in quality.scored(docs, Counted()).select("doc_id", "score").collect()}
+        assert len(sizes) == 40 and max(sizes.values()) <= 8  # of 0.6 MB, in 4 MB
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")  # a session's own bound stands
+        assert max(r.score for r in quality.scored(docs, Counted()).collect()) == 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        if bound:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bound)
+
+
+def test_workers_drop_encoders_for_other_work(spark):
+    def held(batches):
+        import pyarrow as pa
+        from marginalia.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._ENCODERS)])], ["n"])
+
+    docs = spark.range(8, numPartitions=4).selectExpr("id as doc_id", "concat('some words ', id) as text")
+    assert packing.pack(docs).count() == 8
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {1}
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    assert quality.quality(docs, labels).count() == 8
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_tables_made_by_the_driver_start_no_python_workers(spark):
+    made = common.local_table(spark, [(1, None), (2, 0.5)], "a int, b double")
+    assert made.dtypes == [("a", "int"), ("b", "double")] and sorted(map(tuple, made.collect())) == [(1, None), (2, 0.5)]
+    assert common.local_table(spark, [], "a int, b string").count() == 0
+    docs = spark.range(50).selectExpr("id as doc_id", "concat('some words ', id) as text", "cast(id % 3 as string) as source")
+    for df in (packing.pack(docs), mixing.mixed(docs)):
+        assert "LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
