@@ -15,7 +15,7 @@ import operator
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import terms as T
@@ -361,6 +361,53 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def _free(names: list[str]) -> list[Column]:
+    """The conditions under which variables that may be unbound are compatible."""
+    return [F.col(f"`{c}`").isNull() | F.col(f"`__r_{c}`").isNull() | (F.col(f"`{c}`") == F.col(f"`__r_{c}`")) for c in names]
+
+
+def _parts(left: Solutions, right: Solutions, x: DataFrame, y: DataFrame, v: str) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+    """Rows of the left side that bind ``v`` and those that don't, and the same of the right; None where a side always binds it."""
+    a, b = F.col(f"`{v}`"), F.col(f"`__r_{v}`")
+    lefts = (x.where(a.isNotNull()), x.where(a.isNull())) if v in left.unsure else (x, None)
+    rights = (y.where(b.isNotNull()), y.where(b.isNull())) if v in right.unsure else (y, None)
+    return *lefts, *rights
+
+
+def _compatible(left: Solutions, right: Solutions, r: DataFrame, unsure: list[str]) -> DataFrame:
+    """All compatible pairs when no shared variable is bound for sure: rows that bind one meet by equality, and only rows that don't meet all others."""
+
+    def pairs_of(x: DataFrame, y: DataFrame, todo: list[str]) -> DataFrame:
+        if not todo:
+            return x.crossJoin(_small(y))
+        v, rest = todo[0], todo[1:]
+        bound, unbound, r_bound, r_unbound = _parts(left, right, x, y, v)
+        rows = bound.join(r_bound, functools.reduce(operator.and_, [F.col(f"`{v}`") == F.col(f"`__r_{v}`"), *_free(rest)]))
+        if unbound is not None:
+            rows = rows.unionByName(pairs_of(unbound, y, rest))
+        if r_unbound is not None:
+            rows = rows.unionByName(pairs_of(bound, r_unbound, rest))
+        return rows
+
+    return pairs_of(left.rows, r, unsure)
+
+
+def _unmatched(left: Solutions, right: Solutions, r: DataFrame, unsure: list[str]) -> DataFrame:
+    """The rows of the left side that ``_compatible`` pairs with none."""
+
+    def lonely(x: DataFrame, y: DataFrame, todo: list[str]) -> DataFrame:
+        if not todo:
+            return x.join(F.broadcast(y.limit(1)), F.lit(True), "left_anti")
+        v, rest = todo[0], todo[1:]
+        bound, unbound, r_bound, r_unbound = _parts(left, right, x, y, v)
+        rows = bound.join(r_bound, functools.reduce(operator.and_, [F.col(f"`{v}`") == F.col(f"`__r_{v}`"), *_free(rest)]), "left_anti")
+        if r_unbound is not None:
+            rows = lonely(rows, r_unbound, rest)
+        return rows if unbound is None else rows.unionByName(lonely(unbound, y, rest))
+
+    return lonely(left.rows, r, unsure)
+
+
 def _join(left: Solutions | None, right: Solutions, how: str = "inner") -> Solutions:
     """All compatible pairs; with ``left``, rows without one stay."""
     if left is None:
@@ -370,29 +417,14 @@ def _join(left: Solutions | None, right: Solutions, how: str = "inner") -> Solut
     keys = [c for c in shared if c not in unsure]
     r = right.rows.select(*[F.col(f"`{c}`").alias(f"__r_{c}") for c in right.names])
     on = [F.col(f"`{c}`") == F.col(f"`__r_{c}`") for c in keys]
-    free = [F.col(f"`{c}`").isNull() | F.col(f"`__r_{c}`").isNull() | (F.col(f"`{c}`") == F.col(f"`__r_{c}`")) for c in unsure]
-
-    def met(x: DataFrame, y: DataFrame, *conditions) -> DataFrame:
-        if not conditions:
-            return x.crossJoin(_small(y)) if how == "inner" else x.join(_small(y), F.lit(True), how)
-        return x.join(y, functools.reduce(operator.and_, conditions), how)
-
-    if keys or not unsure:
-        rows = met(left.rows, r, *on, *free)
+    free = _free(unsure)
+    if keys:
+        rows = left.rows.join(r, functools.reduce(operator.and_, [*on, *free]), how)
     else:
-        # nothing is bound for sure: bound rows meet by equality, and only unbound ones meet all others
-        v = unsure[0]
-        bound, rest = F.col(f"`{v}`").isNotNull(), free[1:]
-        equal = F.col(f"`{v}`") == F.col(f"`__r_{v}`")
-        if how == "inner":
-            some, none = r.where(F.col(f"`__r_{v}`").isNotNull()), r.where(F.col(f"`__r_{v}`").isNull())
-            rows = met(left.rows.where(bound), some, equal, *rest).unionByName(met(left.rows.where(~bound), _small(r), *(rest or [F.lit(True)])))
-            if v in right.unsure:
-                rows = rows.unionByName(met(left.rows.where(bound), _small(none), *(rest or [F.lit(True)])))
-        elif v in right.unsure:
-            rows = met(left.rows, _small(r), *free)
-        else:
-            rows = met(left.rows.where(bound), r, equal, *rest).unionByName(met(left.rows.where(~bound), _small(r), *(rest or [F.lit(True)])))
+        rows = _compatible(left, right, r, unsure)
+        if how != "inner":
+            none = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.columns]
+            rows = rows.unionByName(_unmatched(left, right, r, unsure).select("*", *none))
     out = [F.coalesce(F.col(f"`{c}`"), F.col(f"`__r_{c}`")).alias(c) if c in unsure else F.col(f"`{c}`") for c in left.names]
     out += [F.col(f"`__r_{c}`").alias(c) for c in right.names if c not in left.names]
     if how == "inner":

@@ -92,6 +92,26 @@ def test_patterns_that_share_nothing(spark, monkeypatch):
         sparql.query(_triples(spark, "a p b,c q d"), query)
 
 
+def test_only_unbound_rows_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(sparql, "CROSS_ROWS", 1)  # one row is unbound; the other side has more
+    got = _bindings(spark, "n p m,x q r,y q r,z q s,r t c,s t c", "SELECT ?n ?x ?r WHERE { { ?n <p> ?m } UNION { ?x <q> ?r } ?r <t> ?c }")
+    assert got == sorted([("n", None, "r"), ("n", None, "s"), (None, "x", "r"), (None, "y", "r"), (None, "z", "s")], key=str)
+
+
+def test_optional_of_unbound_variables(spark):
+    # two variables may be unbound on either side; pairs and lonely rows against the definition
+    data = "k v a,k v b,k w c,k w d,k u e,e u c"
+    left = "{ ?k <v> ?x } UNION { ?k <w> ?y } UNION { ?k <v> ?x . ?k <w> ?y }"
+    for right in ("{ ?l <u> ?y } UNION { ?m <v> ?x }", "{ ?l <w> ?y . ?l <v> ?x } UNION { ?l <u> ?y }", "{ ?l <none> ?y } UNION { ?m <u> ?x }"):
+        a, b = (_bindings(spark, data, f"SELECT ?x ?y WHERE {{ {t} }}") for t in (left, right))
+        fits = lambda p, q: all(i is None or j is None or i == j for i, j in zip(p, q))
+        either = lambda p, q: tuple(j if i is None else i for i, j in zip(p, q))
+        pairs = [either(p, q) for p in a for q in b if fits(p, q)]
+        assert _bindings(spark, data, f"SELECT ?x ?y WHERE {{ {{ {left} }} {{ {right} }} }}") == sorted(pairs, key=str)
+        lonely = [p for p in a if not any(fits(p, q) for q in b)]
+        assert _bindings(spark, data, f"SELECT ?x ?y WHERE {{ {{ {left} }} OPTIONAL {{ {right} }} }}") == sorted(pairs + lonely, key=str)
+
+
 def test_constant_patterns_are_gates(spark):
     data = "a p b,x q y"
     assert sparql.query(_triples(spark, data), "ASK { <a> <p> <b> . ?x <q> ?y }").first()[0] is True
