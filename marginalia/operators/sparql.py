@@ -4,7 +4,7 @@ Supported: SELECT [DISTINCT], ASK, CONSTRUCT; basic graph patterns with ``;`` ``
 FILTER isIRI(?x) and FILTER strstarts(str(?x), "..."); property paths of ``/``, ``^`` and ``*``.  Anything else is an error.
 A pattern is an equality join on the variables it shares, each side filtered on its predicate first; Catalyst picks order and strategy.
 A variable that OPTIONAL, UNION or UNDEF may leave unbound is compatible with any value, as the algebra has it; patterns that share no
-variable are combined only if one side is counted and small.  A ``*`` path is followed from the ends that other patterns bind.
+variable give all pairs of their rows, however many.  A ``*`` path is followed from the ends that other patterns bind.
 """
 
 from __future__ import annotations
@@ -351,14 +351,14 @@ class Solutions:
         return self.rows.columns
 
 
-#: Rows of a side that meets all rows of the other, at most.
-CROSS_ROWS = 10_000
+#: Rows of a side that meets all rows of the other, at most, where a caller wants such products refused; none are by default.
+CROSS_ROWS: int | None = None
 
 
-def _small(df: DataFrame) -> DataFrame:
-    if df.limit(CROSS_ROWS + 1).count() > CROSS_ROWS:
+def _product(x: DataFrame, y: DataFrame) -> DataFrame:
+    if CROSS_ROWS is not None and y.limit(CROSS_ROWS + 1).count() > CROSS_ROWS:
         raise SparqlError("patterns that share no bound variable would pair too many rows")
-    return F.broadcast(df)
+    return x.crossJoin(y)
 
 
 def _free(names: list[str]) -> list[Column]:
@@ -379,7 +379,7 @@ def _compatible(left: Solutions, right: Solutions, r: DataFrame, unsure: list[st
 
     def pairs_of(x: DataFrame, y: DataFrame, todo: list[str]) -> DataFrame:
         if not todo:
-            return x.crossJoin(_small(y))
+            return _product(x, y)
         v, rest = todo[0], todo[1:]
         bound, unbound, r_bound, r_unbound = _parts(left, right, x, y, v)
         rows = bound.join(r_bound, functools.reduce(operator.and_, [F.col(f"`{v}`") == F.col(f"`__r_{v}`"), *_free(rest)]))

@@ -92,6 +92,15 @@ def test_patterns_that_share_nothing(spark, monkeypatch):
         sparql.query(_triples(spark, "a p b,c q d"), query)
 
 
+def test_products_are_whole_at_any_size(spark):
+    uri = lambda v: F.struct(F.lit("uri").alias("kind"), v.alias("value"), *[F.lit(None).cast("string").alias(c) for c in ("datatype", "lang")])
+    many = spark.range(10_001).select(F.lit("g").alias("g"), uri(F.col("id").cast("string")).alias("s"), F.lit("q").alias("p"), uri(F.lit("w")).alias("o"))
+    rows = sparql.query(_triples(spark, "a p b,c p d").unionByName(many), "SELECT ?x ?z WHERE { ?x <p> ?y . ?z <q> ?w }")
+    assert rows.count() == 20_002 and rows.distinct().count() == 20_002
+    rows = sparql.query(_triples(spark, "a p b,c p d").unionByName(many), "SELECT ?x ?z WHERE { ?x <p> ?y OPTIONAL { ?z <q> ?w } }")
+    assert rows.distinct().count() == 20_002
+
+
 def test_only_unbound_rows_meet_all_others(spark, monkeypatch):
     monkeypatch.setattr(sparql, "CROSS_ROWS", 1)  # one row is unbound; the other side has more
     got = _bindings(spark, "n p m,x q r,y q r,z q s,r t c,s t c", "SELECT ?n ?x ?r WHERE { { ?n <p> ?m } UNION { ?x <q> ?r } ?r <t> ?c }")
