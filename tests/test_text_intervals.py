@@ -140,3 +140,22 @@ def test_token_counts_agree_with_tokens(spark):
     for r in df.select("t", X.token_counts(F.col("t")).alias("c")).collect():
         tokens = [t for t, *_ in X.keep_as_words(r.t or "", [])]
         assert (r.c.n_tokens, r.c.n_chars, r.c.n_marks) == (len(tokens), sum(map(len, tokens)), sum(t in X.PUNCTUATION for t in tokens))
+
+
+def test_passes_give_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+    from marginalia.functions.batches import CHARACTERS, ROWS
+    from marginalia.operators import dom
+
+    for module in (X, dom):
+        monkeypatch.setattr(module, "in_batches", lambda df, function, schema: function)
+    df = spark.createDataFrame([(1, "x")], "d long, t string")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["x" * 50_000, None, "y x"])], ["d", "t"])
+    out = list(X.spans(df, "d", "t", "x")(iter([batch])))
+    assert max(b.num_rows for b in out) == ROWS
+    rows = [(r["d"], r["i"], r["match"], r["start"], r["end"]) for b in out for r in b.to_pylist()]
+    assert rows == [*((1, i, "x", i, i + 1) for i in range(50_000)), (3, 0, "x", 2, 3)]
+    out = list(dom._rows(df, "d", "t", "n int, s string", lambda t: ((i, t) for i in range(3)))(iter([pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["a" * 1_000_000] * 20)], ["d", "t"])])))
+    assert max(sum(map(len, b.column(2).to_pylist())) for b in out) <= CHARACTERS + 1_000_000
+    assert [(r["d"], r["n"]) for b in out for r in b.to_pylist()] == [(d, n) for d in range(20) for n in range(3)]
+    assert max(b.num_rows for b in dom._rows(df, "d", "t", "n int", lambda t: ((i,) for i in range(40_000)))(iter([batch]))) == ROWS
