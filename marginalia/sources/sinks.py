@@ -101,6 +101,12 @@ def token_json(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy(key).agg(F.to_json(ordered).alias("json"))
 
 
+def token_arrays_json(arrays: DataFrame, key: str) -> DataFrame:
+    """(key, json): what ``token_json`` gives, from a document's tokens in one array (``functions.text.token_arrays``): no token is shuffled or gathered."""
+    ordered = F.transform("tokens", lambda x: F.struct(x["tok_id"].alias("tok_id"), x["token"].alias("token"), x["start"].alias("start-ref"), x["end"].alias("end-ref")))
+    return arrays.select(key, F.to_json(ordered).alias("json"))
+
+
 def graphviz(triples: DataFrame) -> DataFrame:
     """(value): an edge in DOT for each triple."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -159,3 +159,27 @@ def test_passes_give_bounded_batches(spark, monkeypatch):
     assert max(sum(map(len, b.column(2).to_pylist())) for b in out) <= CHARACTERS + 1_000_000
     assert [(r["d"], r["n"]) for b in out for r in b.to_pylist()] == [(d, n) for d in range(20) for n in range(3)]
     assert max(b.num_rows for b in dom._rows(df, "d", "t", "n int", lambda t: ((i,) for i in range(40_000)))(iter([batch]))) == ROWS
+
+
+def test_protected_lines_take_linear_time():
+    import re
+    import time
+
+    text = "a License b\nc d.\n\nLicense License\n" + "word " * 40_000 + "\nend License"
+    line = re.compile(r"[^\n]*License[^\n]*")
+    for part in (text[:60], "License", "", "x\nLicense\n", "no\nlines"):
+        assert X.lines_with(part, "License") == [m.span() for m in line.finditer(part)]
+        assert X.count_as_words(part, X.lines_with(part, "License")) == len(X.keep_as_words(part, [m.span() for m in line.finditer(part)]))
+    began = time.process_time()
+    assert X.count_as_words(text, X.lines_with(text, "License")) == 1 + 3 + 1 + 40_000 + 1
+    assert time.process_time() - began < 2
+
+
+def test_token_json_without_gathering(spark):
+    from marginalia.sources import sinks
+
+    df = spark.createDataFrame([(1, 'He said "no", \u00e4\\x.\n'), (2, None), (3, " "), (4, "w " * 20_000)], "d long, t string")
+    whole = sinks.token_arrays_json(X.token_arrays(df, "d", "t"), "d")
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = {r.d: r.json for r in sinks.token_json(X.word_tokens(df, "d", "t"), "d").collect()}
+    assert {r.d: r.json for r in whole.collect()} == want and sorted(want) == [1, 4]
