@@ -11,8 +11,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marginalia.functions import terms as T
+from marginalia.functions.batches import in_batches
 from marginalia.sources.shared import discard, written
 
 OA = "http://www.w3.org/ns/oa#"
@@ -243,29 +245,101 @@ def _nested_records(triples: DataFrame, attr: Attr) -> DataFrame:
     return met.select("uri", (values if attr.many or attr.ordered else F.get(values, F.lit(0))).alias(attr.name))
 
 
+def _pieces(triples: DataFrame, predicate: str, chain: bool) -> DataFrame:
+    """What a list predicate's triples and list cells come to: heads (kind 3: s, cell), and cells in pieces.
+
+    With ``chain``, cells whose triples are in one batch and that follow one another are one piece (kind 0: cell, items, next), so lists that are
+    written together need no join; of other cells, and of all without it, the values (kind 1: cell, items) and the next ones (kind 2: cell, next).
+    """
+    kind = F.when(F.col("p") == predicate, 3).when(F.col("p") == T.RDF + "first", 1).when(F.col("p") == T.RDF + "rest", 2)
+    own = triples.select(kind.alias("kind"), F.col("s.value").alias("s"), F.col("o")).where("kind is not null")
+    fields = StructType.fromDDL(f"kind int, s string, cell string, items array<{T.TERM}>, next string")
+
+    def found(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        names = to_arrow_schema(fields)
+        for batch in batches:
+            kinds, subjects, terms = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            objects = terms.field(1).to_pylist()
+            at: tuple[dict, dict] = {}, {}
+            heads, loose, rows = set(), set(), []
+            for i, (k, s) in enumerate(zip(kinds, subjects)):
+                if k == 3:
+                    heads.add(objects[i])
+                    rows.append((3, s, objects[i], (), None))
+                elif s in at[k - 1] or not chain:
+                    loose.add(s)
+                else:
+                    at[k - 1][s] = i
+            first, rest = at
+            whole = {c for c in first if c in rest and c not in loose}
+            for i, (k, s) in enumerate(zip(kinds, subjects)):
+                if k != 3 and s not in whole:
+                    rows.append((1, None, s, (i,), None) if k == 1 else (2, None, s, (), objects[i]))
+            met: dict = {}
+            for c in whole:
+                met[objects[rest[c]]] = met.get(objects[rest[c]], 0) + 1
+            inner = {c for c, n in met.items() if n == 1 and c in whole and c not in heads}
+            seen = set()
+            for c in [*(c for c in whole if c not in inner), *inner]:  # what is left of the inner ones is a circle
+                if c in seen:
+                    continue
+                items, here = [], c
+                while True:
+                    seen.add(here)
+                    items.append(first[here])
+                    following = objects[rest[here]]
+                    if following not in inner or following in seen:
+                        break
+                    here = following
+                rows.append((0, None, c, items, following))
+            ends = [0]
+            for r in rows:
+                ends.append(ends[-1] + len(r[3]))
+            values = terms.take(pa.array([i for r in rows for i in r[3]], pa.int64()))
+            lists_ = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.cast(names.field("items").type.value_type))
+            columns = [pa.array([r[j] for r in rows], names.field(j).type) if j != 3 else lists_.cast(names.field(3).type) for j in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, schema=names)
+
+    return in_batches(own, found, fields)
+
+
 def lists(triples: DataFrame, predicate: str, max_rounds: int = 40) -> DataFrame:
     """(s, items): the RDF lists that a predicate points at, in order.
 
-    Every cell finds its list's first cell by pointer doubling, so lists of n cells take log n joins; each round is written to the shared folder, so
-    that the plan doesn't grow with the rounds, and the one before it is deleted.
+    Cells that stand together are chained in one pass over the triples, which are read once.  Every other piece finds its list's first one by pointer
+    doubling, so lists of n pieces take log n joins; each round is written to the shared folder, so that the plan doesn't grow with the rounds, and the
+    one before it is deleted.  Where something points into a chain, as where lists share a tail, all cells are pieces.
     """
     nil = T.RDF + "nil"
-    heads = triples.where(F.col("p") == predicate).select(F.col("s.value").alias("s"), F.col("o.value").alias("cell"))
-    rest = triples.where((F.col("p") == T.RDF + "rest") & (F.col("o.value") != nil)).select(F.col("o.value").alias("cell"), F.col("s.value").alias("up"), F.lit(1).alias("n"))
-    own = heads.where(F.col("cell") != nil).select("cell", F.col("cell").alias("up"), F.lit(0).alias("n")).distinct()
-    state = written(rest.join(own.select("cell"), "cell", "left_anti").unionByName(own), "list-cells")
+    for chain in (True, False):
+        made = written(_pieces(triples, predicate, chain), "list-pieces", "zstd")
+        heads = made.where("kind = 3").select("s", "cell")
+        values = made.where("kind = 1").select("cell", "items")
+        loose = made.where("kind = 2").select("cell", "next").join(values, "cell", "full").select("cell", F.coalesce("items", F.array().cast(f"array<{T.TERM}>")).alias("items"), "next")
+        pieces = made.where("kind = 0").select("cell", "items", "next").unionByName(loose)
+        follows = made.where("kind in (0, 2)").where(F.col("next") != nil).select(F.col("next").alias("cell"), F.col("cell").alias("up"))
+        if chain:
+            known = made.where("kind in (0, 1, 2)").select("cell")
+            if follows.select("cell").join(known, "cell", "left_anti").isEmpty() and heads.where(F.col("cell") != nil).select("cell").join(known, "cell", "left_anti").isEmpty():
+                break
+            discard(made)
+    state = written(follows.join(heads.select("cell"), "cell", "left_anti").withColumn("n", F.lit(1)), "list-cells", "zstd")
     total = state.agg(F.sum("n")).first()[0]
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if total else 0):
         far = state.select(F.col("cell").alias("up"), F.col("up").alias("upper"), F.col("n").alias("m"))
-        grown = written(state.join(far, "up").select("cell", F.col("upper").alias("up"), (F.col("n") + F.col("m")).alias("n")), "list-cells")
+        grown = state.join(far, "up", "left").select("cell", F.coalesce("upper", "up").alias("up"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+        grown = written(grown, "list-cells", "zstd")
         now = grown.agg(F.sum("n")).first()[0]
         discard(state)
         state = grown
         if now == total:
             break
         total = now
-    first = triples.where(F.col("p") == T.RDF + "first").select(F.col("s.value").alias("cell"), F.col("o").alias("item"))
-    items = state.join(first, "cell").groupBy(F.col("up").alias("cell")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    placed = pieces.select("cell", "items").join(state, "cell", "left").select(F.coalesce("up", "cell").alias("cell"), F.coalesce("n", F.lit(0)).alias("n"), "items")
+    items = placed.groupBy("cell").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "items"))), lambda x: x["items"])).alias("items"))
     return heads.join(items, "cell", "left").select("s", F.coalesce("items", F.array().cast(f"array<{T.TERM}>")).alias("items"))
 
 
