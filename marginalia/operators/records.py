@@ -201,18 +201,21 @@ def from_triples(triples: DataFrame, cls: RecordClass) -> DataFrame:
 
     Of several values of a single-valued attribute the smallest is taken; many-valued ones are sorted sets.
     """
-    instances = triples.where((F.col("p") == T.RDF + "type") & (F.col("o.value") == cls.type)).select(F.col("s.value").alias("uri")).distinct()
     flat = [a for a in cls.attrs if not a.ordered and not a.nested]
-    facts = triples.where(F.col("p").isin([a.predicate for a in flat]))
+    fact = F.col("p").isin([a.predicate for a in flat])
+    typed = (F.col("p") == T.RDF + "type") & (F.col("o.value") == cls.type)
+    # the type is one more fact, so that a subject's rows meet once
+    facts = triples.where(typed | fact) if flat else triples.where(typed)
     forward = facts.select(F.col("s.value").alias("uri"), "p", "o", F.lit(False).alias("back"))
     if any(a.reverse for a in flat):
-        forward = forward.unionByName(facts.select(F.col("o.value").alias("uri"), "p", F.col("s").alias("o"), F.lit(True).alias("back")))
+        forward = forward.unionByName(triples.where(fact).select(F.col("o.value").alias("uri"), "p", F.col("s").alias("o"), F.lit(True).alias("back")))
     columns = []
     for a in flat:
         value = F.col("o.value") if a.kind in ("uri", "html") else T.value_of(F.col("o"), a.kind)
         own = F.when((F.col("p") == a.predicate) & (F.col("back") == F.lit(a.reverse)), value)
-        columns.append((F.sort_array(F.collect_set(own)) if a.many else F.min(own)).alias(a.name))
-    out = instances.join(forward.groupBy("uri").agg(*columns), "uri", "left") if columns else instances
+        columns.append((F.when(F.count_if(fact) > 0, F.sort_array(F.collect_set(own))) if a.many else F.min(own)).alias(a.name))
+    instance = F.max(typed & ~F.col("back")).alias("__instance")
+    out = forward.groupBy("uri").agg(instance, *columns).where("__instance").drop("__instance")
     for a in (a for a in cls.attrs if a.nested):
         out = out.join(_nested_records(triples, a), "uri", "left")
     for a in (a for a in cls.attrs if a.ordered and not a.nested):

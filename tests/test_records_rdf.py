@@ -340,3 +340,12 @@ def test_lists_that_stand_together_take_no_rounds(spark, monkeypatch):
     tail = [("g", uri("t"), "x:list", bnode("d")), ("g", bnode("d"), T.RDF + "first", uri("w")), ("g", bnode("d"), T.RDF + "rest", bnode("c8-5"))]
     both = spark.createDataFrame(rows, kind).coalesce(1).unionByName(spark.createDataFrame(tail, kind).coalesce(1))
     assert got(both) == want | {"t": ["w", *want["s8"][5:]]}
+
+
+def test_records_meet_their_facts_once(spark):
+    cls = records.RecordClass("Thing", "x:Thing", (records.Attr("one", "x:one"), records.Attr("tags", "x:tag", many=True)))
+    rows = _triples(spark, f"a {T.RDF}type x:Thing,a x:one 1,a x:tag q,a x:tag p,a x:tag q,b {T.RDF}type x:Thing,c x:one 2,d {T.RDF}type x:Other,d x:one 3,e {T.RDF}type x:Thing,e x:one 4")
+    loaded = records.from_triples(rows, cls)
+    assert sorted((r.uri, r.one, r.tags) for r in loaded.collect()) == [("a", "1", ["p", "q"]), ("b", None, None), ("e", "4", [])]
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 1
